@@ -33,6 +33,7 @@ SHINGLE = 3
 # explode_outer throughout: for explode the optimiser infers a filter on the array's size
 # and pushes it below, where it makes every word of the text anew for every element.
 INLINE = 50_000
+BROADCAST_TEXTS = 2_000_000
 
 
 def exact_words(text: str | Column) -> Column:
@@ -179,3 +180,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             F.array_sort("hits").alias("spans"), "th",
         )
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, inline: int = INLINE) -> DataFrame:
+    """The documents that are not contaminated. What is judged is the text, so equal texts go together."""
+    bad = cut(decontaminate(docs, benchmark, window, share, inline).where("contaminated").select(F.col("th").alias("_th")).distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_TEXTS else bad
+    return docs.withColumn("_th", F.xxhash64("text")).join(bad, "_th", "left_anti").select(*docs.columns)

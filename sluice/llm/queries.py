@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prefix_join, robust_outliers, temporal_list, virtual_slots, waterfill
+from . import capture_index, gear_chunks, langid_crf, prefix_join, probminhash, robust_outliers, temporal_list, token_rollup, virtual_slots, waterfill
+from .common import cut, new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -13,11 +14,47 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid_crf.train(langid_crf.training_rows(docs))
+    found = langid_crf.identify(docs, model, ("doc_id",))
+    return found.select("doc_id", langid_crf.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = robust_outliers.text_counts(_read(spark, sf_dir, "documents"))
     return robust_outliers.reject_outliers(counts).select("doc_id", *robust_outliers.COUNTS, "base_failed", "kept", "distance")
 
 
+def op3_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = capture_index.archive_round_trip(_read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "key")
+
+
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches (all documents; a tenth deleted; a tenth revised), each sent twice, a compaction between."""
+    docs = _read(spark, sf_dir, "documents")
+    revised = docs.where("doc_id % 10 = 7").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    count = {"byte_bpe_50k": token_rollup.count_tokens, "words": token_rollup.count_words}
+    old = {k: cut(f(docs), "tokens") for k, f in count.items()}
+    first, second, third = [], [], []
+    for k, f in count.items():
+        first.append(token_rollup.inserts(old[k], k))
+        second.append(token_rollup.deletes(old[k].where("doc_id % 10 = 3"), k))
+        third.append(token_rollup.revisions(old[k].where("doc_id % 10 = 7"), f(revised), k))
+    rollup = token_rollup.Rollup(spark, new_path(spark, "rollup"))
+    for i, (a, b) in enumerate((first, second, third)):
+        rollup.commit(f"batch-{i}", a.unionByName(b))
+        rollup.commit(f"batch-{i}", a.unionByName(b))
+        if i == 1:
+            rollup.compact()
+    return rollup.totals()
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = virtual_slots.shard_documents(_read(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
@@ -53,6 +90,10 @@ def op7_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear_chunks.repeated_spans(_read(spark, sf_dir, "documents"))
+
+
 def op9_waterfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waterfill.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,7 +103,7 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers, op6_virtual_slots, op7_temporal_list, op9_waterfill, op10_prefix_join)}
+QUERIES = {f.__name__: f for f in (op1_langid_crf, op2_robust_outliers, op3_capture_index, op4_probminhash, op5_token_rollup, op6_virtual_slots, op7_temporal_list, op8_gear_chunks, op9_waterfill, op10_prefix_join)}
 
 _WATERFILL_SQL = r"""
 WITH sized AS (

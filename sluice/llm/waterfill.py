@@ -30,6 +30,7 @@ from .common import WORD, cut
 
 BROADCAST_SOURCES = 100_000
 SEED = "sluice-mix"
+PARAMS = ("source_size", "target", "whole", "wanted", "cut_bucket", "cut_before", "last_full")
 
 
 def cyclic_weight(rank: Column, cycle: int = 3) -> Column:
@@ -37,10 +38,11 @@ def cyclic_weight(rank: Column, cycle: int = 3) -> Column:
     return (F.pmod(rank - 1, F.lit(cycle)) + 1).cast("long")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def sized(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size and the seeded digest, beside other columns that are to be kept."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     return docs.select(
-        "doc_id", "source",
+        *dict.fromkeys(["doc_id", "source", *keep]),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         key.alias("ord"),
     )
@@ -95,16 +97,13 @@ def _cuts(docs_sized: DataFrame, targets: DataFrame) -> DataFrame:
     return edge.select("source", "source_size", "target", "whole", "wanted", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("cut_before"), "last_full")
 
 
-def mix(docs: DataFrame, epochs: int = 3, seed: str = SEED, weight=cyclic_weight) -> DataFrame:
-    """One row per document: size, its source's size and target, the repetitions and words taken."""
-    base = cut(sized(docs, seed), "mix-sizes")
+def _decided(rows: DataFrame, base: DataFrame, epochs: int, weight) -> DataFrame:
+    """``rows`` (as from sized) with their source's numbers and repeats; ``base`` is the narrow, written form."""
     params = cut(_cuts(base, source_targets(base, epochs, weight)), "mix-cuts")
     if params.count() <= BROADCAST_SOURCES:
         params = F.broadcast(params)
-    d, p = base.alias("d"), params.alias("p")
-    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.doc_id", "d.source", "d.size", "d.ord", "p.source_size", "p.target", "p.whole", "p.wanted", "p.cut_bucket", "p.cut_before", "p.last_full"
-    )
+    d, p = rows.alias("d"), params.alias("p")
+    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", *[F.col(f"p.{c}") for c in PARAMS])
     bucket = F.substring("ord", 1, 3)
     at_cut = F.coalesce(bucket == F.col("cut_bucket"), F.lit(False))
     clear = joined.where(~at_cut).withColumn("extra", F.coalesce(bucket <= F.col("last_full"), F.lit(False)))
@@ -112,15 +111,22 @@ def mix(docs: DataFrame, epochs: int = 3, seed: str = SEED, weight=cyclic_weight
     edge = joined.where(at_cut).withColumn(
         "extra", F.col("cut_before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 < F.col("wanted")
     )
-    both = clear.unionByName(edge)
-    return both.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("whole") + F.col("extra").cast("long")).alias("repeats"),
-        ((F.col("whole") + F.col("extra").cast("long")) * F.col("size")).alias("taken"),
-    )
+    return clear.unionByName(edge).withColumn("repeats", F.col("whole") + F.col("extra").cast("long"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as the mix takes it, joined by doc_id (unique here)."""
-    counts = mixed.where(F.col("repeats") > 0).select("doc_id", "repeats")
-    return docs.join(counts, "doc_id").withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("repeats")))).drop("repeats")
+def mix(docs: DataFrame, epochs: int = 3, seed: str = SEED, weight=cyclic_weight) -> DataFrame:
+    """One row per document: size, its source's size and target, the repetitions and words taken."""
+    base = cut(sized(docs, seed), "mix-sizes")
+    both = _decided(base, base, epochs, weight)
+    return both.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, epochs: int = 3, seed: str = SEED, weight=cyclic_weight) -> DataFrame:
+    """The mix itself: every document, whole, as often as the mix takes it. Texts are read twice and never shuffled
+    (but for the bucket of each source that the cut goes through)."""
+    own = {"size", "ord", "source_size", "target", "whole", "wanted", "cut_bucket", "cut_before", "last_full", "extra", "repeats"} & {*docs.columns}
+    if own:
+        raise ValueError(f"columns {sorted(own)} clash with the operator's own")
+    base = cut(sized(docs, seed), "mix-sizes")
+    taken = _decided(sized(docs, seed, tuple(docs.columns)), base, epochs, weight).where("repeats > 0")
+    return taken.withColumn("_times", F.explode_outer(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
