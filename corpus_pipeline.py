@@ -1,10 +1,57 @@
-"""The corpus pipeline: language, near duplicates, benchmarks, mixture, shards."""
+"""The corpus pipeline: language, near duplicates, benchmark passages, mixture, shards.
+
+Each stage works on all that the stage before it kept, and is written to the
+shared folder before the next one reads it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm import langid_crf, prefix_join, probminhash, virtual_slots, waterfill
+from sluice.llm.common import cut
+
+#: Documents go if no language is found or none holds this share of their words.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language of the model."""
+    model = langid_crf.train(langid_crf.training_rows(docs))
+    known = langid_crf.identify(docs, model, tuple(docs.columns))
+    return known.where((F.col("lang_pred") != langid_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return probminhash.keep_one(docs, probminhash.near_duplicates(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than a twentieth of benchmark windows."""
+    return prefix_join.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights take them."""
+    return waterfill.mixture(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard, virtual slot and position."""
+    return virtual_slots.shard_documents(docs, 8, keep=("source", "lang"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: No SQL states hashed sampling, trained labels or components by signatures; the tests compare by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
