@@ -1,4 +1,373 @@
-"""Registered queries of the posting engine and their SQL."""
+"""Registered queries of the posting engine over the driver's tables, and their SQL.
+
+The tables hold no postings, so pages, documents, events, conversations, parts
+and orders stand in: the operators are the real ones, the meaning of their inputs is not.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import contacts, dates, urls
+from ..functions import text as tx
+from ..operators import postings, ranking, tracker
+from ..session import table
+from ..sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+HOST_SQL = r"nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '')"
+FOLD_SQL = r"trim(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+ORDER_SQL = r"trim(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+POSTINGS_SQL = rf"""postings AS (
+  SELECT page_id AS pos, page_id::VARCHAR AS id, ['adzuna', 'remotive', 'wwr', 'arbeitnow'][page_id % 4 + 1] AS portal, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    {HOST_SQL} AS company, regexp_extract(html, 'lang="([a-z]*)"', 1) AS location, url, strftime(DATE '2024-01-01' + (page_id % 60)::INT, '%Y-%m-%d') AS date, page_id % 3 <> 0 AS new FROM pages
+)"""
+CANONICAL_SQL = r"""CASE WHEN regexp_matches(url, '^https?://') THEN regexp_extract(url, '^(https?)', 1) || '://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) ||
+  CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END ||
+  coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT starts_with(lower(x), 'trk='))), '&'), ''), '') END"""
+
+
+def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as postings."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    names = F.array(*[F.lit(x) for x in ("adzuna", "remotive", "wwr", "arbeitnow")])
+    return p.select(
+        k.alias("pos"), k.cast("string").alias("id"), F.get(names, (k % 4).cast("int")).alias("portal"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        urls.host_of(F.col("url")).alias("company"), F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("location"), "url",
+        F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (k % 60).cast("int")), "yyyy-MM-dd").alias("date"), (k % 3 != 0).alias("new"),
+    )
+
+
+@_query(f"SELECT page_id, {CANONICAL_SQL} AS url_key FROM pages")
+def canonical_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url_key"))
+
+
+@_query(f"WITH {POSTINGS_SQL} SELECT pos, CASE WHEN {FOLD_SQL.format('title')} <> '' AND {FOLD_SQL.format('company')} <> '' THEN {FOLD_SQL.format('title')} || '|' || {FOLD_SQL.format('company')} END AS pair_key FROM postings")
+def title_company_key(spark, sf_dir):
+    p = stand_in(spark, sf_dir)
+    return p.select("pos", F.replace(tx.title_company_key(F.col("title"), F.col("company")), F.lit("\0"), F.lit("|")).alias("pair_key"))
+
+
+@_query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages""")
+def strip_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("plain"))
+
+
+def _groups(spark, sf_dir) -> DataFrame:
+    p = stand_in(spark, sf_dir).withColumn("company", F.lit("one"))  # one company, so that equal titles link
+    return postings.deduplicate(p)
+
+
+GROUPS_SQL = rf"""{POSTINGS_SQL}, keyed AS (SELECT *, {CANONICAL_SQL} AS uk, nullif({FOLD_SQL.format('title')}, '') AS tk FROM postings
+), links AS (
+  SELECT a.pos AS a, b.pos AS b FROM keyed a JOIN keyed b ON a.uk = b.uk UNION SELECT a.pos, b.pos FROM keyed a JOIN keyed b ON a.tk = b.tk
+), reach AS (SELECT pos AS a, pos AS b FROM keyed UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a AS pos, min(b) AS root FROM reach GROUP BY a
+), folded AS (
+  SELECT root, count(*) AS size, bool_or(new) AS new, string_agg(portal || ':' || id, ',' ORDER BY pos) AS source_ids FROM keyed JOIN roots USING (pos) GROUP BY root
+), groups AS (SELECT k.* EXCLUDE (new), f.size, f.new, f.source_ids FROM keyed k JOIN folded f ON k.pos = f.root)"""
+
+
+@_query(f"WITH RECURSIVE {GROUPS_SQL} SELECT pos, size, new, source_ids FROM groups")
+def dedup_groups(spark, sf_dir):
+    return _groups(spark, sf_dir).select("pos", "size", "new", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+_LATEST_SQL = "row_number() OVER (ORDER BY new DESC, date DESC NULLS LAST, coalesce(title, ''), coalesce(company, ''), coalesce(portal, ''), coalesce(id, ''))"
+
+
+@_query(f"WITH RECURSIVE {GROUPS_SQL} SELECT {_LATEST_SQL} AS n, pos, title, portal, date, new, size FROM groups")
+def latest_order(spark, sf_dir):
+    return postings.numbered(_groups(spark, sf_dir), postings.latest_order()).select("n", "pos", "title", "portal", "date", "new", "size")
+
+
+@_query("""WITH runs AS (SELECT *, ts < TIMESTAMP '2024-01-15' AS early, event_type AS portal, (user_id % 97)::VARCHAR AS id FROM events),
+seen AS (SELECT DISTINCT portal || ':' || id AS key FROM runs WHERE early)
+SELECT event_id, portal || ':' || id NOT IN (SELECT key FROM seen) AS new FROM runs WHERE NOT early""")
+def seen_split(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    seen = runs.where("early").select("key").distinct()
+    return postings.mark_new(runs.where("NOT early"), seen).select("event_id", "new")
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    named = e.select("event_id", (F.col("ts") < F.to_timestamp(F.lit("2024-01-15"))).alias("early"), F.col("event_type").alias("portal"), (F.col("user_id") % 97).cast("string").alias("id"))
+    return named.withColumn("key", F.concat_ws(":", "portal", "id"))
+
+
+@_query("""WITH runs AS (SELECT ts < TIMESTAMP '2024-01-15' AS early, event_type || ':' || (user_id % 97)::VARCHAR AS key FROM events)
+SELECT key, CASE WHEN bool_or(early) THEN 'first' ELSE 'second' END AS first_seen_at FROM runs GROUP BY key""")
+def seen_update(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    old = runs.where("early").select("key").distinct().withColumn("first_seen_at", F.lit("first"))
+    return postings.update_seen(old, runs.where("NOT early"), "second")
+
+
+@_query(f"""WITH RECURSIVE {GROUPS_SQL}, calls AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT (SELECT count(*) FROM calls) AS calls, (SELECT count(*) FROM calls WHERE n < 5) AS successful_calls, (SELECT count(*) FROM calls WHERE n >= 5 AND conv_id % 2 = 0) AS failed_calls,
+ (SELECT count(*) FROM calls WHERE n >= 5 AND conv_id % 2 = 1) AS skipped_calls, count(*) AS results, sum(size - 1)::BIGINT AS deduplicated, count(*) FILTER (new) AS new, count(*) FILTER (NOT new) AS seen, (SELECT count(*) FROM pages) AS raw_results FROM groups""")
+def run_counters(spark, sf_dir):
+    calls = table(spark, sf_dir, "conversations").groupBy("conv_id").count().select(F.when(F.col("count") >= 5, F.struct((F.col("conv_id") % 2 == 1).alias("expected"))).alias("failure"))
+    return postings.run_counters(calls, _groups(spark, sf_dir), table(spark, sf_dir, "pages"))
+
+
+@_query(r"""SELECT doc_id, list_filter(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'), lambda x: lower(split_part(x, '@', 1)) NOT IN
+ ('noreply', 'no-reply', 'no_reply', 'donotreply', 'do-not-reply', 'do_not_reply', 'mailer-daemon', 'postmaster'))[1] AS email FROM documents""")
+def contact_email(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", contacts.contact_email(F.col("text")).alias("email"))
+
+
+@_query(f"SELECT page_id, coalesce({HOST_SQL} = 'example.net' OR ends_with({HOST_SQL}, '.example.net'), false) AS hostile FROM pages")
+def hostile_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.hostile_host(F.col("url"), ("example.net",)).alias("hostile"))
+
+
+@_query()
+def redact_contacts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", contacts.redact_contacts(F.col("text")).alias("redacted"), contacts.contains_contact(F.col("text")).alias("had_contact"))
+
+
+@_query("SELECT page_id, regexp_full_match(split_part(url, '/', 4), '[A-Za-z0-9._:-]+') AND regexp_matches(split_part(url, '/', 4), '[A-Za-z0-9]') AS safe FROM pages")
+def safe_identifier(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.safe_identifier(F.split_part("url", F.lit("/"), F.lit(4))).alias("safe"))
+
+
+@_query()
+def safe_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.safe_apply_url(F.col("url")).alias("safe"))
+
+
+@_query(f"WITH {POSTINGS_SQL} SELECT portal || ':' || id AS job_key, url FROM postings WHERE new AND url <> '' ORDER BY pos LIMIT 10")
+def candidates_top10(spark, sf_dir):
+    return ranking.top_candidates(stand_in(spark, sf_dir)).select("job_key", "url")
+
+
+@_query()
+def candidates_split(spark, sf_dir):
+    return ranking.split_candidates(stand_in(spark, sf_dir)).select("job_key", "skipped")
+
+
+@_query("SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) - 1 AS wave, row_number() OVER (PARTITION BY w ORDER BY doc_id) - 1 AS place FROM (SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) AS w FROM documents)")
+def balanced_waves(spark, sf_dir):
+    return ranking.in_waves(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 1_000_000_000, 7)
+
+
+@_query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 5 AS wave, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS place FROM documents")
+def chunk_waves(spark, sf_dir):
+    return ranking.in_waves(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")])
+
+
+@_query(r"""SELECT conv_id, turn, '<<<OFFER' || chr(10) || json_object('conv_id', conv_id, 'role', role, 'text', CASE WHEN NOT regexp_matches(text, '[\x00-\x1F\x7F]') THEN replace(replace(replace(text, '&', '&'), '<', '<'), '>', '>') END, 'turn', turn)::VARCHAR || chr(10) || 'OFFER>>>' AS block FROM conversations""")
+def prompt_blocks(spark, sf_dir):
+    return ranking.offer_block(table(spark, sf_dir, "conversations"), ["conv_id", "role", "text", "turn"]).select("conv_id", "turn", "block")
+
+
+@_query("""SELECT conv_id, count(*) AS offers FROM conversations GROUP BY conv_id""")
+def wave_prompts(spark, sf_dir):
+    blocks = ranking.offer_block(table(spark, sf_dir, "conversations"), ["role", "text"])
+    return ranking.wave_prompts(blocks, "Review these.", "conv_id", "turn").select("conv_id", "offers")
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("job_key"), F.concat("source", F.lit(" "), "lang").alias("title"), F.col("source").alias("company"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("location"), F.lit("doc").alias("portal"), "n_chars")
+
+
+def _reviews(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    tier = F.get(F.array(*[F.lit(x) for x in ("A+", "A", "B+", "B", "C", "VETO")]), (F.col("n_chars") % 6).cast("int"))
+    return d.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("job_key"), (F.col("n_chars") % 101 / 10.0).cast("double").alias("score"), tier.alias("tier"), F.when(F.col("toxic") == 1, "invalid").alias("error"))
+
+
+_RANK_SQL = """cand AS (SELECT doc_id, 'doc:' || doc_id AS job_key, source || ' ' || lang AS title, source AS company, CASE WHEN doc_id % 11 <> 0 THEN lang END AS location, 'doc' AS portal, n_chars FROM documents
+), rev AS (SELECT 'doc:' || d.doc_id AS job_key, (n_chars % 101 / 10.0)::DOUBLE AS score, ['A+', 'A', 'B+', 'B', 'C', 'VETO'][n_chars % 6 + 1] AS tier, CASE WHEN toxic = 1 THEN 'invalid' END AS error FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+), told AS (
+  SELECT c.*, r.score, r.tier, CASE WHEN location IS NULL THEN 'RANK_FIELD_NULL' WHEN r.job_key IS NULL OR error IS NOT NULL THEN 'RANK_FAILED' END AS code,
+    CASE WHEN location IS NULL THEN 'candidate missing critical fields: location' WHEN r.job_key IS NULL THEN 'missing_output' WHEN error IS NOT NULL THEN 'invalid_reviewer_output' END AS reason
+  FROM cand c LEFT JOIN rev r USING (job_key)
+)"""
+_TIER_SQL = "CASE tier WHEN 'A+' THEN 0 WHEN 'A' THEN 1 WHEN 'B+' THEN 2 WHEN 'B' THEN 3 WHEN 'C' THEN 4 WHEN 'VETO' THEN 5 ELSE 99 END"
+_RANKED_SQL = f"row_number() OVER (ORDER BY score DESC, {_TIER_SQL}, {ORDER_SQL.format('title')}, {ORDER_SQL.format('company')}, job_key)"
+
+
+def _told(spark, sf_dir) -> DataFrame:
+    return ranking.judged(_candidates(spark, sf_dir), _reviews(spark, sf_dir)).withColumnsRenamed({"r_score": "score", "r_tier": "tier"})
+
+
+@_query(f"WITH {_RANK_SQL} SELECT job_key, code, reason FROM told")
+def rank_join(spark, sf_dir):
+    return _told(spark, sf_dir).select("job_key", "code", "reason")
+
+
+@_query(f"WITH {_RANK_SQL} SELECT {_RANKED_SQL} AS n, job_key, score, tier FROM told WHERE code IS NULL")
+def rank_order(spark, sf_dir):
+    return postings.numbered(_told(spark, sf_dir).where("code IS NULL"), ranking.rank_order()).select("n", "job_key", "score", "tier")
+
+
+@_query(f"WITH {_RANK_SQL} SELECT {_RANKED_SQL} AS n, score::VARCHAR AS score, tier, title, company, location, portal FROM told WHERE code IS NULL ORDER BY n LIMIT 10")
+def digest(spark, sf_dir):
+    return ranking.digest_rows(_told(spark, sf_dir).where("code IS NULL"))
+
+
+@_query(f"WITH {_RANK_SQL} SELECT tier, count(*) AS n FROM told WHERE code IS NULL GROUP BY tier")
+def rank_by_tier(spark, sf_dir):
+    return _told(spark, sf_dir).where("code IS NULL").groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_RANK_SQL} SELECT count(*) AS total, count(code) AS failures, count(*) >= 3 AND count(code) > 0.3 * count(*) AS aborted FROM told")
+def failure_gate(spark, sf_dir):
+    return ranking.failure_gate(_told(spark, sf_dir))
+
+
+@_query(f"WITH {_RANK_SQL} SELECT job_key, score, CASE WHEN split_part(job_key, ':', 2)::BIGINT % 3 = 0 THEN 'batched' ELSE 'single' END AS origin FROM rev")
+def rank_merge_last_wins(spark, sf_dir):
+    r = _reviews(spark, sf_dir).select("job_key", "score")
+    batched = r.where("cast(split_part(job_key, ':', 2) AS bigint) % 3 = 0").withColumn("origin", F.lit("batched"))
+    return ranking.last_writer(r.withColumn("origin", F.lit("single")), batched)
+
+
+@_query(f"WITH {_RANK_SQL} SELECT job_key, 'RANK_INPUT_INVALID' AS code FROM cand WHERE job_key NOT IN (SELECT job_key FROM rev)")
+def rank_skipped_anti(spark, sf_dir):
+    return _candidates(spark, sf_dir).join(_reviews(spark, sf_dir), "job_key", "left_anti").select("job_key", F.lit("RANK_INPUT_INVALID").alias("code"))
+
+
+@_query(f"WITH {_RANK_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM cand) SELECT p.job_key, rev.score FROM p JOIN rev USING (job_key) WHERE i > 10")
+def prompts_after_ten(spark, sf_dir):
+    numbered = postings.numbered(_candidates(spark, sf_dir).select("doc_id", "job_key"), [F.col("doc_id")], "i")
+    return numbered.where("i > 10").join(_reviews(spark, sf_dir).select("job_key", "score"), "job_key").select("job_key", "score")
+
+
+@_query("""WITH t AS (SELECT p_partkey, 25 * (p_size % 11) + 25 * (p_partkey % 11) + 20 * (p_partkey % 7) + 15 * (p_size % 5) + 10 * CASE WHEN p_retailprice >= 1600 THEN 10 WHEN p_retailprice >= 1500 THEN 8 WHEN p_retailprice >= 1420 THEN 6 WHEN p_retailprice >= 1350 THEN 4 ELSE 3 END
+ + 5 * (p_partkey % 3) + 100 * (p_partkey % 3) - CASE WHEN p_size % 4 = 0 THEN 150 ELSE 0 END + CASE WHEN p_size % 9 = 0 THEN 50 ELSE 0 END AS c FROM part)
+SELECT p_partkey, ((least(greatest(c, 0), 1000) + 5) // 10)::DOUBLE / 10 AS score FROM t""")
+def weighted_score(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    parts = {"location": size % 11, "role": key % 11, "skills": key % 7, "sector": size % 5, "pay": ranking.pay_score((F.col("p_retailprice") - 1000) / 10), "language": key % 3}
+    return p.select("p_partkey", ranking.weighted_score(parts, key % 3, size % 4 == 0, size % 9 == 0).alias("score"))
+
+
+@_query("""WITH known AS (SELECT DISTINCT lower(trim(source)) || '|' || lower(trim(lang)) AS k FROM documents WHERE doc_id % 50 = 1), probe AS (SELECT lower(trim(source)) || '|' || lower(trim(lang)) AS k FROM documents WHERE doc_id % 50 <> 1),
+n AS (SELECT count(*) AS total, count(*) FILTER (k IN (SELECT k FROM known)) AS duplicates FROM probe)
+SELECT total, duplicates, total - duplicates AS fresh, round(100.0 * duplicates / total, 1)::DOUBLE AS overlap_pct, CASE WHEN 100.0 * duplicates / total > 60 THEN 'keep_off' ELSE 'turn_on' END AS recommendation FROM n""")
+def overlap_report(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("company"))
+    return ranking.overlap_report(d.where("doc_id % 50 <> 1"), d.where("doc_id % 50 = 1"))
+
+
+def _app_events(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "click", "applied").when(F.col("event_type") == "view", "in_progress").when(F.col("event_type") == "error", "rejected").otherwise("interview")
+    return e.select((F.col("user_id") % 500).alias("user_id"), "event_type", F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), status.alias("status"), F.lit(None).cast("string").alias("note"), F.when(F.col("value") > 10, F.col("event_type")).alias("stage"), (F.col("event_id") % 40 == 0).alias("followup"))
+
+
+_OUTCOME_SQL = """ev AS (SELECT user_id % 500 AS user_id, event_type, event_id AS seq, ts::DATE AS day, CASE event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'in_progress' WHEN 'error' THEN 'rejected' ELSE 'interview' END AS status,
+  CASE WHEN value > 10 THEN event_type END AS stage, event_id % 40 = 0 AS followup FROM events
+), state AS (SELECT user_id, event_type, arg_max(status, seq) AS status, CASE WHEN arg_max(status, seq) = 'rejected' THEN arg_max(day, seq) END AS resolved, max(day) AS last_activity, count(*) FILTER (followup)::INT AS followups, coalesce(max(stage), '') AS stages FROM ev GROUP BY user_id, event_type)"""
+
+
+@_query(f"WITH {_OUTCOME_SQL} SELECT * FROM state")
+def outcome_fold(spark, sf_dir):
+    out = tracker.fold_outcomes(_app_events(spark, sf_dir), ["user_id", "event_type"])
+    return out.select("user_id", "event_type", "status", "resolved", "last_activity", "followups", F.array_join("stages", ",").alias("stages"))
+
+
+@_query(f"""WITH {_OUTCOME_SQL}, last AS (SELECT max(ts)::DATE AS today FROM events) SELECT user_id, event_type, CASE WHEN followups >= 2 THEN 'limit' WHEN followups <> 0 THEN 'not_consecutive' WHEN status NOT IN ('applied', 'in_progress', 'interview') THEN 'status'
+ WHEN today - last_activity < 10 THEN 'too_early' END AS refusal FROM state, last""")
+def followup_gate(spark, sf_dir):
+    states = tracker.fold_outcomes(_app_events(spark, sf_dir), ["user_id", "event_type"])
+    last = table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("today"))
+    return tracker.followup_gate(states.join(F.broadcast(last)), F.lit(1), F.col("today")).select("user_id", "event_type", "refusal")
+
+
+@_query("""WITH p AS (SELECT user_id, event_id, event_type, value FROM events), old AS (SELECT DISTINCT user_id FROM p WHERE user_id % 2 = 0), f AS (SELECT user_id, arg_max(event_type, event_id) AS portal, arg_max(value, event_id) AS score FROM p GROUP BY user_id)
+SELECT 'user ' || f.user_id AS empresa, CASE WHEN old.user_id IS NOT NULL THEN '2024-01-01' ELSE '2024-02-01' END AS fecha, f.portal, CASE WHEN score BETWEEN 0 AND 10 THEN printf('%.1f', score) ELSE '' END AS score, CASE WHEN old.user_id IS NOT NULL THEN 'applied' ELSE 'draft' END AS estado FROM f LEFT JOIN old ON f.user_id = old.user_id""")
+def tracker_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    old = e.where("user_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("pos"))
+    blank = [F.lit("").alias(c) for c in ("portal", "tier", "score")]
+    have = old.select("pos", F.lit("2024-01-01").alias("fecha"), name.alias("empresa"), F.lit("role").alias("rol"), *blank, F.lit("").alias("url"), F.lit("applied").alias("estado"), F.lit("").alias("próxima acción"), F.lit("").alias("notas"))
+    patches = tracker.fold_patches(e.select("user_id", "event_id", F.col("event_type").alias("portal"), F.col("value").cast("string").alias("score")), ["user_id"], "event_id", ["portal", "score"])
+    in_range = F.when(F.col("score").cast("double").between(0, 10), F.col("score"))
+    patches = patches.select(name.alias("empresa"), F.lit("ROLE").alias("rol"), F.lit("").alias("url"), "portal", in_range.alias("score"))
+    return tracker.upsert(have, patches, "2024-02-01").select("empresa", "fecha", "portal", "score", "estado")
+
+
+_DATES_SQL = "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS iso, o_orderdate::DATE AS d FROM orders"
+
+
+@_query(f"WITH o AS ({_DATES_SQL}) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN NULL ELSE iso END AS date FROM o")
+def lenient_date(spark, sf_dir):
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 6
+    raw = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T23:30:00-05:00"))).when(k == 2, F.date_format(d, "yyyy/MM/dd"))
+           .when(k == 3, F.concat(F.lit(" "), F.date_format(d, "dd/MM/yyyy"))).when(k == 4, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00Z"))).otherwise(F.lit("2024-02-31")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.lenient_date(raw).alias("date"))
+
+
+@_query(f"WITH o AS ({_DATES_SQL}) SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN iso END AS date FROM o")
+def strict_date(spark, sf_dir):
+    d, k = F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, d).when(k == 1, F.concat(d, F.lit("T09:15:00+02:00"))).when(k == 2, F.concat(d, F.lit(" 09:15:00"))).otherwise(F.concat(d, F.lit("T25:00:00")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.strict_date(raw).alias("date"))
+
+
+@_query()
+def validate_rows(spark, sf_dir):
+    p = stand_in(spark, sf_dir).withColumn("id", (F.col("pos") % 200).cast("string")).withColumn("source_ids", F.array("id")).withColumn("duplicate_sources", F.array("portal"))
+    return ranking.validate_postings(p)
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    item = F.to_json(F.struct(F.col("turn").alias("id"), F.col("role").alias("title"), F.lit("co").alias("company"), F.lit("https://example.org/jobs").alias("url"), F.lit("03/02/2024").alias("date"), F.lit(7).alias("location"), (F.col("turn") % 2).alias("remote")))
+    n = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("j")))), lambda x: x["j"]), ",").alias("body"))
+    k = F.col("conv_id") % 7
+    out = F.when(k == 1, "").when(k == 2, "{broken").when(k == 3, "[1]").when(k == 4, '{"results": {}}').otherwise(F.concat(F.lit('{"results":[5,'), F.col("body"), F.lit("]}")))
+    return n.select(F.col("conv_id").cast("string").alias("call_id"), F.lit("arbeitnow").alias("portal"), F.when(k == 5, 3).otherwise(0).alias("exit_code"), out.alias("stdout"), F.when(F.col("conv_id") % 2 == 0, '{"code":"NO_CREDENTIALS"}').otherwise("plain text").alias("stderr"))
+
+
+@_query("""SELECT conv_id::VARCHAR AS call_id, CASE conv_id % 7 WHEN 1 THEN 'MALFORMED_JSON' WHEN 2 THEN 'MALFORMED_JSON' WHEN 3 THEN 'INVALID_ENVELOPE' WHEN 4 THEN 'INVALID_ENVELOPE' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'NO_CREDENTIALS' ELSE 'PROCESS_EXIT_3' END END AS code,
+ CASE WHEN conv_id % 7 BETWEEN 1 AND 5 THEN conv_id % 7 = 5 AND conv_id % 2 = 0 END AS expected FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def envelope_failures(spark, sf_dir):
+    return files.decode_calls(_calls(spark, sf_dir)).select("call_id", F.col("failure.code").alias("code"), F.col("failure.expected").alias("expected"))
+
+
+@_query("""SELECT conv_id::VARCHAR AS source_call, turn::VARCHAR AS id, role AS title, 'co' AS company, NULL::VARCHAR AS location, '2024-02-03' AS date, turn % 2 = 1 AS remote, false AS ats_hostil FROM conversations WHERE conv_id % 7 IN (0, 6)""")
+def normalized_items(spark, sf_dir):
+    rows = postings.normalize(files.decode_calls(_calls(spark, sf_dir)))
+    return rows.select("source_call", "id", "title", "company", "location", "date", "remote", "ats_hostil")
+
+
+@_query()
+def review_checks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    key = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    three = F.array(F.lit("one"), F.lit("two"), F.lit("call +39 333 123 4567"))
+    r = d.select(key.alias("job_key"), (F.col("n_chars") % 120 / 10.0).cast("double").alias("score"), F.lit("A").alias("tier"), F.lit("APLICAR").alias("verdict"), three.alias("strengths"), three.alias("gaps"), F.lit("").alias("salary"), F.lit("a@example.com").alias("notes"))
+    return ranking.redact_reviews(r.withColumn("error", ranking.review_error(F.col("job_key")))).select("job_key", "error", "notes", "contact_remains")
+
+
+@_query("SELECT r_name || '-' || '0-' || n AS call_id, r_name AS portal FROM region, (SELECT unnest([0, 1]) AS n)")
+def call_matrix(spark, sf_dir):
+    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]  # a fixed list of five
+    return files.call_matrix(spark, ["data", "platform"], {n: ["anywhere"] for n in names}).select("call_id", "portal")
