@@ -17,13 +17,15 @@ band's bucket are candidates. Candidates whose estimate is within five standard
 errors of the threshold are verified exactly on whole texts. Links join to
 components by alternating large and small stars.
 
-No bucket is expanded into all its pairs. First every member meets its bucket's
-smallest member, the best estimate first; pairs that are connected by then need
-no look. Where members of a bucket are still in different components, the rest
-is searched exactly: the bucket is dealt out in blocks of BLOCK, pairs of blocks
-compare signatures as matrices and pass on only pairs of different components
-whose estimates reach the threshold. So a link between texts that share a bucket
-is never lost, and a bucket of thousands of near copies costs one star.
+No bucket is expanded into all its pairs. First every text meets the best of its
+buckets' smallest members; texts that are connected by then need no other look.
+Where members of a bucket are still in different components, the rest is
+searched exactly: the bucket is dealt out in blocks, and pairs of blocks
+compare signatures as matrices. Members with a plausible partner in another
+component go on with their texts, again in pairs of blocks, where all exact
+similarities are counted by inverted lists and only links that join components
+come out. So no link between texts that share a bucket is lost, and rows out of a
+bucket are at most its members.
 
 Defined cases: a null text is a class of its own; empty or wordless texts are
 near only their exact copies; rows of a null doc_id take part through their text
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_rows, cut
 from .wordbytes import Words, mixed, steps
 
 SHINGLE = 5
@@ -48,7 +50,9 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
 THRESHOLD = 0.8
-BLOCK = 256
+#: Members of a block: of signatures, and of whole texts.
+SIGNATURE_BLOCK, TEXT_BLOCK = 1024, 256
+ARROW_ROWS = 1000
 BROADCAST_IDS = 2_000_000
 _STEP = 2 << 20
 _NEXT = np.uint64(0xD1B54A32D192ED03)
@@ -191,39 +195,123 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(named, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
 
-def _blocks_compared(least: float):
-    def run(key, pdf):
-        import pandas as pd
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (bucket, i, j), which come together, as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            key = tuple(keys[:, x].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two blocks that the group compares (one block with itself, or two)."""
+    block = group.column("block").to_numpy()
+    return np.flatnonzero(block == group.column("i")[0].as_py()), np.flatnonzero(block == group.column("j")[0].as_py())
+
+
+def _plausible(least: float):
+    """Members with a partner in another component whose estimate is at least ``least``."""
 
-        bucket, i, j = key
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(-1, M)
-        y = np.frombuffer(b"".join(right["sig"]), np.uint16).reshape(-1, M)
-        out = []
-        lx, ly, ry = left["label"].to_numpy(), right["label"].to_numpy(), right["rid"].to_numpy()
-        for row, rid, label in zip(x, left["rid"], lx, strict=True):
-            ok = ((y == row).mean(axis=1) >= least) & (ly != label)
-            out += [(min(rid, o), max(rid, o)) for o in ry[ok]]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates().astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches):
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, M)
+            label = group.column("label").to_numpy()
+            left, right = _sides(group)
+            flagged = np.zeros(len(label), bool)
+            for x in left:
+                ok = (label[right] != label[x]) & ((sig[right] == sig[x]).mean(axis=1) >= least)
+                flagged[x] |= ok.any()
+                flagged[right[ok]] = True
+            if flagged.any():
+                at = pa.array(np.flatnonzero(flagged))
+                yield pa.RecordBatch.from_arrays([group.column(c).take(at).combine_chunks() for c in ("bucket", "rid", "label")], ["bucket", "rid", "label"])
 
     return run
 
 
-def _rest_of_buckets(members: DataFrame, reps: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs of buckets whose members are still in different components, by pairs of blocks."""
-    told = _labelled(members.select("bucket", "rid", "n"), labels, "rid", "label")
-    open_buckets = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = told.join(open_buckets, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(reps.select("rid", "sig"), "rid")
-    keyed = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", "sig")
-    return keyed.groupBy("bucket", "i", "j").applyInPandas(_blocks_compared(least), "a long, b long").distinct()
+def _linked(threshold: float):
+    """Links between components by exact similarities of all pairs of two blocks, as few as join them.
 
+    One text's shingles are looked up in the blocks' inverted lists, which gives
+    its intersections with all others in one count.
+    """
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), text_class_id (of its equal texts)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches):
+            rid, label = group.column("rid").to_numpy(), group.column("label").to_pylist()
+            left, right = _sides(group)
+            bags = [bag(t) for t in group.column("text").to_pylist()]
+            plain = np.array([bool((w == 1).all()) for _, w in bags])
+            sizes = np.array([len(k) for k, _ in bags])
+            listed = np.concatenate([bags[x][0] for x in right])
+            owner = np.repeat(right, sizes[right])
+            order = np.argsort(listed, kind="stable")
+            listed, owner = listed[order], owner[order]
+            parent = {x: x for x in label}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            out = []
+            for x in left.tolist():
+                keys = bags[x][0]
+                low, high = np.searchsorted(listed, keys, "left"), np.searchsorted(listed, keys, "right")
+                width = high - low
+                at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
+                common = np.bincount(owner[at], minlength=len(rid))
+                jaccard = common / np.maximum(sizes[x] + sizes - common, 1)
+                # Equal weights: the two similarities are one. Otherwise the exact sum decides.
+                for y in np.flatnonzero((common > 0) & ((jaccard >= threshold - 1e-9) | ~(plain & plain[x]))).tolist():
+                    if find(label[x]) != find(label[y]) and (plain[x] and plain[y] or exact_similarity(bags[x], bags[y]) >= threshold - 1e-9):
+                        parent[find(label[y])] = find(label[x])
+                        out.append((rid[x], rid[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(members: DataFrame, extra: DataFrame, size: int) -> DataFrame:
+    """Members (bucket, rid, label) dealt to pairs of blocks of their bucket, beside a column of ``extra`` by rid."""
+    counts = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    own = members.join(counts, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(extra, "rid")
+    more = [c for c in extra.columns if c != "rid"]
+    keyed = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", *more)
+    return keyed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    told = _labelled(members.select("bucket", "rid"), labels, "rid", "label")
+    still = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return told.join(still, "bucket")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed documents, representatives of equal texts, and component labels of these."""
     agreement = F.pandas_udf(_agreement, "double")
-    hashed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    hashed = _hashed(docs)
     signed = cut(hashed.where("text IS NOT NULL").mapInArrow(_signer, "doc_id long, h1 long, h2 long, sig binary"), "signatures")
     reps = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), F.min_by("sig", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("sig")), "representatives")
     usable = reps.where("rid IS NOT NULL AND sig IS NOT NULL").select("rid", "sig")
@@ -239,13 +327,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links = cut(verified(best, texts, threshold), "links")
     labels = components(links)
-    apart = lambda p: _labelled(_labelled(p, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    links = cut(links.unionByName(verified(apart(pairs.join(best, ["a", "b"], "left_anti")), texts, threshold)), "links")
-    labels = components(links)
-    rest = cut(apart(_rest_of_buckets(members, reps, labels, least)), "rest")
-    if not rest.isEmpty():
-        links = cut(links.unionByName(verified(rest, texts, threshold)), "links")
-        labels = components(links)
+    flagged = _in_blocks(_open_members(members, labels), usable, SIGNATURE_BLOCK).mapInArrow(_plausible(least), "bucket long, rid long, label long").distinct()
+    flagged = cut(flagged, "flagged")
+    more = cut(_in_blocks(flagged, texts, TEXT_BLOCK).mapInArrow(_linked(threshold), "a long, b long"), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+    return signed, reps, labels
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id of its class), text_class_id (of its equal texts)."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        signed, reps, labels = _classes(docs, threshold)
     named = _labelled(reps.select("h1", "h2", "rid"), labels, "rid", "class_id")
     told = signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id", F.col("rid").alias("text_class_id"))
     alone = docs.where("text IS NULL").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("text_class_id"))
