@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import bound_batches, cut, new_path
+from .wordbytes import trimmed
 
 BLOCK_LINES = 512
 ROLL_BYTES = 256 << 20
@@ -133,6 +134,7 @@ def _archive_writer(path: str):
 
 def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write every row's record; returns the captures (written once, so files are, too)."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     digest = F.sha1(F.col("payload").cast("binary"))
     equal = rows.where(F.octet_length("payload") >= min_bytes).select("id", digest.alias("sha")).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n"))
@@ -141,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     known = F.broadcast(equal) if equal.count() <= BROADCAST_DIGESTS else equal
     refers = F.when(F.col("id").isNull() | (F.col("id") != F.col("last")), F.col("last"))
     told = rows.withColumn("sha", digest).withColumn("key", url_key("url")).join(known, "sha", "left").withColumn("refers_to", refers)
-    return cut(told.select("id", "url", "payload", "key", "sha", "refers_to").mapInArrow(_archive_writer(path), CAPTURES), "captures")
+    return cut(told.select("id", "url", "payload", "key", "sha", "refers_to").mapInArrow(trimmed(_archive_writer(path)), CAPTURES), "captures")
 
 
 def _index_writer(path: str, block_lines: int):
@@ -291,7 +293,7 @@ def look_up(requests: DataFrame, shards: DataFrame, index_path: str, archive_pat
     wanted = requests.select("key", F.coalesce("id", F.lit(_NO_ID)).alias("sort_id")).distinct()
     placed = wanted.mapInArrow(_locator(lows, highs), "at int, key string, sort_id long")
     dealt = placed.repartition(max(len(top), 1), "at").sortWithinPartitions("at", "key", "sort_id")
-    return dealt.mapInArrow(_reader(names, index_path, archive_path, with_payload), RECORDS + (", payload binary" if with_payload else ""))
+    return dealt.mapInArrow(trimmed(_reader(names, index_path, archive_path, with_payload)), RECORDS + (", payload binary" if with_payload else ""))
 
 
 def archive_round_trip(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:

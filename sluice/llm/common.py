@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words: the six ASCII characters of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whole texts that go to a Python worker at once.
+ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,13 +54,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Fewer rows per Arrow batch while eager steps move whole texts to Python workers."""
+def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """At most ``rows`` rows in an Arrow batch of this session, so that batches of long texts stay small.
+
+    It only lowers the setting, and leaves it so: a lazy result is planned after
+    the operator has returned.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

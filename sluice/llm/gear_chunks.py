@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .wordbytes import SPACE, steps
+from .common import bound_batches
+from .wordbytes import SPACE, steps, trimmed
 
 #: Bytes that a gear hash depends on, and the reach of the smallest-hash rule.
 GEAR, REACH = 16, 20
@@ -114,7 +115,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """Every chunk of every whole text: digest, document, first byte, length and words begun in it."""
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks, CHUNKS)
+    bound_batches(docs.sparkSession)
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_chunks), CHUNKS)
 
 
 def repeated_digests(parts: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
-from .wordbytes import POWERS, Words, _FOLD, _VALUE, mixed, steps
+from .common import WORD, bound_batches
+from .wordbytes import POWERS, Words, _FOLD, _VALUE, mixed, steps, trimmed
 
 SAMPLE_DOCS, SAMPLE_WORDS = 240, 200
 MAX_LANGUAGES = 500
@@ -41,7 +41,7 @@ BITS = 17
 BUCKETS = 1 << BITS
 AFFIXES, GRAMS = (1, 2, 3, 4), (2, 3)
 UNKNOWN = "und"
-_STEP = 2 << 20
+_STEP = 1 << 19
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -264,8 +264,9 @@ def _labeller(model, carry: list[str]):
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns (text may be one) with lang_pred and score of every whole text."""
+    bound_batches(docs.sparkSession)
     spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("spoken")
     kinds = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.lexicon, model.weights, model.transitions))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double"])
-    return docs.select(*dict.fromkeys([*carry, "text"]), spoken).mapInArrow(_labeller(shared, [*carry]), schema)
+    return docs.select(*dict.fromkeys([*carry, "text"]), spoken).mapInArrow(trimmed(_labeller(shared, [*carry])), schema)

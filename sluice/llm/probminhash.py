@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
-from .wordbytes import Words, mixed, steps
+from .common import bound_batches, cut
+from .wordbytes import Words, mixed, steps, trimmed
 
 SHINGLE = 5
 #: Registers = BANDS * ROWS: texts of similarity 0.8 share a bucket with probability 0.9999.
@@ -52,9 +52,8 @@ M = BANDS * ROWS
 THRESHOLD = 0.8
 #: Members of a block: of signatures, and of whole texts.
 SIGNATURE_BLOCK, TEXT_BLOCK = 1024, 256
-ARROW_ROWS = 1000
 BROADCAST_IDS = 2_000_000
-_STEP = 2 << 20
+_STEP = 1 << 19
 _NEXT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -158,7 +157,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold."""
     side = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
     both = side.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verifier(threshold), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(_verifier(threshold)), "a long, b long")
 
 
 def _agreement(sa, sb):
@@ -312,7 +311,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     """Signed documents, representatives of equal texts, and component labels of these."""
     agreement = F.pandas_udf(_agreement, "double")
     hashed = _hashed(docs)
-    signed = cut(hashed.where("text IS NOT NULL").mapInArrow(_signer, "doc_id long, h1 long, h2 long, sig binary"), "signatures")
+    signed = cut(hashed.where("text IS NOT NULL").mapInArrow(trimmed(_signer), "doc_id long, h1 long, h2 long, sig binary"), "signatures")
     reps = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), F.min_by("sig", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("sig")), "representatives")
     usable = reps.where("rid IS NOT NULL AND sig IS NOT NULL").select("rid", "sig")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -327,9 +326,9 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links = cut(verified(best, texts, threshold), "links")
     labels = components(links)
-    flagged = _in_blocks(_open_members(members, labels), usable, SIGNATURE_BLOCK).mapInArrow(_plausible(least), "bucket long, rid long, label long").distinct()
+    flagged = _in_blocks(_open_members(members, labels), usable, SIGNATURE_BLOCK).mapInArrow(trimmed(_plausible(least)), "bucket long, rid long, label long").distinct()
     flagged = cut(flagged, "flagged")
-    more = cut(_in_blocks(flagged, texts, TEXT_BLOCK).mapInArrow(_linked(threshold), "a long, b long"), "links")
+    more = cut(_in_blocks(flagged, texts, TEXT_BLOCK).mapInArrow(trimmed(_linked(threshold)), "a long, b long"), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return signed, reps, labels
@@ -337,8 +336,8 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), text_class_id (of its equal texts)."""
-    with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        signed, reps, labels = _classes(docs, threshold)
+    bound_batches(docs.sparkSession)
+    signed, reps, labels = _classes(docs, threshold)
     named = _labelled(reps.select("h1", "h2", "rid"), labels, "rid", "class_id")
     told = signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id", F.col("rid").alias("text_class_id"))
     alone = docs.where("text IS NULL").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("text_class_id"))

@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
-from .wordbytes import Words, repeated_within, steps
+from .common import bound_batches, cut
+from .wordbytes import Words, repeated_within, steps, trimmed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BROADCAST_GROUPS = 50_000
@@ -91,9 +91,10 @@ def _counter(carry: list[str]):
 
 def text_counts(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The exact counts of every whole text beside the carried columns."""
+    bound_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{c} long" for c in COUNTS)])
-    return docs.select(*carry, "text").mapInArrow(_counter([*carry]), schema)
+    return docs.select(*carry, "text").mapInArrow(trimmed(_counter([*carry])), schema)
 
 
 def base_failed(min_words: int = 20, repeat_percent: int = 30) -> Column:

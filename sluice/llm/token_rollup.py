@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, bound_batches
+from .wordbytes import trimmed
 
 TOKENIZERS = "/opt/tokenizers"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -56,8 +57,9 @@ def _token_counter(path: str):
 
 def count_tokens(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """Tokens of every whole text by a public byte-level vocabulary, beside the carried columns."""
+    bound_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select(*carry, "text").mapInArrow(_token_counter(vocabulary), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", tokens long")
+    return docs.select(*carry, "text").mapInArrow(trimmed(_token_counter(vocabulary)), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", tokens long")
 
 
 def count_words(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:

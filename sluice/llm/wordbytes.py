@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled in one step; a longer text is a step of its own.
-STEP = 1 << 20
+STEP = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -47,6 +47,29 @@ class Powers:
 POWERS = Powers()
 
 
+def trimmed(run):
+    """``run`` (batches to batches) that gives freed memory back to the system at its end.
+
+    Python workers outlive their tasks; without this each keeps the peak of what it ran.
+    """
+
+    def around(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return around
+
+
 def steps(column: pa.Array, size: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about ``size`` bytes; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
