@@ -129,8 +129,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans of neighbouring repeated chunks with min_words words or more.
 
     One row per span: doc_id, start and length in bytes, n_words, n_chunks, the
-    keeper of its first chunk, and removed (false where the document itself keeps
-    every chunk of the span).
+    lowest keeper of its chunks, and removed (false where the document itself
+    keeps every chunk of the span).
     """
     parts = chunks(docs)
     marked = parts.join(repeated_digests(parts), ["hi", "lo"]).drop("hi", "lo").distinct()
@@ -139,7 +139,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = marked.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.sum("bytes").cast("int").alias("length"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
-        F.min(F.struct("start", "keeper_doc_id"))["keeper_doc_id"].alias("keeper_doc_id"),
+        F.min("keeper_doc_id").alias("keeper_doc_id"),
         F.max(F.col("keeper_doc_id") < F.col("doc_id")).alias("removed"),
     )
     return spans.where(F.col("n_words") >= min_words).drop("run")
