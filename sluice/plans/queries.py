@@ -333,7 +333,7 @@ def strict_date(spark, sf_dir):
 
 @_query()
 def validate_rows(spark, sf_dir):
-    p = stand_in(spark, sf_dir).withColumn("id", (F.col("pos") % 200).cast("string")).withColumn("source_ids", F.array("id")).withColumn("duplicate_sources", F.array("portal"))
+    p = stand_in(spark, sf_dir).withColumn("id", (F.col("pos") % 40).cast("string")).withColumn("source_ids", F.array("id")).withColumn("duplicate_sources", F.array("portal"))
     return ranking.validate_postings(p)
 
 
