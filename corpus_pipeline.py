@@ -1,13 +1,14 @@
 """The corpus pipeline: language, near duplicates, benchmark passages, mixture, shards.
 
 Each stage works on all that the stage before it kept, and is written to the
-shared folder before the next one reads it.
+shared folder before the next one reads it. Columns beyond those of documents pass
+through the stages up to the mixture whatever their names; rows of null texts or
+of none with a letter go with the first stage; empty tables stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sluice.llm import langid_crf, prefix_join, probminhash, virtual_slots, waterfill
 from sluice.llm.common import cut
@@ -19,8 +20,7 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the model."""
     model = langid_crf.train(langid_crf.training_rows(docs))
-    known = langid_crf.identify(docs, model, tuple(docs.columns))
-    return known.where((F.col("lang_pred") != langid_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return langid_crf.keep_known(docs, model, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 500
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores appended until no column has it (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with "_in" appended to the columns that have an operator's own names, and every column's new name by its old one."""
+    mine = {c.lower() for c in own}
+    taken = {c.lower() for c in df.columns} | mine
+    names = {}
+    for c in df.columns:
+        names[c] = c
+        if c.lower() in mine:
+            while names[c].lower() in taken:
+                names[c] += "_in"
+            taken.add(names[c].lower())
+    return df.toDF(*names.values()), names
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, fresh
 from .wordbytes import SPACE, steps, trimmed
 
 #: Bytes that a gear hash depends on, and the reach of the smallest-hash rule.
@@ -64,15 +64,18 @@ def _windowed_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def boundaries(data: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Ends of the chunks of one or more texts laid end to end (rims are set by the caller)."""
+def _smallest(data: np.ndarray, reach: int) -> np.ndarray:
+    """Places whose hash is the smallest within ``reach`` bytes on either side."""
     n = len(data)
     if n < 2 * reach + 1:
         return np.zeros(0, np.int64)
     h = gear_hashes(data)
     low = _windowed_min(h, 2 * reach + 1)
-    at = np.flatnonzero(h[reach : n - reach] == low) + reach
-    # Of equal hashes within reach (runs of one byte) the first ends a chunk.
+    return np.flatnonzero(h[reach : n - reach] == low) + reach
+
+
+def _apart(at: np.ndarray, reach: int) -> np.ndarray:
+    """Of equal hashes within reach (runs of one byte) the first."""
     if len(at) > 1 and (np.diff(at) <= reach).any():
         kept, last = [], -reach - 1
         for x in at.tolist():
@@ -80,7 +83,21 @@ def boundaries(data: np.ndarray, reach: int = REACH) -> np.ndarray:
                 kept.append(x)
                 last = x
         at = np.array(kept, np.int64)
-    return at + 1
+    return at
+
+
+def boundaries(data: np.ndarray, offsets: np.ndarray | None = None, reach: int = REACH) -> np.ndarray:
+    """Ends of the chunks inside texts laid end to end (one text where no offsets are given); a text's own end is not named.
+
+    They depend on their own text alone: where hashes within reach would see
+    bytes of the text before or after, no chunk ends.
+    """
+    if offsets is None:
+        offsets = np.array([0, len(data)], np.int64)
+    at = _smallest(data, reach)
+    doc = np.searchsorted(offsets, at, "right") - 1
+    inside = (at - reach - (GEAR - 1) >= offsets[doc]) & (at + reach < offsets[doc + 1])
+    return _apart(at[inside], reach) + 1
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins = ~space
             begins[1:] &= space[:-1]
             begun = np.concatenate([[0], np.cumsum(begins)])
-            cuts = boundaries(data)
-            # Chunks never cross texts; rules near a rim see the neighbouring text, so texts' rims are cut anew.
-            doc_of = np.searchsorted(offsets, cuts - 1, "right") - 1
-            near = (cuts - offsets[doc_of] > REACH) & (offsets[doc_of + 1] - cuts >= REACH)
-            ends = np.union1d(cuts[near], offsets[1:])
+            ends = np.union1d(boundaries(data, offsets), offsets[1:])
             starts = np.concatenate([[0], ends[:-1]])
             full = ends > starts
             starts, ends = starts[full], ends[full]
@@ -162,5 +175,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if g is None or t is None else _cut_out(t, [(x["start"], x["length"]) for x in g]) for t, g in zip(text, gone, strict=True)])
 
-    gone = spans.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("_gone"))
-    return docs.join(gone, "doc_id", "left").withColumn("text", without("text", "_gone")).select(*docs.columns)
+    name = fresh(docs.columns, "_gone")
+    gone = spans.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias(name))
+    return docs.join(gone, "doc_id", "left").withColumn("text", without("text", name)).select(*docs.columns)

@@ -19,7 +19,8 @@ forward-backward together, longest first, so memory follows the step's bytes.
 Defined cases: a null text, or one without a letter, is 'und' with score 0; null
 languages are not learned from; with one language everything with letters is
 that language; without any labelled text everything is 'und'; repeated rows get
-equal results; lang, source and id are never inputs of a prediction.
+equal results; a carried column named lang_pred, score or spoken comes out with
+"_in" appended; lang, source and id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches
+from .common import WORD, bound_batches, set_aside
 from .wordbytes import POWERS, Words, _FOLD, _VALUE, mixed, steps, trimmed
 
 SAMPLE_DOCS, SAMPLE_WORDS = 240, 200
+OWN = ("lang_pred", "score", "spoken")
 MAX_LANGUAGES = 500
 BITS = 17
 BUCKETS = 1 << BITS
@@ -265,8 +267,17 @@ def _labeller(model, carry: list[str]):
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns (text may be one) with lang_pred and score of every whole text."""
     bound_batches(docs.sparkSession)
+    docs, names = set_aside(docs, OWN)
+    carry = tuple(names[c] for c in carry)
     spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("spoken")
     kinds = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.lexicon, model.weights, model.transitions))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double"])
     return docs.select(*dict.fromkeys([*carry, "text"]), spoken).mapInArrow(trimmed(_labeller(shared, [*carry])), schema)
+
+
+def keep_known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The documents, under their own columns, that are in a language of the model with a score of ``least_score``."""
+    aside, names = set_aside(docs, OWN)
+    told = identify(aside, model, tuple(names.values()))
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*[F.col(new).alias(old) for old, new in names.items()])

@@ -17,7 +17,8 @@ joined by its shingles instead (``_found_by_join``), with the same results.
 
 Defined cases: null or wordless texts have no words and no hits; items without
 words have no windows; equal items count each, under one window; repeated rows of
-``documents`` come back as often as they came; an empty benchmark hits nothing.
+``documents`` come back as often as they came; an empty benchmark hits nothing;
+extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -184,6 +185,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, inline: int = INLINE) -> DataFrame:
     """The documents that are not contaminated. What is judged is the text, so equal texts go together."""
-    bad = cut(decontaminate(docs, benchmark, window, share, inline).where("contaminated").select(F.col("th").alias("_th")).distinct(), "contaminated")
+    th = fresh(docs.columns, "_th")
+    bad = cut(decontaminate(docs, benchmark, window, share, inline).where("contaminated").select(F.col("th").alias(th)).distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_TEXTS else bad
-    return docs.withColumn("_th", F.xxhash64("text")).join(bad, "_th", "left_anti").select(*docs.columns)
+    return docs.withColumn(th, F.xxhash64("text")).join(bad, th, "left_anti").select(*docs.columns)

@@ -30,7 +30,8 @@ bucket are at most its members.
 Defined cases: a null text is a class of its own; empty or wordless texts are
 near only their exact copies; rows of a null doc_id take part through their text
 and get its class; a class is named by its smallest doc_id; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read. Rows of one doc_id are one document: ``keep_one``
+drops it if all of them belong to other classes, and else keeps one row for each of its texts.
 """
 
 from __future__ import annotations
@@ -352,8 +353,8 @@ def _without(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One document of each class: the row of the class's smallest doc_id; rows without an id stay."""
     classes = cut(classes, "classes")
-    kept = _without(docs, cut(classes.where("doc_id <> class_id").select("doc_id").distinct(), "losers"), "left_anti")
+    kept = _without(docs, cut(classes.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("goes")).where("goes").select("doc_id"), "losers"), "left_anti")
     again = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         return kept
-    return _without(kept, again, "left_anti").unionByName(_without(kept, again, "left_semi").dropDuplicates(["doc_id"]))
+    return _without(kept, again, "left_anti").unionByName(_without(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))

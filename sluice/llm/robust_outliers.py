@@ -20,7 +20,8 @@ broadcast only if counted and at most BROADCAST_GROUPS.
 Defined cases: a null text has no words and fails the base rule; null languages
 and sources are groups of their own; equal rows count as often as they come; an
 empty table gives an empty result; a coordinate that does not vary in a group
-gets the floor variance, so that it can't divide by zero.
+gets the floor variance, so that it can't divide by zero; a carried column with the
+name of a count comes out with "_in" appended, others are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, set_aside
 from .wordbytes import Words, repeated_within, steps, trimmed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -92,6 +93,8 @@ def _counter(carry: list[str]):
 def text_counts(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The exact counts of every whole text beside the carried columns."""
     bound_batches(docs.sparkSession)
+    docs, names = set_aside(docs, COUNTS)
+    carry = tuple(names[c] for c in carry)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{c} long" for c in COUNTS)])
     return docs.select(*carry, "text").mapInArrow(trimmed(_counter([*carry])), schema)

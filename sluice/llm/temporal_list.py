@@ -19,7 +19,7 @@ Defined cases: a null or hostless URL or a null date matches nothing and is kept
 (blocked false); several entries of one pattern, list and day: the largest seq
 holds; a removal without an addition has no effect; an entry with a null pattern or
 date is ignored; an empty list blocks nothing; extra capture columns pass through,
-and clashing names raise ValueError.
+and those with names of the operator's own come out with "_in" appended.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 OWN = ("host", "url_key", "blocked", "matches")
 
 
@@ -77,9 +79,8 @@ def _host_histories(hosts: DataFrame, lists: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_date") -> DataFrame:
     """Captures with host, url_key, matches (entries active on the day, in order) and blocked."""
-    clash = {*captures.columns} & {*OWN, "host_history", "url_history"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the operator's own")
+    captures, names = set_aside(captures, (*OWN, "host_history", "url_history"))
+    url, day = names[url], names[day]
     lists = intervals(entries)
     with_keys = captures.withColumn("host", url_host(url)).withColumn("url_key", url_key(url))
     hosts = with_keys.select("host").where("host IS NOT NULL").distinct()

@@ -13,7 +13,7 @@ batches it does not name.
 
 Defined cases: a null text has no tokens; null sources and languages are keys of
 their own; a batch may be empty; repeated rows count as often as they come; other
-columns are not read.
+columns are not read, and a carried one named tokens comes out as tokens_in.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches
+from .common import WORD, bound_batches, set_aside
 from .wordbytes import trimmed
 
 TOKENIZERS = "/opt/tokenizers"
@@ -58,13 +58,16 @@ def _token_counter(path: str):
 def count_tokens(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """Tokens of every whole text by a public byte-level vocabulary, beside the carried columns."""
     bound_batches(docs.sparkSession)
+    docs, names = set_aside(docs, ("tokens",))
+    carry = tuple(names[c] for c in carry)
     kinds = dict(docs.dtypes)
     return docs.select(*carry, "text").mapInArrow(trimmed(_token_counter(vocabulary)), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", tokens long")
 
 
 def count_words(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """White-space words of every whole text: the plainest tokenizer version."""
-    return docs.select(*carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
+    docs, names = set_aside(docs, ("tokens",))
+    return docs.select(*[names[c] for c in carry], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
 
 
 def inserts(counts: DataFrame, tokenizer: str) -> DataFrame:

@@ -11,7 +11,8 @@ planned on the driver and broadcast.
 Defined cases: a null text has 0 bytes (size 1) and the CRC of the empty string;
 a null id hashes as its text; equal rows share a slot and get different
 positions; an empty table gives a map of empty slots; extra columns pass through
-where asked for, and clashing names are never overwritten silently (ValueError).
+where asked for, and those with names of the operator's own come out with "_in"
+appended.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import cut, new_path, set_aside
 
 N_SLOTS = 4096
 MAP_SCHEMA = "vslot int, shard int, bytes long, rows long, first_position long"
@@ -35,9 +36,8 @@ def record_slot(key: str, text: str, n_slots: int = N_SLOTS) -> Column:
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), n_slots: int = N_SLOTS) -> DataFrame:
     """Key, size in bytes plus one, CRC and slot of every record; the text itself goes no further unless kept."""
-    clash = {*keep} & {"size", "text_crc32", "vslot"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the operator's own")
+    docs, names = set_aside(docs, (*OUT, "_in_slot", "first_position"))
+    key, text, keep = names[key], names[text], tuple(names[c] for c in keep)
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(key), *keep,
@@ -137,7 +137,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", tex
     loads = slot_loads(records)
     path = map_path or new_path(spark, "slotmap")
     slot_map = publish(spark, path, 0, plan_map(loads, n_shards, n_slots), loads)
-    return place(records, slot_map, 0, key)
+    return place(records, slot_map, 0, records.columns[0])
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -18,7 +18,8 @@ table is broadcast only if counted and at most BROADCAST_SOURCES rows.
 
 Defined cases: a null text or one of white space has size 0; a null source is a
 source of its own, last in order; a source without words has target 0; equal rows
-are told apart only by order; an empty table gives an empty result.
+are told apart only by order; extra columns may have any names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ def cyclic_weight(rank: Column, cycle: int = 3) -> Column:
     return (F.pmod(rank - 1, F.lit(cycle)) + 1).cast("long")
 
 
-def sized(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size and the seeded digest, beside other columns that are to be kept."""
+def sized(docs: DataFrame, seed: str = SEED, whole: bool = False) -> DataFrame:
+    """doc_id, source, size and the seeded digest, beside the whole row as a struct where it is to be kept."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     return docs.select(
-        *dict.fromkeys(["doc_id", "source", *keep]),
+        "doc_id", "source", *([F.struct(*docs.columns).alias("row")] if whole else []),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         key.alias("ord"),
     )
@@ -124,9 +125,6 @@ def mix(docs: DataFrame, epochs: int = 3, seed: str = SEED, weight=cyclic_weight
 def mixture(docs: DataFrame, epochs: int = 3, seed: str = SEED, weight=cyclic_weight) -> DataFrame:
     """The mix itself: every document, whole, as often as the mix takes it. Texts are read twice and never shuffled
     (but for the bucket of each source that the cut goes through)."""
-    own = {"size", "ord", "source_size", "target", "whole", "wanted", "cut_bucket", "cut_before", "last_full", "extra", "repeats"} & {*docs.columns}
-    if own:
-        raise ValueError(f"columns {sorted(own)} clash with the operator's own")
     base = cut(sized(docs, seed), "mix-sizes")
-    taken = _decided(sized(docs, seed, tuple(docs.columns)), base, epochs, weight).where("repeats > 0")
-    return taken.withColumn("_times", F.explode_outer(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    taken = _decided(sized(docs, seed, True), base, epochs, weight).where("repeats > 0")
+    return taken.withColumn("_times", F.explode_outer(F.array_repeat(F.lit(1), F.col("repeats").cast("int")))).select("row.*")

@@ -193,8 +193,8 @@ def test_slots(spark, docs, odd):
     moved = [s for s in old if old[s] != new[s]]
     assert moved and all(new[s] == 8 for s in moved) and len(moved) < 4096 / 8
     assert virtual_slots.shard_documents(odd.limit(0), 8).count() == 0
-    with pytest.raises(ValueError):
-        virtual_slots.measured(docs.withColumn("size", F.lit(1)), keep=("size",))
+    named = virtual_slots.shard_documents(odd.withColumn("Slot", F.lit("x")).withColumn("size", F.lit("y")), 8, keep=("Slot", "size"))
+    assert {(r["Slot_in"], r["size_in"]) for r in named.collect()} == {("x", "y")} and named.select("size", "slot").dtypes == [("size", "bigint"), ("slot", "bigint")]
 
 
 def test_temporal_list(spark):
@@ -203,8 +203,8 @@ def test_temporal_list(spark):
     entries = spark.createDataFrame([("l", "domain", "a.org", "add", d("2024-01-02"), 1), ("l", "domain", "a.org", "add", d("2024-01-03"), 1), ("l", "domain", "a.org", "remove", d("2024-01-10"), 1), ("l", "url", "b.org/q", "add", d("2024-01-01"), 1), ("l", "host", "a.org", "add", d("2024-02-01"), 1), ("l", "host", "a.org", "remove", d("2024-02-01"), 2), ("l", "host", None, "add", d("2024-01-01"), 1)], "list string, kind string, pattern string, action string, effective date, seq int")
     assert {r["page_id"]: r["blocked"] for r in temporal_list.judge(caps, entries).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
     assert temporal_list.judge(caps, entries.limit(0)).where("blocked").count() == 0
-    with pytest.raises(ValueError):
-        temporal_list.judge(caps.withColumn("host", F.lit("x")), entries)
+    named = temporal_list.judge(caps.withColumn("host", F.lit("x")).withColumnRenamed("url", "matches"), entries, url="matches").collect()
+    assert {r["host_in"] for r in named} == {"x"} and {r["page_id"] for r in named if r["blocked"]} == {1, 3}
 
 
 def test_chunks_resist_shifts_and_find_passages(spark, odd):
@@ -219,6 +219,12 @@ def test_chunks_resist_shifts_and_find_passages(spark, odd):
     data = np.frombuffer(say(4000).encode(), np.uint8)
     a, b = gear_chunks.boundaries(data), gear_chunks.boundaries(np.concatenate([data[:7000], data[:13], data[7000:]]))
     assert len({*a[a > 7100].tolist()} - {x - 13 for x in b.tolist()}) == 0 and (np.diff(a) > gear_chunks.REACH).all()
+    # A text's chunks are its own, whatever texts lie beside it.
+    both, at = np.concatenate([data[500:900], data[:7000], data[3:77]]), np.array([0, 400, 7400, 7474], np.int64)
+    own = gear_chunks.boundaries(both, at)
+    assert (own[(own > 400) & (own <= 7400)] - 400).tolist() == gear_chunks.boundaries(data[:7000]).tolist()
+    same = np.full(300, 97, np.uint8)
+    assert gear_chunks.boundaries(np.concatenate([data[:50], same]), np.array([0, 50, 350], np.int64)).tolist() == (gear_chunks.boundaries(same) + 50).tolist()
     plain = gear_chunks._GEAR_VALUE.astype(object)
     h = gear_chunks.gear_hashes(data[:100])
     assert h[60] == sum(int(plain[data[60 - j]]) << j for j in range(gear_chunks.GEAR)) % (1 << 32)
@@ -277,3 +283,47 @@ def test_pipeline_stages(spark, sf, docs):
             assert 0 < kept.count() <= before.count()
     placed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert placed.count() == kept.count()
+
+
+CLASHES = ("lang_pred", "score", "spoken", "class_id", "rid", "h1", "label", "_th", "th", "size", "ord", "target", "whole", "extra", "repeats", "row", "_times", "slot", "shard", "vslot", "key", "count")
+
+
+def test_pipeline_stages_take_odd_rows_and_any_columns(spark, sf, docs, odd):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables pass every stage."""
+    import corpus_pipeline
+
+    known = docs.where("lang IS NOT NULL").limit(60)
+    rows = known.unionByName(odd).withColumns({c: F.lit(f"v-{c}") for c in CLASHES})
+    for table in (rows, rows.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = common.cut(stage(spark, kept, sf), f"test-odd-{name}")
+            assert kept.columns == rows.columns
+            assert kept.where(" OR ".join(f"{c} <> 'v-{c}'" for c in CLASHES)).isEmpty()
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == kept.count()
+
+
+def test_each_stage_takes_odd_rows(spark, sf, odd):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name, want in (("near_duplicates", ["1", "2", "3", "4", "5", "7", "None"]), ("decontamination", sorted(str(r[0]) for r in ODD))):
+        assert sorted(str(r["doc_id"]) for r in stages[name](spark, odd, sf).collect()) == want
+    assert {r["doc_id"] for r in stages["mixing"](spark, odd, sf).collect()} <= {r[0] for r in ODD}
+    assert stages["sharding"](spark, odd, sf).count() == len(ODD)
+    assert stages["language"](spark, odd.where("doc_id < 5"), sf).where("text IS NULL OR NOT text RLIKE '[a-z]'").isEmpty()
+
+
+def test_one_of_each_class_stays_but_no_text_goes_for_its_id_alone(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "z"])
+    other = " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(3, " ".join(base), "en", "s", 0), (5, " ".join(base), "en", "s", 0), (5, other, "en", "s", 0), (6, near, "en", "s", 0)], DOCS)
+    kept = probminhash.keep_one(df, probminhash.near_duplicates(df)).collect()
+    assert other in {r["text"] for r in kept} and 3 in {r["doc_id"] for r in kept} and 6 not in {r["doc_id"] for r in kept}
+
+
+def test_carried_columns_keep_their_values(spark, odd):
+    taken = odd.withColumn("tokens", F.lit("x")).withColumn("n_words", F.lit("y"))
+    assert {r["tokens_in"] for r in token_rollup.count_words(taken, ("doc_id", "tokens")).collect()} == {"x"}
+    assert {r["n_words_in"] for r in robust_outliers.text_counts(taken, ("doc_id", "n_words")).collect()} == {"y"}
