@@ -6,12 +6,20 @@ of transformed statistics: for each language and source the minimum covariance
 determinant estimate is found by concentration steps, and documents whose
 Mahalanobis distance from it is above a chi-square limit are rejected.
 
-The concentration steps are those of the deterministic MCD: they start at the
-coordinates' medians and absolute deviations; each keeps the share ``h`` of the
-group's rows nearest to the present centre (a mergeable quantile sketch gives the
-radius) and takes their mean and covariance. Each is two aggregations of a narrow
-table with map-side partial sums, over all rows of all groups at once; no group
-is gathered anywhere, so a source with a third of all rows is no special case.
+The estimate is a deterministic MCD with half of each group's rows, so that junk
+of almost half of a group does not carry it. Three of that method's six starts are
+taken (the coordinates themselves, their hyperbolic tangents, their spatial signs;
+not ranks, normal scores and pairwise scales): the axes of each give a centre and
+scatter by medians and median deviations. From each, concentration steps keep the
+half of the group's rows nearest to the present centre (a mergeable quantile
+sketch gives the radius) and take their mean and covariance, until the determinant
+falls by less than SETTLED (a step never raises it, but for the sketch's error).
+The smallest determinant of a group counts; all rows within its 97.5 % ellipsoid
+then give the final mean and covariance.
+
+Each step is two aggregations of a narrow table with map-side partial sums, over
+all rows of all groups and starts not yet settled; no group is gathered anywhere,
+so a source with a third of all rows is no special case.
 
 Groups smaller than ``min_rows`` borrow their language's estimate, small languages
 that of the corpus. Group tables have one row per (lang, source); they are
@@ -45,6 +53,8 @@ BROADCAST_GROUPS = 50_000
 DIMS = 4
 #: Smallest standard deviation of each coordinate: below it, differences are of no interest.
 FLOOR = (0.08, 0.12, 0.12, 0.10)
+#: The logarithm of a determinant is settled when it falls by less than this.
+SETTLED = 1e-3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -134,18 +144,47 @@ def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", F.array(*m).alias("m"), F.array(*s).alias("s"))
 
 
+def _unpacked(packed) -> np.ndarray:
+    """The symmetric matrix of a packed lower triangle."""
+    full = np.zeros((DIMS, DIMS))
+    full[np.tril_indices(DIMS)] = packed
+    return full + full.T - np.diag(np.diag(full))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _inverse(s, scale):
-    """Packed lower triangles of covariances, scaled and floored, to their inverses' full matrices."""
+    """Packed lower triangles of covariances, scaled and floored, to their inverses' full matrices and, last, the logarithms of their determinants."""
     import pandas as pd
 
     out = []
     for packed, c in zip(s, scale, strict=True):
-        full = np.zeros((DIMS, DIMS))
-        full[np.tril_indices(DIMS)] = packed
-        full = (full + full.T - np.diag(np.diag(full))) * c
-        full += np.diag(np.square(FLOOR))
-        out.append(np.linalg.inv(full).ravel())
+        full = _unpacked(packed) * c + np.diag(np.square(FLOOR))
+        out.append([*np.linalg.inv(full).ravel(), np.linalg.slogdet(full)[1]])
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _axes(s):
+    """Packed lower triangles to the full matrices of their correlations' eigenvectors."""
+    import pandas as pd
+
+    out = []
+    for packed in s:
+        full = _unpacked(packed)
+        by = np.sqrt(np.maximum(np.diag(full), 1e-12))
+        out.append(np.linalg.eigh(full / np.outer(by, by))[1].ravel())
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _along(axes, spread, scale):
+    """Packed covariances with the given spreads along the axes of coordinates divided by scale."""
+    import pandas as pd
+
+    out = []
+    for e, d, c in zip(axes, spread, scale, strict=True):
+        e = np.asarray(e).reshape(DIMS, DIMS) * np.asarray(c)[:, None]
+        out.append((e @ np.diag(np.square(d)) @ e.T)[np.tril_indices(DIMS)])
     return pd.Series(out)
 
 
@@ -159,24 +198,61 @@ def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "g")
 
 
-def mcd(rows: DataFrame, h: float = 0.75, rounds: int = 4) -> DataFrame:
-    """Centre and inverse scatter (g, m, inv) of every group g of rows (g, x0...)."""
-    xs = [f"x{i}" for i in range(DIMS)]
-    middle = rows.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in xs])
-    start = F.array(*[F.pow((F.get(x, 2) - F.get(x, 0)) / 1.349, 2) if i == j else F.lit(0.0) for i, x in enumerate(xs) for j in range(i + 1)])
-    groups = cut(middle.select("g", F.array(*[F.get(x, 1) for x in xs]).alias("m"), _inverse(start, F.lit(1.0)).alias("inv")), "mcd")
-    #: Mean of the nearest share h of normal rows: scales the concentrated covariance to that of all.
+def _medians(rows: DataFrame, keys: list[str], values: list[Column]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array(*[F.percentile_approx(v, 0.5, 2000) for v in values]).alias("mid"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Centres and inverse scatters (g, k, m, inv) to start from, with a determinant that any step lowers."""
+    dims, xs = range(DIMS), [F.col(f"x{i}") for i in range(DIMS)]
+    centres = cut(_medians(rows, ["g"], xs).withColumnRenamed("mid", "centre"), "mcd-median")
+    away = _medians(_with_groups(rows, centres), ["g"], [F.abs(xs[i] - F.get("centre", i)) for i in dims])
+    scale = F.array(*[F.greatest(1.4826 * F.get("mid", i), F.lit(FLOOR[i])) for i in dims])
+    centres = cut(centres.join(away.select("g", scale.alias("scale")), "g"), "mcd-scale")
+    z = [(xs[i] - F.get("centre", i)) / F.get("scale", i) for i in dims]
+    norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in dims]))
+    signs = F.when(norm > 0, 1 / norm).otherwise(0.0)
+    shapes = F.array(F.struct(F.lit(1).alias("k"), *[F.tanh(f"z{i}").alias(f"x{i}") for i in dims]), F.struct(F.lit(2).alias("k"), *[(F.col(f"z{i}") * signs).alias(f"x{i}") for i in dims]))
+    shaped = _with_groups(rows, centres).select("g", *[z[i].alias(f"z{i}") for i in dims]).select("g", F.inline(shapes))
+    axes = _pack(shaped, ["g", "k"]).select("g", "k", _axes("s").alias("axes"))
+    plain = centres.select("g", F.lit(0).alias("k"), F.array(*[F.lit(float(i == j)) for i in dims for j in dims]).alias("axes"))
+    axes = cut(axes.unionByName(plain).join(centres, "g"), "mcd-axes")
+    y = [reduce(lambda a, b: a + b, [z[i] * F.get("axes", i * DIMS + j) for i in dims]) for j in dims]
+    turned = _medians(_with_groups(rows, axes), ["g", "k"], y)
+    axes = cut(axes.join(turned, ["g", "k"]), "mcd-turned")
+    spread = _medians(_with_groups(rows, axes), ["g", "k"], [F.abs(y[j] - F.get("mid", j)) for j in dims]).select("g", "k", F.transform("mid", lambda v: 1.4826 * v).alias("spread"))
+    back = F.array(*[F.get("centre", i) + F.get("scale", i) * reduce(lambda a, b: a + b, [F.get("axes", i * DIMS + j) * F.get("mid", j) for j in dims]) for i in dims])
+    scatter = _inverse(_along("axes", "spread", "scale"), F.lit(1.0))
+    return cut(axes.join(spread, ["g", "k"]).select("g", "k", back.alias("m"), scatter.alias("inv"), F.lit(math.inf).alias("last")), "mcd-start")
+
+
+def _share_scale(h: float) -> float:
+    """What scales the covariance of the nearest share h of normal rows to that of all."""
     q = chi_square_quantile(h, DIMS)
-    inner = 1 - math.exp(-q / 2) * sum((q / 2) ** i / math.factorial(i) for i in range(DIMS // 2 + 1))
-    for _ in range(rounds):
-        far = _with_groups(rows, groups).withColumn("d2", _distance())
-        radius = far.groupBy("g").agg(F.percentile_approx("d2", h, 2000).alias("radius"))
-        near = _with_groups(far.select("g", *xs, "d2"), cut(radius, "mcd-radius")).where("d2 <= radius")
-        groups = cut(_pack(near, ["g"]).select("g", "m", _inverse("s", F.lit(h / inner)).alias("inv")), "mcd")
-    return groups
+    return h / (1 - math.exp(-q / 2) * sum((q / 2) ** i / math.factorial(i) for i in range(DIMS // 2 + 1)))
 
 
-def reject_outliers(counts: DataFrame, keys: tuple[str, ...] = ("lang", "source"), min_rows: int = 200, confidence: float = 0.9999, h: float = 0.75, rounds: int = 4) -> DataFrame:
+def mcd(rows: DataFrame, h: float = 0.5) -> DataFrame:
+    """Centre and inverse scatter (g, m, inv) of every group g of rows (g, x0...)."""
+    rows = cut(rows.select("g", *[f"x{i}" for i in range(DIMS)]), "mcd-rows")
+    going, found = _starts(rows), []
+    log_det = F.get("inv", DIMS * DIMS)
+    while not found or not going.isEmpty():
+        far = _with_groups(rows, going).withColumn("d2", _distance())
+        radius = far.groupBy("g", "k").agg(F.percentile_approx("d2", h, 2000).alias("radius"))
+        going = cut(going.join(radius, ["g", "k"]), "mcd-radius")
+        near = _with_groups(rows, going).where(_distance() <= F.col("radius"))
+        after = _pack(near, ["g", "k"]).select("g", "k", "m", _inverse("s", F.lit(_share_scale(h))).alias("inv"))
+        after = cut(after.join(going.select("g", "k", "last"), ["g", "k"]), "mcd-step").withColumn("settled", log_det > F.col("last") - SETTLED)
+        found.append(after.where("settled").select("g", "k", "m", "inv"))
+        going = after.where("NOT settled").select("g", "k", "m", "inv", log_det.alias("last"))
+    best = reduce(DataFrame.unionByName, found).groupBy("g").agg(F.min_by(F.struct("m", "inv"), F.struct(log_det, "k")).alias("b"))
+    best = cut(best.select("g", "b.*"), "mcd-best")
+    inner = _with_groups(rows, best).where(_distance() <= chi_square_quantile(0.975, DIMS))
+    return cut(_pack(inner, ["g"]).select("g", "m", F.slice(_inverse("s", F.lit(_share_scale(0.975))), 1, DIMS * DIMS).alias("inv")), "mcd")
+
+
+def reject_outliers(counts: DataFrame, keys: tuple[str, ...] = ("lang", "source"), min_rows: int = 200, confidence: float = 0.9999, h: float = 0.5) -> DataFrame:
     """``counts`` with base_failed, distance (null where the base rule fails) and kept.
 
     Only statistics that lie on the bad side of the centre count against a
@@ -200,7 +276,7 @@ def reject_outliers(counts: DataFrame, keys: tuple[str, ...] = ("lang", "source"
     wanted = F.broadcast(wanted) if small else wanted
     levels = [sample.select(F.col("g2").alias("g"), *xs), sample.select(F.col("g1").alias("g"), *xs), sample.select(F.lit("all").alias("g"), *xs)]
     rows_of = reduce(DataFrame.unionByName, [x.join(wanted, "g", "left_semi") for x in levels])
-    groups = mcd(rows_of, h, rounds)
+    groups = mcd(rows_of, h)
     picked = chosen.join(groups, "g").select("g2", "m", "inv")
     joined = rows.join(F.broadcast(picked) if small else picked, "g2", "left")
     limit = chi_square_quantile(confidence, DIMS)

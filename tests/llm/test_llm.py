@@ -49,6 +49,27 @@ def test_mcd_finds_planted_outliers(spark):
     assert (spread > 0.6).all() and (spread < 1.6).all()
 
 
+def test_a_third_of_a_source_as_junk_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for source, level in (("a", 0.6), ("b", 1.0), ("c", 2.0)):
+        for i in range(1200):
+            n, junk = int(rng.integers(60, 400)), i % 3 == 0
+            rows.append((source, junk, n, int(n * rng.normal(5, 0.15)), int(n * (level * rng.uniform(0.95, 1.05) if junk else rng.choice([0, 0, 0.01]))), 0, 0))
+    counts = spark.createDataFrame(rows, "source string, junk boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    got = robust_outliers.reject_outliers(counts.withColumn("lang", F.lit("en"))).groupBy("source", "junk").agg(F.avg(F.col("kept").cast("int"))).collect()
+    assert len(got) == 6 and all(share == 0 if junk else share >= 0.999 for _, junk, share in got), got
+
+
+def test_mcd_keeps_the_smallest_determinant(spark):
+    """Two fifths of the rows in a tight clump: the clean majority's estimate, not one that bridges both."""
+    rng = np.random.default_rng(4)
+    mix = np.linalg.cholesky(0.9 * np.ones((4, 4)) + 0.1 * np.eye(4))
+    rows = [("g", *map(float, mix @ rng.normal(0, 1, 4))) for _ in range(600)] + [("g", *map(float, [3, -3, 3, -3] + rng.normal(0, 0.3, 4))) for _ in range(400)]
+    got = robust_outliers.mcd(spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double")).collect()
+    assert len(got) == 1 and np.abs(np.array(got[0]["m"])).max() < 0.3
+
+
 def test_outliers_keep_plain_documents(spark, docs, odd):
     got = robust_outliers.reject_outliers(robust_outliers.text_counts(docs))
     r = got.agg(F.count("*").alias("n"), F.count_if(F.expr("base_failed AND kept")).alias("bad"), F.count_if(F.expr("n_symbols = 0 AND NOT base_failed AND NOT kept AND n_repeat_words = 0 AND n_dup_lines = 0")).alias("lost")).first()
