@@ -5,18 +5,23 @@ on the last GEAR bytes alone. A chunk ends where the hash is the smallest within
 ``reach`` bytes on either side: a purely local rule, so that an insertion moves
 only the chunks it touches, and chunk lengths vary little (about 2 * reach + 1 on
 average, more than reach always). Chunks are deduplicated by 128-bit digest;
-neighbouring repeated chunks of a text join to spans.
+repeated chunks are where two texts are then compared byte by byte.
 
-A chunk is repeated if its digest stands in another document too. The copy in the
-lowest doc_id stays (keeper), the others may be removed. Spans of fewer than
-``min_words`` words are left alone; with the chunks lost at both rims of a
-passage, the default finds passages of 50 words.
+A chunk is repeated if its digest stands in another document too; the lowest
+doc_id of those is its keeper. From every repeated chunk, however short, the
+document's and the keeper's texts are compared in both directions until they
+differ; the whole words that agree are a passage, and count from ``min_words`` on.
+The document's copy may be removed, the keeper's stays. All that is removed stands
+in a document of lower id, so that the lowest copy of every passage stays. Not
+found are passages without one whole shared chunk, and what two documents share
+beyond the text of the lowest keeper of all chunks of it.
 
 Scale: one narrow row per chunk (digest, document, place) goes through two
 shuffles: a map-side combined count by digest, which collapses a passage that a
 third of all documents share before it moves, and an equi-join that adaptive
-execution splits by size. Spans are built per document and region of a document,
-never over a group of copies.
+execution splits by size. Pairs of a document and a keeper, at most one for each
+repeated chunk, are joined with both texts. No group of copies is gathered, and
+no copies but the lowest are paired with each other.
 
 Defined cases: null and empty texts have no chunks; repeated rows of one doc_id
 are one document and do not make each other repeated; rows with a null doc_id
@@ -39,8 +44,9 @@ from .wordbytes import SPACE, steps, trimmed
 
 #: Bytes that a gear hash depends on, and the reach of the smallest-hash rule.
 GEAR, REACH = 16, 20
-MIN_WORDS = 25
+MIN_WORDS = 50
 _GEAR_VALUE = np.random.default_rng(20240301).integers(0, 1 << 32, 256, dtype=np.uint32)
+PASSAGES = "doc_id long, keeper_doc_id long, removed boolean, start int, end int, first int, last int"
 CHUNKS = "doc_id long, hi long, lo long, start int, bytes int, words int"
 
 
@@ -133,29 +139,96 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_digests(parts: DataFrame) -> DataFrame:
-    """Digests that stand in two documents or more, with the document that keeps them."""
-    ends = parts.groupBy("hi", "lo").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    return ends.where("keeper_doc_id < last_doc_id").select("hi", "lo", "keeper_doc_id")
+    """Digests that stand in two documents or more, with the document that keeps them and the first place there."""
+    ends = parts.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("keeper"), F.max("doc_id").alias("last_doc_id"))
+    return ends.where("keeper.doc_id < last_doc_id").select("hi", "lo", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"))
+
+
+class _Text:
+    """A text's bytes, their spaces and the number of words begun before each."""
+
+    def __init__(self, text: str):
+        self.data = np.frombuffer(text.encode(), np.uint8)
+        self.space = SPACE[self.data]
+        begins = ~self.space
+        begins[1:] &= self.space[:-1]
+        self.begun = np.concatenate([[0], np.cumsum(begins)])
+
+
+def _agreeing(a: _Text, b: _Text, i: int, j: int, n: int) -> tuple[int, int]:
+    """First and last place in a of the bytes around a[i : i + n] that agree with those around b[j : j + n]; equal places if these differ."""
+    if not np.array_equal(a.data[i : i + n], b.data[j : j + n]):
+        return i, i
+    m = min(i, j)
+    off = np.flatnonzero(a.data[i - m : i] != b.data[j - m : j])
+    start = i - m + (int(off[-1]) + 1 if len(off) else 0)
+    m = min(len(a.data) - i, len(b.data) - j)
+    off = np.flatnonzero(a.data[i : i + m] != b.data[j : j + m])
+    return start, i + (int(off[0]) if len(off) else m)
+
+
+def _whole_words(a: _Text, b: _Text, start: int, end: int, shift: int) -> tuple[int, int]:
+    """The part of a[start : end] that holds words whole in both texts."""
+    spaces = np.flatnonzero(a.space[start:end]) + start
+    inside = lambda at: (0 < at < len(a.data) and not a.space[at - 1] and not a.space[at]) or (0 < at - shift < len(b.data) and not b.space[at - shift - 1] and not b.space[at - shift])
+    low = (int(spaces[0]) if len(spaces) else end) if inside(start) else start
+    high = (int(spaces[-1]) if len(spaces) else low) if inside(end) else end
+    words = np.flatnonzero(~a.space[low:high])
+    return (low + int(words[0]), low + int(words[-1]) + 1) if len(words) else (low, low)
+
+
+def _comparer(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PASSAGES.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4]
+        for batch in batches:
+            rows = []
+            for doc, keeper, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keeper_doc_id", "at", "text", "keeper_text")), strict=True):
+                a, b, done = _Text(x), _Text(y), {}
+                for p in sorted(at, key=lambda p: p["start"]):
+                    i, j = p["start"], p["keeper_start"]
+                    if i < done.get(i - j, 0):
+                        continue
+                    start, end = _agreeing(a, b, i, j, p["bytes"])
+                    if start == end:
+                        continue
+                    done[i - j] = end
+                    start, end = _whole_words(a, b, start, end, i - j)
+                    for t, owner, removed, s, e in ((a, doc, True, start, end), (b, keeper, False, start - i + j, end - i + j)):
+                        if t.begun[end if t is a else e] - t.begun[s] >= min_words:
+                            rows.append((owner, keeper, removed, s, e, int(t.begun[s]), int(t.begun[e])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans of neighbouring repeated chunks with min_words words or more.
+    """Passages of min_words words or more that stand in another document too.
 
-    One row per span: doc_id, start and length in bytes, n_words, n_chunks, the
-    lowest keeper of its chunks, and removed (false where the document itself
-    keeps every chunk of the span).
+    One row per span of overlapping passages: doc_id, start and length in bytes,
+    n_words, n_passages, the lowest keeper, and removed (false where the document
+    itself keeps them). A kept span may overlap a removed one, whose words
+    then stand in a lower document.
     """
     parts = chunks(docs)
-    marked = parts.join(repeated_digests(parts), ["hi", "lo"]).drop("hi", "lo").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start")
-    gap = F.col("start") != F.lag(F.col("start") + F.col("bytes")).over(order)
-    runs = marked.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("bytes").cast("int").alias("length"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
-        F.min("keeper_doc_id").alias("keeper_doc_id"),
-        F.max(F.col("keeper_doc_id") < F.col("doc_id")).alias("removed"),
+    marked = parts.join(repeated_digests(parts), ["hi", "lo"]).where("keeper_doc_id < doc_id")
+    pairs = marked.groupBy("doc_id", "keeper_doc_id").agg(F.collect_set(F.struct("start", "keeper_start", "bytes")).alias("at"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    both = pairs.join(texts.toDF("keeper_doc_id", "keeper_text"), "keeper_doc_id").join(texts, "doc_id")
+    found = both.select("doc_id", "keeper_doc_id", "at", "text", "keeper_text").mapInArrow(trimmed(_comparer(min_words)), PASSAGES)
+    found = found.groupBy("doc_id", "removed", "start", "end", "first", "last").agg(F.min("keeper_doc_id").alias("keeper_doc_id"))
+    order = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
+    gap = F.col("start") >= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "removed", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first")).cast("long").alias("n_words"),
+        F.count("*").alias("n_passages"), F.min("keeper_doc_id").alias("keeper_doc_id"),
     )
-    return spans.where(F.col("n_words") >= min_words).drop("run")
+    # What a removed span holds is not kept here, though a higher document may have been compared with it.
+    gone = F.max(F.when(F.col("removed"), F.col("end"))).over(Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    spans = spans.withColumn("gone", F.coalesce(gone, F.lit(0))).where("removed OR gone < end")
+    return spans.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "n_words", "n_passages", "keeper_doc_id", "removed")
 
 
 def _cut_out(text: str, spans: list) -> str:

@@ -252,6 +252,23 @@ def test_chunks_resist_shifts_and_find_passages(spark, odd):
     assert gear_chunks.repeated_spans(odd).count() == 0 and gear_chunks.repeated_spans(odd.limit(0)).count() == 0
 
 
+def test_passages_are_whole_and_from_50_words_on(spark):
+    """Short words: a passage of 60 has few chunks, one of 49 may have as many; each span is the passage and no word more."""
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 3)) for _ in range(n))
+    rows, want = [], {}
+    for p in range(60):
+        n = 49 if p % 3 == 0 else 60
+        passage = say(n)
+        for k in range(2):
+            before = f"{say(40)} {'<>'[k]} "
+            rows.append((2 * p + k, f"{before}{passage} {'<>'[k]} {say(40)}", "en", "s", 0))
+            if n == 60:
+                want[2 * p + k] = (len(before), len(passage), 60, 2 * p, k == 1)
+    got = gear_chunks.repeated_spans(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: (r["start"], r["length"], r["n_words"], r["keeper_doc_id"], r["removed"]) for r in got} == want and len(got) == len(want)
+
+
 def test_waterfill(spark, odd):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 4}" if i % 4 else None, 0) for i in range(400)] + [(999, "a b", "en", "tiny", 2)]
     df = spark.createDataFrame(rows, DOCS)
