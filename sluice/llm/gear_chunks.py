@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -242,8 +243,6 @@ def _cut_out(text: str, spans: list) -> str:
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents without their removed spans (doc_id unique here)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if g is None or t is None else _cut_out(t, [(x["start"], x["length"]) for x in g]) for t, g in zip(text, gone, strict=True)])

@@ -269,6 +269,15 @@ def test_passages_are_whole_and_from_50_words_on(spark):
     assert {r["doc_id"]: (r["start"], r["length"], r["n_words"], r["keeper_doc_id"], r["removed"]) for r in got} == want and len(got) == len(want)
 
 
+def test_every_passage_stays_in_one_document(spark):
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    one, two = say(60), say(60)
+    docs = spark.createDataFrame([(1, f"{say(30)} {one} {say(30)}"), (5, f"{say(30)} {one} {two} {say(30)}"), (7, f"{say(30)} {one} {two} {say(30)}"), (9, f"{say(30)} {two} {say(30)}")], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in gear_chunks.remove_spans(docs, gear_chunks.repeated_spans(docs)).collect()}
+    assert [i for i in left if one in left[i]] == [1] and [i for i in left if two in left[i]] == [5]
+
+
 def test_waterfill(spark, odd):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 4}" if i % 4 else None, 0) for i in range(400)] + [(999, "a b", "en", "tiny", 2)]
     df = spark.createDataFrame(rows, DOCS)
