@@ -3,42 +3,56 @@
 Every window of ``window`` consecutive item words is a set of positioned shingles
 (three words each, fewer in shorter items). A document holds the window only if
 it holds all of them, so for containment the necessary prefix is one shingle: the
-rarest in the corpus. Documents are searched for those shingles alone; length and
-position bounds drop what can't fit, and the words around each find are compared
+rarest in the corpus. Documents are joined with those shingles alone; length and
+position bounds drop what can't fit, and the words at each place left are compared
 with the whole window.
 
-Rarity is counted over all documents. The search folds case as a superset of the
-exact rule (all letters, not A-Z only), so that it loses nothing; the comparison
-uses the exact words, made only for documents with finds.
+All texts are cut into words once. One row per word position meets the benchmark's
+shingles, and what is found goes into a narrow table: document, position, shingle.
+Rarity is counted there, over all documents, and the prefix join reads it. Texts are
+read again only where a window may lie. The first pass folds case as a superset of
+the exact rule (all letters, not A-Z only), so that it loses nothing; the last
+comparison uses the exact words.
 
-Scale: up to ``inline`` prefix shingles become a hash set inside the scan's
-expression: no row leaves a document before it has a find. A larger benchmark is
-joined by its shingles instead (``_found_by_join``), with the same results.
+Scale: up to ``broadcast`` distinct shingles are a hash table in the scan's stage
+(one long each), so no row leaves a document before it is found. More are joined by
+a shuffle of (shingle, position) rows, with the same results and no text in it.
+Only shingle lengths that the benchmark has are looked for. Hits are rows, merged to
+runs in a window over one document's hits, which spills; no row holds a document's
+finds.
 
 Defined cases: null or wordless texts have no words and no hits; items without
-words have no windows; equal items count each, under one window; repeated rows of
+words have no windows; equal items count each, under one window; items of null id
+count as one item, which the list of ids does not name; repeated rows of
 ``documents`` come back as often as they came; an empty benchmark hits nothing;
 extra columns may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
-# explode_outer throughout: for explode the optimiser infers a filter on the array's size
-# and pushes it below, where it makes every word of the text anew for every element.
-INLINE = 50_000
-BROADCAST_TEXTS = 2_000_000
+#: Distinct shingles, windows and documents that are broadcast, each counted first.
+BROADCAST = 5_000_000
+BROADCAST_WINDOWS, BROADCAST_TEXTS = 200_000, 2_000_000
+DOC = ("doc_id", "th", "size")
+
 
+def _words(text: Column) -> Column:
+    """What lies between separators; splitting is several times faster here than matching words."""
+    return F.array_remove(F.split(text, SEPARATORS), "")
 
-def exact_words(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
+
+def exact_words(text: str) -> Column:
+    return _words(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER))
 
 
 def folded_words(text: str) -> Column:
@@ -46,146 +60,124 @@ def folded_words(text: str) -> Column:
 
     Capital sigma is replaced first, as its lower case depends on what stands beside it.
     """
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("Σ"), F.lit("σ"))), F.lit(WORDS), F.lit(0))
+    return _words(F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("Σ"), F.lit("σ"))))
 
 
-def _shingle_sql(words: str, at: str, k: int) -> str:
-    return f"xxhash64({', '.join(f'{words}[{at} + {j}]' for j in range(k))})"
+def _shingle(words: str, at: str, k: int) -> str:
+    """SQL: the hash of the k words from a position on, null where fewer are left."""
+    return f"CASE WHEN {at} <= size({words}) - {k} THEN xxhash64({', '.join(f'{words}[{at} + {j}]' for j in range(k))}) END"
 
 
-def _hashes(words: str, k: int) -> str:
-    """SQL: the hash of the k words from each position on."""
-    return f"transform(CASE WHEN size({words}) >= {k} THEN sequence(0, size({words}) - {k}) ELSE array() END, i -> {_shingle_sql(words, 'i', k)})"
+def _same_document(a: DataFrame, b: DataFrame) -> Column:
+    """The join of the documents of two tables, aliased a and b, null ids included."""
+    return reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in DOC])
 
 
 def windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Distinct windows with the items they come from: words, folded, len, items."""
+    """Distinct windows with the items they come from: words, folded, len, k (words of a shingle), items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), exact_words("text").alias("w"), folded_words("text").alias("f")).where("size(w) > 0")
-    starts = f"sequence(0, greatest(size(w) - {window}, 0))"
     return (
-        items.select("item", "w", "f", F.explode(F.expr(starts)).alias("s"))
+        items.select("item", "w", "f", F.explode(F.expr(f"sequence(0, greatest(size(w) - {window}, 0))")).alias("s"))
         .select("item", F.slice("w", F.col("s") + 1, window).alias("words"), F.slice("f", F.col("s") + 1, window).alias("folded"))
-        .groupBy("words", "folded").agg(F.collect_set("item").alias("items"))
-        .withColumn("len", F.size("words"))
-        .withColumn("k", F.least(F.col("len"), F.lit(SHINGLE)))
+        .groupBy("words", "folded").agg(F.collect_set(F.struct("item")).alias("items"))
+        .withColumn("len", F.size("words")).withColumn("k", F.least(F.col("len"), F.lit(SHINGLE)))
     )
 
 
-def _window_shingles(wins: DataFrame) -> DataFrame:
-    parts = [wins.where(F.col("k") == k).select("words", "folded", "items", "len", "k", F.posexplode_outer(F.expr(_hashes("folded", k))).alias("offset", "hash")) for k in range(1, SHINGLE + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _in_set(expr: str, values: list[int]) -> str:
-    return f"{expr} IN ({', '.join(f'{v}L' for v in values)})" if values else "false"
-
-
-def _by_length(rows) -> dict[int, list[int]]:
-    sets: dict[int, list[int]] = {}
-    for k, h in rows:
-        if h == -(2**63):  # has no literal; 0 may only add finds that the comparison drops
-            continue
-        sets.setdefault(k, []).append(h)
-    return sets
+def window_shingles(wins: DataFrame) -> DataFrame:
+    """Every window under each of its shingles: words, len, items, k, offset, hash."""
+    at = wins.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))))
+    picked = reduce(lambda c, k: c.when(F.col("k") == k, F.expr(_shingle("folded", "offset", k))), range(1, SHINGLE + 1), F.when(F.lit(False), F.lit(0).cast("long")))
+    return at.select("words", "len", "items", "k", "offset", picked.alias("hash"))
+
+
+def found_shingles(docs: DataFrame, shingles: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """The benchmark's shingles in every whole text: doc_id, th, size, n_words, pos, hash; and one row per document with null hash."""
+    lengths = sorted(r["k"] for r in shingles.select("k").distinct().collect())  # SHINGLE at most
+    tokens = shingles.select("hash").distinct().withColumn("known", F.lit(True))
+    small = tokens.count() <= broadcast
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), folded_words("text").alias("f"))
+    # explode_outer, as for explode the optimiser pushes a filter on the array's size below, where it makes all words anew.
+    at = texts.select(*DOC, "f", F.explode_outer(F.expr("sequence(0, size(f))")).alias("pos"))
+    n_words = F.size("f").alias("n_words")
+    hashes = [F.expr(_shingle("f", "pos", k)) for k in lengths]
+    if len(hashes) > 1:
+        rows = at.select(*DOC, n_words, "pos", F.explode_outer(F.array(*hashes)).alias("hash"))
+        # The row after the last word stands for the document; of its lengths' null hashes one is enough.
+        rows = rows.where("hash IS NOT NULL").unionByName(_documents(docs))
+    else:
+        rows = at.select(*DOC, n_words, "pos", (hashes[0] if hashes else F.lit(None).cast("long")).alias("hash")).where("hash IS NOT NULL OR pos = n_words")
+    if small:
+        told = rows.join(F.broadcast(tokens), "hash", "left").where("known OR pos = n_words")
+        return told.select(*DOC, "n_words", "pos", F.when(F.col("known"), F.col("hash")).alias("hash"))
+    found = rows.where("hash IS NOT NULL").join(tokens, "hash", "left_semi").select(*DOC, "n_words", "pos", "hash")
+    return found.unionByName(_documents(docs))
 
 
-def _found_inline(words: DataFrame, sets: dict[int, list[int]]) -> DataFrame:
-    """Adds finds: array of (pos, k, hash) of the document's shingles that are in the sets."""
-    parts = []
-    for k, values in sorted(sets.items()):
-        at = f"filter(CASE WHEN size(f) >= {k} THEN sequence(0, size(f) - {k}) ELSE array() END, i -> {_in_set(_shingle_sql('f', 'i', k), values)})"
-        parts.append(f"transform({at}, i -> named_struct('pos', i, 'k', {k}, 'hash', {_shingle_sql('f', 'i', k)}))")
-    empty = "cast(array() as array<struct<pos: int, k: int, hash: bigint>>)"
-    return words.withColumn("finds", F.expr(f"concat({', '.join([empty, *parts])})"))
+def _documents(docs: DataFrame) -> DataFrame:
+    """One row per document, with null hash."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.size(folded_words("text")).alias("n_words"))
+    return words.select(*DOC, "n_words", F.col("n_words").alias("pos"), F.lit(None).cast("long").alias("hash"))
 
 
-def _found_by_join(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The same for any number of shingles: positions are joined, finds gathered by document."""
-    parts = [words.select("doc_id", "th", F.lit(k).alias("k"), F.posexplode_outer(F.expr(_hashes("f", k))).alias("pos", "hash")) for k in range(1, SHINGLE + 1)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    found = rows.where("hash IS NOT NULL").join(tokens, ["k", "hash"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "k", "hash")).alias("finds"))
-    a, b = words.alias("a"), found.alias("b")
-    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left").select(
-        "a.*", F.coalesce("b.finds", F.expr("cast(array() as array<struct<pos: int, k: int, hash: bigint>>)")).alias("finds"))
+def prefixes(shingles: DataFrame, finds: DataFrame) -> DataFrame:
+    """Each window under its rarest shingle: hash, offset, words, len, items."""
+    counts = finds.where("hash IS NOT NULL").groupBy("hash").count()
+    ranked = shingles.join(counts, "hash", "left").withColumn("n", F.coalesce("count", F.lit(0)))
+    rarest = ranked.groupBy("words").agg(F.min(F.struct("n", "offset", "hash", "len")).alias("x"), F.first("items").alias("items"))
+    return rarest.select("x.hash", "x.offset", "words", "x.len", "items")
 
 
-def _corpus_counts(words: DataFrame, shingles: DataFrame, inline: int) -> DataFrame:
-    """How often each of the benchmark's shingles stands in the corpus, over all documents."""
-    tokens = shingles.select("k", "hash").distinct()
-    small = tokens.limit(inline + 1).collect()
-    if len(small) <= inline:
-        finds = _found_inline(words, _by_length(small)).select(F.explode_outer("finds").alias("x")).select("x.k", "x.hash").where("hash IS NOT NULL")
-    else:
-        parts = [words.select(F.lit(k).alias("k"), F.explode_outer(F.expr(_hashes("f", k))).alias("hash")) for k in range(1, SHINGLE + 1)]
-        finds = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("hash IS NOT NULL")
-    counts = finds.groupBy("k", "hash").count()
-    return counts if len(small) <= inline else counts.join(tokens, ["k", "hash"], "left_semi")
-
-
-def prefixes(docs: DataFrame, benchmark: DataFrame, window: int = 13, inline: int = INLINE) -> DataFrame:
-    """Each window under its rarest shingle: k, hash, offset, words, len, items."""
-    wins = _window_shingles(cut(windows(benchmark, window), "windows"))
-    words = docs.select("doc_id", F.xxhash64("text").alias("th"), folded_words("text").alias("f"))
-    counts = _corpus_counts(words, wins, inline)
-    ranked = wins.join(counts, ["k", "hash"], "left").withColumn("n", F.coalesce("count", F.lit(0)))
-    rarest = ranked.groupBy("words").agg(F.min(F.struct("n", "offset", "k", "hash", "len", "items")).alias("x"))
-    return rarest.select("x.k", "x.hash", "x.offset", "words", "x.len", "x.items")
-
-
-def contained_windows(docs: DataFrame, prefix: DataFrame, window: int = 13, inline: int = INLINE) -> DataFrame:
-    """One row per distinct (doc_id, text): copies, n_words, hits (start, len) and items."""
-    base = docs.select("doc_id", F.col("text").alias("t"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("size"), folded_words("text").alias("f"))
-    small = prefix.select("k", "hash").distinct().limit(inline + 1).collect()
-    inlined = len(small) <= inline
-    found = _found_inline(base, _by_length(small)) if inlined else _found_by_join(base, prefix.select("k", "hash").distinct())
-    found = found.select("doc_id", "th", "size", F.size("f").alias("n_words"), "finds", F.when(F.size("finds") > 0, exact_words("t")).alias("w"))
-    # Around a find at p of k words lies every window that has it, in words from p + k - window on.
-    around = f"""CASE WHEN size(w) > 0 THEN transform(finds, x -> named_struct('k', x.k, 'hash', x.hash, 'pos', x.pos, 'from', greatest(x.pos + x.k - {window}, 0),
-        'near', slice(w, greatest(x.pos + x.k - {window}, 0) + 1, {2 * window}))) ELSE array() END"""
-    none = "array(named_struct('k', cast(null as int), 'hash', cast(null as bigint), 'pos', cast(null as int), 'from', cast(null as int), 'near', cast(null as array<string>)))"
-    rows = found.select("doc_id", "th", "size", "n_words", F.explode_outer(F.expr(f"concat({none}, {around})")).alias("c")).select("doc_id", "th", "size", "n_words", "c.*")
-    p = prefix.withColumnsRenamed({"k": "pk", "hash": "ph"})
-    joined = rows.join(F.broadcast(p) if inlined else p, (F.col("k") == F.col("pk")) & (F.col("hash") == F.col("ph")), "left")
+def contained_windows(docs: DataFrame, finds: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Every occurrence of a window in a distinct (doc_id, text): doc_id, th, size, start, len, items."""
+    near = F.broadcast(prefix) if prefix.count() <= BROADCAST_WINDOWS else prefix
     start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
-    same = F.slice("near", F.when(fits, start - F.col("from") + 1).otherwise(1), F.col("len")) == F.col("words")
-    ok = fits & same
-    return joined.groupBy("doc_id", "th", "size").agg(
-        F.sum(F.col("k").isNull().cast("int")).cast("int").alias("copies"),
-        F.max("n_words").cast("long").alias("n_words"),
-        F.collect_set(F.when(ok, F.struct(start.alias("start"), F.col("len")))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.col("items"))))).alias("items"),
-    )
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, inline: int = INLINE) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, and the hit spans.
+    places = finds.where("hash IS NOT NULL").join(near, "hash").withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+    places = cut(places.select(*DOC, "start", "len", "words", "items"), "places")
+    wanted = places.select(*DOC).distinct()
+    few = wanted.count() <= BROADCAST_TEXTS
+    a = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), "text").alias("a")
+    b = (F.broadcast(wanted) if few else wanted).alias("b")
+    texts = a.join(b, _same_document(a, b), "left_semi").groupBy(*DOC).agg(F.first("text").alias("text")).withColumn("w", exact_words("text")).drop("text")
+    p, t = places.dropDuplicates([*DOC, "start", "words"]).alias("a"), texts.alias("b")
+    met = p.join(t, _same_document(p, t)).where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("words"))
+    return met.select("a.*").drop("words")
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """Hits of a document that overlap or touch, as runs: doc_id, th, size, start, len."""
+    order = Window.partitionBy(*DOC).orderBy("start", "len")
+    end = F.col("start") + F.col("len")
+    gap = F.col("start") > F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = hits.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*DOC, "run").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("len")).drop("run")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, broadcast: int = BROADCAST) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, the spans of hit words, and the text's hash and size.
 
     Contaminated: at least one word in ``share`` lies in an occurrence of a window.
     """
-    prefix = cut(prefixes(docs, benchmark, window, inline), "prefixes")
-    found = contained_windows(docs, prefix, window, inline)
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    return (
-        found.withColumn("n_hit", F.size(covered).cast("long"))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-        .select(
-            "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-            ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-            F.array_sort("hits").alias("spans"), "th",
-        )
+    shingles = cut(window_shingles(windows(benchmark, window)), "shingles")
+    finds = cut(found_shingles(docs, shingles, broadcast), "finds")
+    hits = cut(contained_windows(docs, finds, cut(prefixes(shingles, finds), "prefixes")), "hits")
+    spans = _runs(hits).groupBy(*DOC).agg(F.sum("len").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "len"))).alias("spans"))
+    items = hits.select(*DOC, F.explode("items").alias("i")).select(*DOC, "i.item").distinct()
+    items = items.groupBy(*DOC).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("ids"))
+    a, b = spans.alias("a"), items.alias("b")
+    told = a.join(b, _same_document(a, b)).select("a.*", "b.n_items", "b.ids")
+    a, b = finds.where("hash IS NULL").alias("a"), told.alias("b")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return a.join(b, _same_document(a, b), "left").select(
+        "a.doc_id", F.col("n_words").cast("long"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", "a.th", "a.size",
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, inline: int = INLINE) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, broadcast: int = BROADCAST) -> DataFrame:
     """The documents that are not contaminated. What is judged is the text, so equal texts go together."""
-    th = fresh(docs.columns, "_th")
-    bad = cut(decontaminate(docs, benchmark, window, share, inline).where("contaminated").select(F.col("th").alias(th)).distinct(), "contaminated")
+    th, size = fresh(docs.columns, "_th"), fresh(docs.columns, "_size")
+    bad = decontaminate(docs, benchmark, window, share, broadcast).where("contaminated").select(F.col("th").alias(th), F.col("size").alias(size)).distinct()
+    bad = cut(bad, "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_TEXTS else bad
-    return docs.withColumn(th, F.xxhash64("text")).join(bad, th, "left_anti").select(*docs.columns)
+    return docs.withColumns({th: F.xxhash64("text"), size: F.coalesce(F.octet_length("text"), F.lit(-1))}).join(bad, [th, size], "left_anti").select(*docs.columns)

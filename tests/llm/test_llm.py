@@ -297,7 +297,7 @@ def test_waterfill(spark, odd):
 def test_prefix_join_both_ways(spark, sf, docs, odd):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(str, prefix_join.decontaminate(docs, bench).drop("spans").collect()))
-    assert one == sorted(map(str, prefix_join.decontaminate(docs, bench, inline=0).drop("spans").collect()))
+    assert one == sorted(map(str, prefix_join.decontaminate(docs, bench, broadcast=0).drop("spans").collect()))
     items = spark.createDataFrame([(1, "word WORD"), (2, None), (3, "σας"), (4, "w5 w6"), (4, "w5 w6"), (5, "x y z")], "item_id long, text string")
     got = {str(r["doc_id"]): (r["n_words"], r["n_hit"], r["n_items"]) for r in prefix_join.decontaminate(odd, items).collect()}
     assert got["5"] == (3000, 2, 1) and got["None"] == (3, 3, 1) and got["1"] == got["2"] == (0, 0, 0) and got["7"] == (4, 2, 1)
