@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,17 +58,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that cut() wrote, by the scopes they were written in.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str, path: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This ends the lineage: a lost executor costs a read of the table, not a
-    second run of what made it.
+    second run of what made it. The write's own shuffles go with its end.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -76,6 +98,27 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables that cut() returned and that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._written_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """At the end, remove all that cut() wrote meanwhile, but for the tables that were put into ``keep``."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        kept = {t._written_at for t in keep}
+        for path in own:
+            if path not in kept:
+                delete(spark, path)
+
+
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """At most ``rows`` rows in an Arrow batch of this session, so that batches of long texts stay small.
 

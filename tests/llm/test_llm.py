@@ -278,6 +278,51 @@ def test_every_passage_stays_in_one_document(spark):
     assert [i for i in left if one in left[i]] == [1] and [i for i in left if two in left[i]] == [5]
 
 
+def test_spans_cover_what_brute_force_finds(spark):
+    """Words of all spans against words of all 50-word runs that stand in another document, with nested and whole copies."""
+    rng = np.random.default_rng(21)
+    say = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(n)]
+    shared = [say(300) for _ in range(4)]
+    texts = {}
+    for i in range(30):
+        words = say(int(rng.integers(20, 60)))
+        for k in rng.permutation(4)[: int(rng.integers(0, 4))]:
+            first, last = sorted(rng.choice(range(0, 301, 60), 2, replace=False).tolist())
+            words += shared[k][first:last] + say(int(rng.integers(5, 40)))
+        texts[i] = words
+    texts[30], texts[31], texts[32] = texts[3], say(3000), say(10)
+    texts[33] = texts[31][:1500] + say(30) + texts[31][1500:]
+    runs = {}
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            runs.setdefault(tuple(w[j : j + 50]), set()).add(i)
+    want = {(i, j + k) for i, w in texts.items() for j in range(len(w) - 49) if len(runs[tuple(w[j : j + 50])]) > 1 for k in range(50)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got, sizes = set(), []
+    for r in gear_chunks.repeated_spans(df).collect():
+        text = " ".join(texts[r["doc_id"]])
+        at, span = len(text[: r["start"]].split()), text[r["start"] : r["start"] + r["length"]]
+        sizes.append(r["n_words"] == len(span.split()) and span == span.strip())
+        got |= {(r["doc_id"], at + k) for k in range(r["n_words"])}
+    assert got == want and all(sizes)
+
+
+def test_spans_of_odd_rows(spark):
+    """Several texts under one doc_id, equal rows, clashing columns, long runs of one byte and one of 300,000 words."""
+    rng = np.random.default_rng(22)
+    say = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    p, q, long = say(60), say(60), say(300_000)
+    rows = [(1, f"{say(20)} {p} {say(20)}"), (5, f"{say(9)} {p} {say(9)}"), (5, f"{say(30)} {q}"), (7, q), (7, q), (8, "a" * 5000), (9, "b" + "a" * 5000), (None, p), (10, None), (11, long), (12, f"x {long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("part", "start", "hi", "_gone", "text_hash", "removed")})
+    spans = gear_chunks.repeated_spans(df)
+    got = sorted((r["doc_id"], r["n_words"], r["removed"], r["text_hash"] != 0) for r in spans.collect())
+    assert got == [(1, 60, False, False), (5, 60, False, True), (5, 60, True, True), (7, 60, True, False), (11, 300_000, False, False), (12, 300_000, True, False)]
+    left = gear_chunks.remove_spans(df, spans)
+    assert left.columns == df.columns and left.count() == len(rows)
+    texts = [r["text"] or "" for r in left.collect()]
+    assert sum(p in t for t in texts) == 2 and sum(q in t for t in texts) == 1 and sum(long in t for t in texts) == 1
+
+
 def test_waterfill(spark, odd):
     rows = [(i, "w " * (1 + i % 9), "en", f"s{i % 4}" if i % 4 else None, 0) for i in range(400)] + [(999, "a b", "en", "tiny", 2)]
     df = spark.createDataFrame(rows, DOCS)
