@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: White space that separates words: the six ASCII characters of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,6 +120,45 @@ def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
                 delete(spark, path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI, in the file system that Spark itself would take where the path names none."""
+    jvm = spark.sparkContext._jvm
+    uri = jvm.org.apache.hadoop.fs.Path(path).toUri()
+    if uri.getScheme():
+        return path
+    base = jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{base.getScheme()}://{base.getAuthority() or ''}{uri.getPath()}"
+
+
+#: Keys that hold more than this share of all rows are dealt out, and such of fewer rows than HOT_LEAST never.
+HOT_SHARE, HOT_LEAST = 4096, 1000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], share: int = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each key, with the number n of its rows; a written table), hot keys dealt out.
+
+    A key with more than a share-th of all rows gets as many salted copies as it
+    has such shares, and its rows are dealt over them by ``spread``. As the shares
+    add up to one, at most ``share`` keys are hot, so these alone are broadcast.
+    """
+    most = max((groups.agg(F.sum("n")).first()[0] or 0) // share, least)
+    salts = F.ceil(F.col("n") / most).cast("int")
+    hot = groups.where(F.col("n") > most).select(*keys, salts.alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, salts - 1).otherwise(0))))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """1-based places in a total order, for any number of rows: places in ranges plus the rows of the ranges before."""
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    own = cut(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = own.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return own.join(F.broadcast(starts.select("_part", "_before")), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+
+
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """At most ``rows`` rows in an Arrow batch of this session, so that batches of long texts stay small.
 

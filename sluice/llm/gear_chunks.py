@@ -18,9 +18,8 @@ all chunks of it.
 
 Scale: one narrow row per chunk is written once. Digests are counted with map-side
 sums, which collapses a passage that a third of all documents share before it
-moves. Chunks then meet their keepers by an equi-join; a digest with more than a
-HOT_SHARE-th of all repeated chunks (at most HOT_SHARE digests can have that) is
-dealt out over as many salted keys as it has such shares. Of texts, only the bytes
+moves. Chunks then meet their keepers by an equi-join whose hot digests are dealt
+out over salted keys. Of texts, only the bytes
 around the ends of runs are compared: texts are shuffled once, to cut these
 slices, and slices that agree as a whole are looked at again ``WIDER`` times as wide,
 after runs that have grown together have been joined. No group of copies is
@@ -46,15 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, fresh, release
+from .common import bound_batches, cut, fresh, release, spread_join
 from .wordbytes import SPACE, steps, trimmed
 
 #: Bytes that a gear hash depends on, and the reach of the smallest-hash rule.
 GEAR, REACH = 16, 20
 MIN_WORDS = 50
 _GEAR_VALUE = np.random.default_rng(20240301).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Repeated chunks over this are what a digest has at most without being dealt out, and HOT_LEAST at least.
-HOT_SHARE, HOT_LEAST = 4096, 1000
 #: Bytes compared on either side of a run's ends at first, and how many times as many later.
 SLICE, WIDER = 160, 16
 BROADCAST_IDS = 2_000_000
@@ -180,13 +177,7 @@ def repeated_digests(parts: DataFrame) -> DataFrame:
 
 def marked_chunks(parts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Repeated chunks beside their place in their keeper, but for the keepers' own."""
-    share = max((repeated.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE, HOT_LEAST)
-    salts = F.ceil(F.col("n") / share).cast("int")
-    hot = repeated.where(F.col("n") > share).select("hi", "lo", salts.alias("salts"))
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")), F.lit(0)).cast("int")
-    dealt = parts.join(F.broadcast(hot), ["hi", "lo"], "left").withColumn("salt", salt).drop("salts")
-    keepers = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, salts - 1).otherwise(0)))).drop("n")
-    return dealt.join(keepers, ["hi", "lo", "salt"]).where("k_doc < doc_id").drop("hi", "lo", "salt")
+    return spread_join(parts, repeated, ["hi", "lo"], ["doc_id", "start"]).where("k_doc < doc_id").drop("hi", "lo", "n")
 
 
 def _grouped(rows: DataFrame, start: str, end: str) -> DataFrame:
