@@ -27,11 +27,17 @@ similarities are counted by inverted lists and only links that join components
 come out. So no link between texts that share a bucket is lost, and rows out of a
 bucket are at most its members.
 
+Every text has a number of its own; buckets, links and components know texts by
+these, and document ids come in at the end. Joins on buckets, leaders and digests
+deal hot keys out over salted copies.
+
 Defined cases: a null text is a class of its own; empty or wordless texts are
-near only their exact copies; rows of a null doc_id take part through their text
-and get its class; a class is named by its smallest doc_id; an empty table gives
-an empty result; other columns are not read. Rows of one doc_id are one document: ``keep_one``
-drops it if all of them belong to other classes, and else keeps one row for each of its texts.
+near only their exact copies; rows are judged by their texts, whatever their ids:
+a doc_id with several texts is in the class of each, and rows of null ids are like
+others; a class is named by its smallest doc_id (null if it has none), and
+``class_no`` tells classes apart; an empty table gives an empty result; other
+columns are not read. ``keep_one`` keeps one row of every class, and all rows of null
+texts.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, fresh, release, spread_join
 from .wordbytes import Words, mixed, steps, trimmed
 
 SHINGLE = 5
@@ -172,18 +178,25 @@ def _agreement(sa, sb):
     return pd.Series((x == y).mean(axis=1))
 
 
+def _star(rows: DataFrame, lows: DataFrame) -> DataFrame:
+    """Neighbours (u, v) beside their node's smallest m; a node with a large share of all neighbours is dealt out."""
+    return spread_join(rows, lows, ["u"], ["v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, by alternating large and small stars."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        lows = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "lows")
+        large = cut(_star(both.where("v > u"), lows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        release(lows, edges)
+        lows = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lows")
+        joined = _star(large, lows)
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small, "edges")
+        release(lows, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -287,10 +300,9 @@ def _linked(threshold: float):
 
 
 def _in_blocks(members: DataFrame, extra: DataFrame, size: int) -> DataFrame:
-    """Members (bucket, rid, label) dealt to pairs of blocks of their bucket, beside a column of ``extra`` by rid."""
-    counts = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    """Members (bucket, rid, label, n of their bucket) dealt to pairs of blocks of their bucket, beside a column of ``extra`` by rid."""
     blocks = F.ceil(F.col("n") / size).cast("int")
-    own = members.join(counts, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(extra, "rid")
     more = [c for c in extra.columns if c != "rid"]
     keyed = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", *more)
@@ -298,10 +310,10 @@ def _in_blocks(members: DataFrame, extra: DataFrame, size: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    told = _labelled(members.select("bucket", "rid"), labels, "rid", "label")
-    still = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    return told.join(still, "bucket")
+    """Members of the buckets that hold more than one component: bucket, rid, label, n."""
+    told = cut(_labelled(members.select("bucket", "rid"), labels, "rid", "label"), "labelled")
+    still = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n")
+    return spread_join(told, cut(still, "open"), ["bucket"], ["rid"])
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -313,48 +325,73 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     agreement = F.pandas_udf(_agreement, "double")
     hashed = _hashed(docs)
     signed = cut(hashed.where("text IS NOT NULL").mapInArrow(trimmed(_signer), "doc_id long, h1 long, h2 long, sig binary"), "signatures")
-    reps = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), F.min_by("sig", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("sig")), "representatives")
-    usable = reps.where("rid IS NOT NULL AND sig IS NOT NULL").select("rid", "sig")
+    equal = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.min_by("sig", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("sig"))
+    # Numbers are given by the write that fixes them: unique, whatever attempt commits.
+    reps = cut(equal.withColumn("rid", F.monotonically_increasing_id()), "representatives")
+    usable = reps.where("sig IS NOT NULL").select("rid", "sig")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     placed = usable.select("rid", F.explode(bands).alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(placed.join(full, "bucket"), "members")
-    texts = cut(hashed.select(F.col("doc_id").alias("rid"), "h1", "h2", "text").join(members.select("rid").distinct().join(reps.select("rid", "h1", "h2"), "rid"), ["rid", "h1", "h2"], "left_semi").select("rid", "text").dropDuplicates(["rid"]), "texts")
+    full = cut(placed.groupBy("bucket").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = cut(spread_join(placed, full, ["bucket"], ["rid"]).select("bucket", "rid", "leader"), "members")
+    release(full)
+    wanted = members.select("rid").distinct().join(reps.select("rid", "first_doc", "h1", "h2"), "rid")
+    a, b = hashed.alias("a"), wanted.alias("b")
+    own = F.col("a.doc_id").eqNullSafe(F.col("b.first_doc")) & (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2"))
+    texts = cut(a.join(b, own).select("rid", "text").dropDuplicates(["rid"]), "texts")
     least = threshold - 5 * (threshold * (1 - threshold) / M) ** 0.5
     star = members.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
     sa, sb = usable.select(F.col("rid").alias("a"), F.col("sig").alias("sa")), usable.select(F.col("rid").alias("b"), F.col("sig").alias("sb"))
     pairs = cut(star.join(sb, "b").join(sa, "a").select("a", "b", agreement("sa", "sb").alias("estimate")).where(F.col("estimate") >= least), "pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links = cut(verified(best, texts, threshold), "links")
+    release(pairs)
     labels = components(links)
-    flagged = _in_blocks(_open_members(members, labels), usable, SIGNATURE_BLOCK).mapInArrow(trimmed(_plausible(least)), "bucket long, rid long, label long").distinct()
-    flagged = cut(flagged, "flagged")
-    more = cut(_in_blocks(flagged, texts, TEXT_BLOCK).mapInArrow(trimmed(_linked(threshold)), "a long, b long"), "links")
+    flagged = cut(_in_blocks(_open_members(members, labels), usable, SIGNATURE_BLOCK).mapInArrow(trimmed(_plausible(least)), "bucket long, rid long, label long").distinct(), "flagged")
+    counted = spread_join(flagged, cut(flagged.groupBy("bucket").agg(F.count("*").alias("n")), "flagged-buckets"), ["bucket"], ["rid"])
+    more = cut(_in_blocks(counted, texts, TEXT_BLOCK).mapInArrow(trimmed(_linked(threshold)), "a long, b long"), "links")
+    release(members, texts, flagged)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return signed, reps, labels
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), text_class_id (of its equal texts)."""
+    """One row per document: doc_id, class_id (smallest doc_id of its class), text_class_id (of its equal texts), class_no, and the text's two hashes."""
     bound_batches(docs.sparkSession)
     signed, reps, labels = _classes(docs, threshold)
-    named = _labelled(reps.select("h1", "h2", "rid"), labels, "rid", "class_id")
-    told = signed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id", F.col("rid").alias("text_class_id"))
-    alone = docs.where("text IS NULL").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("text_class_id"))
-    return told.unionByName(alone)
-
-
-def _without(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join with ids, broadcast only if counted and small."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    nodes = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    firsts = nodes.join(reps.select(F.col("rid").alias("node"), "first_doc"), "node")
+    names = cut(firsts.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.count("*").alias("n")), "names")
+    named = spread_join(nodes, names, ["label"], ["node"]).select(F.col("node").alias("rid"), "label", "class_id").withColumn("linked", F.lit(True))
+    own = reps.join(named, "rid", "left").select(
+        "h1", "h2", "n", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("first_doc")).alias("class_id"), F.col("first_doc").alias("text_class_id"), F.coalesce("label", "rid").alias("class_no"))
+    told = spread_join(signed.select("doc_id", "h1", "h2"), cut(own, "classes"), ["h1", "h2"], ["doc_id"]).select("doc_id", "class_id", "text_class_id", "class_no", "h1", "h2")
+    none = F.lit(None).cast("long")
+    alone = F.col("doc_id").cast("long")
+    return told.unionByName(docs.where("text IS NULL").select(alone.alias("doc_id"), alone.alias("class_id"), alone.alias("text_class_id"), none.alias("class_no"), none.alias("h1"), none.alias("h2")))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One document of each class: the row of the class's smallest doc_id; rows without an id stay."""
-    classes = cut(classes, "classes")
-    kept = _without(docs, cut(classes.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("goes")).where("goes").select("doc_id"), "losers"), "left_anti")
-    again = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """One row of each class, that of its smallest doc_id (then of the smallest hash); rows of null texts stay.
+
+    What goes is joined away: by (doc_id, text hashes), broadcast only if counted and
+    small. Equal rows of one doc_id are dropped but for one.
+    """
+    told = cut(classes.where("class_no IS NOT NULL").groupBy("class_no", "doc_id", "h1", "h2").agg(F.count("*").alias("copies")), "told")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    best = cut(told.groupBy("class_no").agg(F.min(key).alias("best"), F.count("*").alias("n")), "best")
+    goes = spread_join(told, best, ["class_no"], ["doc_id", "h1"]).where(key != F.col("best"))
+    goes = cut(goes.select("doc_id", "h1", "h2"), "goes")
+    again = cut(told.join(best.select(F.col("best.h1").alias("h1"), F.col("best.h2").alias("h2"), F.col("best.doc_id").alias("_doc")), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copies") > 1)).select("doc_id", "h1", "h2"), "again")
+    h1, h2, i = fresh(docs.columns, "_h1"), fresh(docs.columns, "_h2"), fresh(docs.columns, "_id")
+    keyed = docs.withColumns({h1: F.xxhash64("text"), h2: F.xxhash64(F.lit(1), "text"), i: F.when(F.col("text").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))}).withColumn(h1, F.when(F.col("doc_id").isNull(), F.bitwise_not(h1)).otherwise(F.col(h1)))
+
+    def joined(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        # A null id is told apart by its hash's complement, so that the keys are plain equalities.
+        ids = ids.select(F.coalesce("doc_id", F.lit(0)).alias(i), F.when(F.col("doc_id").isNull(), F.bitwise_not("h1")).otherwise(F.col("h1")).alias(h1), F.col("h2").alias(h2))
+        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, [i, h1, h2], how)
+
+    kept = joined(keyed, goes, "left_anti")
     if again.isEmpty():
-        return kept
-    return _without(kept, again, "left_anti").unionByName(_without(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select(*docs.columns)
+    return joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates([i, h1, h2])).select(*docs.columns)

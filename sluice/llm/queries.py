@@ -32,7 +32,7 @@ def op3_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return probminhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_class_id")
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
