@@ -6,8 +6,9 @@ too, so that code-switched lines are labelled word by word. Forward-backward giv
 each word's posterior; a document's language is the one with the largest mean
 posterior over its words with letters, and that mean is its score.
 
-Training uses a bounded sample of labelled documents: SAMPLE_DOCS per language,
-dealt by a hash of the id, and SAMPLE_WORDS neighbouring words of each, from a place
+Training uses a bounded sample of labelled documents: of the MAX_LANGUAGES labels
+with most documents, SAMPLE_DOCS each, those with the smallest hashes, and
+SAMPLE_WORDS neighbouring words of each, from a place
 anywhere in its text. Training lines switch between stretches of several
 languages, so transitions are learned from seen switches. The weights are maximum
 likelihood with a small penalty, by Adam on exact gradients. The model's size is
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bound_batches, set_aside
@@ -122,6 +123,13 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, size: np.ndarray, tr
     return post, alpha, e * beta / norm[:, None], float(np.log(norm).sum() + top.sum())
 
 
+def expected_transitions(alpha: np.ndarray, onward: np.ndarray, later: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """How often each transition is expected, over the words ``later`` that have one before them in their line."""
+    a = np.exp(transitions)
+    z = ((alpha[later - 1] @ a) * onward[later]).sum(axis=1, keepdims=True)
+    return a * ((alpha[later - 1] / z).T @ onward[later])
+
+
 def _training_lines(doc_words: list[np.ndarray], labels: list[int], seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word, label, first of line, line sizes): stretches of the documents, dealt into lines of mixed languages."""
     rng = np.random.default_rng(seed)
@@ -170,9 +178,7 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = 60, rate: float = 0.1
         weights, transitions = params
         by_type = _summed(pair_word, weights[pair_feature], len(types))
         post, alpha, onward, _ = forward_backward(by_type[word], first, size, transitions)
-        a = np.exp(transitions)
-        z = ((alpha[later - 1] @ a) * onward[later]).sum(axis=1, keepdims=True)
-        expected_t = a * ((alpha[later - 1] / z).T @ onward[later])
+        expected_t = expected_transitions(alpha, onward, later, transitions)
         miss = -post
         miss[np.arange(len(word)), label] += 1
         miss = _summed(word, miss, len(types))
@@ -216,29 +222,27 @@ def label_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return best, np.clip(sums[np.arange(w.n_docs), best] / np.maximum(n, 1), 0, 1)
 
 
-def training_rows(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, words_per_doc: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
+def training_rows(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, words_per_doc: int = SAMPLE_WORDS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, list[str]]]:
     """The bounded sample of labelled, not held-out documents."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = None
-    for r in counts:
-        mine = (F.col("lang") == r["lang"]) & (deal < int(min(1.0, 1.5 * docs_per_language / r["count"]) * 1_000_000))
-        chosen = mine if chosen is None else chosen | mine
-    if chosen is None:
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    if not counts:
         return []
+    limits = docs.sparkSession.createDataFrame([(r["lang"], hash_limit(1.5 * docs_per_language, r["count"])) for r in counts], "lang string, limit long")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    deal = F.xxhash64("doc_id", "text")
     at = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.greatest(F.size("w") - words_per_doc, F.lit(0)) + 1)
-    rows = labelled.where(chosen).select("lang", "doc_id", words.alias("w")).select("lang", "doc_id", F.slice("w", at.cast("int") + 1, words_per_doc).alias("w")).collect()
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["w"])):
-        if taken.get(r["lang"], 0) < docs_per_language:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            out.append((r["lang"], r["w"]))
-    return out
+    # Equal rows have equal hashes and count once; of what is under the limit, the smallest hashes are taken.
+    chosen = labelled.select("lang", "doc_id", "text", deal.alias("deal")).join(F.broadcast(limits), "lang").where(F.col("deal") <= F.col("limit")).dropDuplicates(["lang", "deal"])
+    first = Window.partitionBy("lang").orderBy("deal")
+    rows = chosen.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "deal", "doc_id", words.alias("w"))
+    rows = rows.select("lang", "deal", F.slice("w", at.cast("int") + 1, words_per_doc).alias("w")).collect()
+    return [(r["lang"], r["w"]) for r in sorted(rows, key=lambda r: (r["lang"], r["deal"]))]
+
+
+def hash_limit(wanted: float, rows: int) -> int:
+    """The 64-bit hash up to which about ``wanted`` of any number of rows lie."""
+    return -(2**63) + min(2**64 - 1, int(wanted * 2**64 / max(rows, 1)))
 
 
 def held_out():
@@ -276,8 +280,8 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     return docs.select(*dict.fromkeys([*carry, "text"]), spoken).mapInArrow(trimmed(_labeller(shared, [*carry])), schema)
 
 
-def keep_known(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
-    """The documents, under their own columns, that are in a language of the model with a score of ``least_score``."""
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, under their own columns, that have a language: null texts and such without a letter go."""
     aside, names = set_aside(docs, OWN)
     told = identify(aside, model, tuple(names.values()))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*[F.col(new).alias(old) for old, new in names.items()])
+    return told.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(new).alias(old) for old, new in names.items()])
