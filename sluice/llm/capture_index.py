@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, new_path
+from .common import bound_batches, cut, new_path, qualified
 from .wordbytes import trimmed
 
 BLOCK_LINES = 512
@@ -105,7 +105,7 @@ def _gzip(raw: bytes, level: int = 1) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def _archive_writer(path: str):
+def _archive_writer(path: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(path)
         fs.create_dir(base, recursive=True)
@@ -115,7 +115,7 @@ def _archive_writer(path: str):
             ids, urls, html = (batch.column(c).to_pylist() for c in ("id", "url", "payload"))
             keys, digests, refers = (batch.column(c).to_pylist() for c in ("key", "sha", "refers_to"))
             for i, url, text, key, sha, to in zip(ids, urls, html, keys, digests, refers, strict=True):
-                if out is None or at >= ROLL_BYTES:
+                if out is None or at >= roll_bytes:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -132,7 +132,7 @@ def _archive_writer(path: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write every row's record; returns the captures (written once, so files are, too)."""
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     known = F.broadcast(equal) if equal.count() <= BROADCAST_DIGESTS else equal
     refers = F.when(F.col("id").isNull() | (F.col("id") != F.col("last")), F.col("last"))
     told = rows.withColumn("sha", digest).withColumn("key", url_key("url")).join(known, "sha", "left").withColumn("refers_to", refers)
-    return cut(told.select("id", "url", "payload", "key", "sha", "refers_to").mapInArrow(trimmed(_archive_writer(path)), CAPTURES), "captures")
+    return cut(told.select("id", "url", "payload", "key", "sha", "refers_to").mapInArrow(trimmed(_archive_writer(path, roll_bytes)), CAPTURES), "captures")
 
 
 def _index_writer(path: str, block_lines: int):
@@ -300,7 +300,7 @@ def archive_round_trip(pages: DataFrame, id: str = "page_id", url: str = "url",
     """Write archives and index, then read every page's record back through the index."""
     spark: SparkSession = pages.sparkSession
     path = path or new_path(spark, "warc")
-    path = path if "://" in path else f"file://{path}"
+    path = qualified(spark, path)
     captures = write_archives(pages, f"{path}/archive", id, url, payload, min_bytes)
     shards = build_index(captures, f"{path}/index")
     return look_up(pages.select(F.col(id).cast("long").alias("id"), url_key(url).alias("key")), shards, f"{path}/index", f"{path}/archive")
