@@ -185,7 +185,7 @@ def test_near_duplicates_against_brute_force(spark, odd):
 
 def test_rollup_commits_once(spark, odd, tmp_path):
     counts = token_rollup.count_tokens(odd)
-    encoder = token_rollup._encoder(f"{token_rollup.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    encoder = token_rollup.encoder(*token_rollup.load_vocabulary(f"{token_rollup.TOKENIZERS}/byte_bpe_50k.tiktoken"))
     assert sorted(r["tokens"] for r in counts.collect()) == sorted(len(encoder.encode_ordinary(t[1] or "")) for t in ODD)
     r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
     assert r.totals().count() == 0
