@@ -12,7 +12,8 @@ Defined cases: a null text has 0 bytes (size 1) and the CRC of the empty string;
 a null id hashes as its text; equal rows share a slot and get different
 positions; an empty table gives a map of empty slots; extra columns pass through
 where asked for, and those with names of the operator's own come out with "_in"
-appended.
+appended. Equal texts are spread like any rows: a slot is a hash of the id, so that
+a group of copies with a third of all bytes fills no single shard.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, set_aside
+from .common import new_path, set_aside
 
 N_SLOTS = 4096
 MAP_SCHEMA = "vslot int, shard int, bytes long, rows long, first_position long"
@@ -130,14 +131,20 @@ def place(records: DataFrame, slot_map: DataFrame, version: int, key: str = "doc
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Measure, plan version 0 of the map, publish it and place every record."""
-    spark = docs.sparkSession
-    records = cut(measured(docs, key, text, keep, n_slots), "slots")
+def rebalance_documents(docs: DataFrame, path: str, version: int, n_shards: int, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), n_slots: int = N_SLOTS, tolerance: float = 0.0) -> DataFrame:
+    """Measure the slots, edit version ``version`` of the map to even loads, publish it as the next version and place every record by that."""
+    records = measured(docs, key, text, keep, n_slots)
     loads = slot_loads(records)
-    path = map_path or new_path(spark, "slotmap")
-    slot_map = publish(spark, path, 0, plan_map(loads, n_shards, n_slots), loads)
-    return place(records, slot_map, 0, records.columns[0])
+    before = {r["vslot"]: r["shard"] for r in read_map(docs.sparkSession, path, version).collect()}  # one row per slot
+    after = rebalance(before, loads, n_shards, tolerance)
+    return place(records, publish(docs.sparkSession, path, version + 1, after, loads), version + 1, records.columns[0])
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """A new map, slots dealt round (version 0), edited to the slots' loads (version 1), and every record placed by it."""
+    path = map_path or new_path(docs.sparkSession, "slotmap")
+    publish(docs.sparkSession, path, 0, plan_map([], n_shards, n_slots), [])
+    return rebalance_documents(docs, path, 0, n_shards, key, text, keep, n_slots)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
