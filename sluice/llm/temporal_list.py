@@ -9,11 +9,12 @@ fragment and trailing slash.
 
 Scale: entries of one pattern collapse to one state change per list and day, so a
 history is bounded by days times lists. Hosts are judged once each: distinct hosts
-are expanded to their parent domains, joined to the histories by equality, and
-the captures join their host's history, one row for one row: no interval is
-paired with captures outside it. A host with a third of all captures is one
-row on one side of an equi-join, which adaptive execution splits. Nothing is
-broadcast by hand.
+are expanded to their parent domains of as many labels as the lists' longest
+domain has, joined to the histories by equality, and the captures join their
+host's history, one row for one row: no interval is paired with captures outside
+it. Histories of listed hosts are broadcast if counted and no more than
+BROADCAST_SPANS intervals in all; otherwise captures are dealt by host, and those of
+hosts with a large share of all captures over salted copies.
 
 Defined cases: a null or hostless URL or a null date matches nothing and is kept
 (blocked false); several entries of one pattern, list and day: the largest seq
@@ -27,9 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_aside
+from .common import cut, set_aside, spread_join
 
 OWN = ("host", "url_key", "blocked", "matches")
+BROADCAST_SPANS = 500_000
 
 
 def url_host(url: str) -> Column:
@@ -67,26 +69,39 @@ def active(history: Column, day: Column) -> Column:
 
 
 def _host_histories(hosts: DataFrame, lists: DataFrame) -> DataFrame:
-    """host, history: what any of the host's patterns ever said, each with its pattern."""
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = hosts.select("host", F.explode(parents).alias("pattern"))
+    """host, host_history: what any of the host's patterns ever said, each with its pattern."""
     named = lists.where("kind IN ('domain', 'host')").select("kind", "pattern", "history")
+    most = named.agg(F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))).alias("n"))
+    labels, n = F.split("host", r"\."), F.size(F.split("host", r"\."))
+    parents = F.transform(F.sequence(F.lit(1), F.least(n, F.col("n"))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
+    each = hosts.join(F.broadcast(most))  # one row
+    keys = each.select("host", F.explode(F.array_distinct(F.concat(F.coalesce(F.when(F.col("n") > 0, parents), F.array().cast("array<string>")), F.array("host")))).alias("pattern"))
     met = keys.join(named, "pattern").where((F.col("kind") == "domain") | (F.col("pattern") == F.col("host")))
     told = F.transform("history", lambda h: F.struct(h["list"].alias("list"), F.col("kind").alias("kind"), F.col("pattern").alias("pattern"), h["since"].alias("since"), h["until"].alias("until")))
     return met.select("host", told.alias("h")).groupBy("host").agg(F.flatten(F.collect_list("h")).alias("host_history"))
 
 
-def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_date") -> DataFrame:
+def _with_history(captures: DataFrame, told: DataFrame, key: str, history: str, most: int) -> DataFrame:
+    """Captures beside the history of their key, null where it has none."""
+    told = cut(told, "histories")
+    if (told.agg(F.sum(F.size(history))).first()[0] or 0) <= most:
+        return captures.join(F.broadcast(told), key, "left")
+    listed = cut(captures.join(told.select(key), key, "left_semi").groupBy(key).agg(F.count("*").alias("n")).join(told, key), "listed")
+    inside = spread_join(captures, listed, [key], [c for c in captures.columns if c != key]).drop("n")
+    return inside.unionByName(captures.join(listed.select(key), key, "left_anti").withColumn(history, F.lit(None).cast(dict(told.dtypes)[history])))
+
+
+def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_date", broadcast: int = BROADCAST_SPANS) -> DataFrame:
     """Captures with host, url_key, matches (entries active on the day, in order) and blocked."""
-    captures, names = set_aside(captures, (*OWN, "host_history", "url_history"))
+    captures, names = set_aside(captures, (*OWN, "host_history", "url_history", "n"))
     url, day = names[url], names[day]
-    lists = intervals(entries)
+    lists = cut(intervals(entries), "lists")
     with_keys = captures.withColumn("host", url_host(url)).withColumn("url_key", url_key(url))
     hosts = with_keys.select("host").where("host IS NOT NULL").distinct()
     told = F.transform("history", lambda h: F.struct(h["list"].alias("list"), F.lit("url").alias("kind"), F.col("pattern").alias("pattern"), h["since"].alias("since"), h["until"].alias("until")))
     by_url = lists.where("kind = 'url'").select(F.col("pattern").alias("url_key"), told.alias("url_history"))
-    joined = with_keys.join(_host_histories(hosts, lists), "host", "left").join(by_url, "url_key", "left")
+    joined = _with_history(with_keys, _host_histories(hosts, lists), "host", "host_history", broadcast)
+    joined = _with_history(joined, by_url, "url_key", "url_history", broadcast)
     none = F.expr("cast(array() as array<struct<list: string, kind: string, pattern: string, since: date, until: date>>)")
     every = F.concat(F.coalesce("host_history", none), F.coalesce("url_history", none))
     matches = F.array_sort(F.coalesce(active(every, F.col(day)), none))
