@@ -18,7 +18,7 @@ table is broadcast only if counted and at most BROADCAST_SOURCES rows.
 
 Defined cases: a null text or one of white space has size 0; a null source is a
 source of its own, last in order; a source without words has target 0; equal rows
-are told apart only by order; extra columns may have any names; an empty table
+are told apart only by order; a null id is ordered by its text instead; extra columns may have any names; an empty table
 gives an empty result.
 """
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, numbered
 
 BROADCAST_SOURCES = 100_000
 SEED = "sluice-mix"
@@ -41,7 +41,8 @@ def cyclic_weight(rank: Column, cycle: int = 3) -> Column:
 
 def sized(docs: DataFrame, seed: str = SEED, whole: bool = False) -> DataFrame:
     """doc_id, source, size and the seeded digest, beside the whole row as a struct where it is to be kept."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+    # A null id has no place of its own in the order: its text's digest gives it one.
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))))
     return docs.select(
         "doc_id", "source", *([F.struct(*docs.columns).alias("row")] if whole else []),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -50,9 +51,9 @@ def sized(docs: DataFrame, seed: str = SEED, whole: bool = False) -> DataFrame:
 
 
 def water_levels(sources: DataFrame, epochs: int = 3) -> DataFrame:
-    """``sources``: source, source_size, weight. Adds target (double).
+    """``sources``: source, source_size, weight, rank. Adds target (double).
 
-    Works on one row per source, in one window: the caps' order is total.
+    In closed form, in one window over all sources: for a counted, small number of them.
     """
     total = Window.partitionBy()
     by_ratio = Window.partitionBy().orderBy(F.col("cap") / F.col("weight"), F.col("rank"))
@@ -69,11 +70,27 @@ def water_levels(sources: DataFrame, epochs: int = 3) -> DataFrame:
     )
 
 
-def source_targets(docs_sized: DataFrame, epochs: int = 3, weight=cyclic_weight) -> DataFrame:
-    order = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
-    sums = docs_sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = sums.withColumn("rank", F.row_number().over(order)).withColumn("weight", weight(F.col("rank")))
-    return water_levels(ranked, epochs).select("source", "source_size", "target")
+def water_levels_by_rounds(sources: DataFrame, epochs: int = 3) -> DataFrame:
+    """The same for any number of sources: clamp what the level is above, share out the rest, until none is above."""
+    cap = F.lit(epochs) * F.col("source_size")
+    budget, level, clamped = sources.agg(F.sum("source_size")).first()[0] or 0, None, 0
+    while True:
+        above = F.lit(False) if level is None else cap <= F.lit(level) * F.col("weight")
+        taken, n, sharing = sources.agg(F.coalesce(F.sum(F.when(above, cap)), F.lit(0)), F.count_if(above), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0))).first()
+        if level is not None and n == clamped or not sharing:
+            return sources.withColumn("target", F.when(above, cap.cast("double")).otherwise(F.lit(level or 0.0) * F.col("weight")))
+        level, clamped = float(budget - taken) / sharing, n
+
+
+def source_targets(docs_sized: DataFrame, epochs: int = 3, weight=cyclic_weight, single: int = BROADCAST_SOURCES) -> DataFrame:
+    """source, source_size, target. Up to ``single`` sources are ordered in one task, more over ranges."""
+    sums = cut(docs_sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    order = F.col("source").asc_nulls_last()
+    if sums.count() <= single:
+        ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(order)))
+        return water_levels(ranked.withColumn("weight", weight(F.col("rank"))), epochs).select("source", "source_size", "target")
+    ranked = cut(numbered(sums, [order], "rank").withColumn("weight", weight(F.col("rank"))), "mix-ranks")
+    return water_levels_by_rounds(ranked, epochs).select("source", "source_size", "target")
 
 
 def _cuts(docs_sized: DataFrame, targets: DataFrame) -> DataFrame:
