@@ -1,9 +1,10 @@
 """The corpus pipeline: language, near duplicates, benchmark passages, mixture, shards.
 
 Each stage works on all that the stage before it kept, and is written to the
-shared folder before the next one reads it. Columns beyond those of documents pass
-through the stages up to the mixture whatever their names; rows of null texts or
-of none with a letter go with the first stage; empty tables stay empty.
+shared folder before the next one reads it; what a stage wrote besides is removed
+once its result is there. Columns beyond those of documents pass through all
+stages (the last appends "_in" to those that have names of its own); rows of null
+texts or of none with a letter go with the first stage; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,16 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import langid_crf, prefix_join, probminhash, virtual_slots, waterfill
-from sluice.llm.common import cut
+from sluice.llm.common import cut, release, scratch
 
-#: Documents go if no language is found or none holds this share of their words.
-LEAST_SCORE = 0.4
+SHARDS = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the model."""
-    model = langid_crf.train(langid_crf.training_rows(docs))
-    return langid_crf.keep_known(docs, model, LEAST_SCORE)
+    """Documents in a language: all but null texts and texts without a letter."""
+    return langid_crf.keep_known(docs, langid_crf.train(langid_crf.training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,19 +38,30 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard, virtual slot and position."""
-    return virtual_slots.shard_documents(docs, 8, keep=("source", "lang"))
+    """Every document, whole, beside its shard, virtual slot and position in the shard."""
+    return virtual_slots.shard_documents(docs, SHARDS, keep=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: No SQL states hashed sampling, trained labels or components by signatures; the tests compare by brute force.
+#: No SQL states trained labels or components by signatures; tests/llm compares every stage's rows with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept: list[DataFrame] = []
+        with scratch(spark, kept):
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Run all stages and write the shards, one folder each."""
+    virtual_slots.write_shards(run(spark, sf_dir), path)
