@@ -20,14 +20,22 @@ def _iso(text: Column) -> Column:
     return F.when(text.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}{_TIME}$") & possible, F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
 
 
+def _first_seconds(text: Column) -> Column:
+    """The day of a date-time in the first 19 characters, whatever follows them."""
+    head = F.substring(text, 1, 19)
+    parts = r"^(\d{4}-\d{1,2}-\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+    hour, minute, second = (F.regexp_extract(head, parts, i).try_cast("int") for i in (2, 3, 4))
+    return F.when(head.rlike(parts) & (hour < 24) & (minute < 60) & (second < 62), F.try_to_date(F.regexp_extract(head, parts, 1), "y-M-d"))
+
+
 def lenient_date(value: Column) -> Column:
-    """YYYY-MM-DD, ISO date-times, Y/m/d, then d/m/Y before m/d/Y; null if none fits."""
+    """YYYY-MM-DD, ISO date-times, date-times to the second before anything, Y/m/d, then d/m/Y before m/d/Y; null if none fits."""
     text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
     plain = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
     compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
     slashes = text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
     other = F.coalesce(
-        _iso(text), compact, _day(text, r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
+        _iso(text), compact, _first_seconds(text), _day(text, r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
         F.when(slashes, F.try_to_date(text, "d/M/y")), F.when(slashes, F.try_to_date(text, "M/d/y")),
     )
     return F.date_format(F.when(plain, F.try_to_date(text, "yyyy-MM-dd")).otherwise(other), "yyyy-MM-dd")

@@ -17,6 +17,15 @@ HOST_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 EMAIL_TOKEN, PHONE_TOKEN, ADDRESS_TOKEN = "[EMAIL_REDACTED]", "[PHONE_REDACTED]", "[ADDRESS_REDACTED]"
 REDACTION_NOTE = " [CONTACT_REDACTION_APPLIED] no raw contact data is persisted."
 DECODE_ROUNDS = 8
+PLAIN_DATE = r"\d{4}-\d{2}-\d{2}"
+# Marks around the data of an offer in a prompt, and its fields.
+OFFER_MARKS = ("<UNTRUSTED_JOB_DATA_JSON>", "</UNTRUSTED_JOB_DATA_JSON>")
+OFFER_FIELDS = ("job_key", "id", "portal", "title", "company", "location", "date", "description", "salary", "remote", "source_call", "source_ids", "duplicate_sources")
+# Names of the fields of a payload.
+RESULT_FIELDS = ("id", "portal", "title", "company", "location", "url", "date", "description", "remote", "salary", "source_call", "new", "source_ids", "duplicate_sources", "email_contacto", "ats_hostil")
+FAILURE_FIELDS = ("call_id", "portal", "code", "message", "exit_code", "raw_file", "stderr_file", "backup_file", "expected")
+COUNT_FIELDS = ("calls", "successful_calls", "failed_calls", "skipped_calls", "raw_results", "normalized_results", "deduplicated", "results", "new", "seen", "failures", "skipped")
+RANK_FIELDS = ("job_key", "score", "tier", "verdict", "strengths", "gaps", "salary", "notes", "title", "company", "location", "url", "date", "remote", "portal", "source_ids", "duplicate_sources")
 # Review vocabulary, best tier first.
 TIERS = ("A+", "A", "B+", "B", "C", "VETO")
 VERDICTS = ("APLICAR", "APLICAR SI SOBRA TIEMPO", "DESCARTAR")
@@ -35,6 +44,7 @@ NEXT_ACTIONS = {
 FINAL_STATES = ("hired", "offer_declined", "rejected", "no_response")
 FOLLOW_UP_STATES = ("applied", "in_progress", "interview")
 FOLLOW_UP_DAYS, FOLLOW_UPS = 10, 2
+FOLLOW_UP_NOTE, FOLLOW_UP_ACTION = "follow-up {} draft created; manual review required", "Revisar y enviar follow-up manual"
 TRACKER_COLUMNS = ("fecha", "empresa", "rol", "portal", "url", "tier", "score", "estado", "próxima acción", "notas")
 # Share of each dimension in a score.
 WEIGHTS = {"location": 0.25, "role": 0.25, "skills": 0.20, "sector": 0.15, "pay": 0.10, "language": 0.05}

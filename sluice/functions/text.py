@@ -92,3 +92,13 @@ def strip_html(value: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def yaml_quote(value: Column) -> Column:
+    """A value as a quoted JSON string, which YAML reads too; null is the empty string."""
+    return F.regexp_replace(F.to_json(F.struct(F.coalesce(value.cast("string"), F.lit("")).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", "$1")
+
+
+def unexpected_keys(given: Column, allowed: tuple[str, ...]) -> Column:
+    """The keys of an array that are not allowed."""
+    return F.array_except(given, F.array(*[F.lit(k) for k in allowed]))

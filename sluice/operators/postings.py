@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contacts, dates, urls
 from ..functions import text as tx
+from ..tables import cut, numbered, spread_join
+from . import graph
 
 
 def _string(item: Column, name: str) -> Column:
@@ -39,38 +41,20 @@ def normalize(decoded: DataFrame) -> DataFrame:
     )
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder, or where there is none (tests) in memory and disk."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
-
-
-def components(rows: DataFrame, node: str, keys: list[str], max_rounds: int = 50) -> DataFrame:
+def components(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
     """(node, root): rows that share any non-null key belong together, transitively; the root is the smallest node.
 
-    Labels travel over keys (rows to their keys' smallest label and back), by two
-    aggregations a round with map-side minima, so a key shared by a third of all rows
-    is summed before it moves. Every second hop follows the label's own label, which
-    halves the rounds of long chains. Raises if not settled after max_rounds.
+    Every row of a key is linked to the key's first row, so a key shared by a third of
+    all rows makes as many links as rows; hot keys are dealt out.
     """
     links = None
     for k in keys:
-        part = rows.where(F.col(k).isNotNull()).select(F.col(node).alias("n"), F.concat(F.lit(f"{k}="), F.col(k)).alias("k"))
+        part = rows.where(F.col(k).isNotNull()).select(F.col(node).alias("a"), F.concat(F.lit(f"{k}="), F.col(k)).alias("k"))
         links = part if links is None else links.unionByName(part)
-    links = _cut(links)
-    labels = rows.select(F.col(node).alias("n"), F.col(node).alias("l"))
-    for _ in range(max_rounds):
-        low = links.join(labels, "n").groupBy("k").agg(F.min("l").alias("l"))
-        met = links.join(low, "k").groupBy("n").agg(F.min("l").alias("m"))
-        moved = labels.join(met, "n", "left").select("n", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
-        hop = moved.select(F.col("n").alias("l"), F.col("l").alias("ll"))
-        after = _cut(moved.join(hop, "l").select("n", "was", F.col("ll").alias("l")))
-        changed = not after.where("was <> l").isEmpty()
-        labels = after.select("n", "l")
-        if not changed:
-            return labels.select(F.col("n").alias(node), F.col("l").alias("root"))
-    raise RuntimeError(f"groups not settled after {max_rounds} rounds")
+    lows = cut(links.groupBy("k").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1"), "key-firsts")
+    labels = graph.components(spread_join(links, lows, ["k"], ["a"]).select("a", "b"))
+    root = F.coalesce("label", node).alias("root")
+    return rows.select(node).join(labels.withColumnRenamed("node", node), node, "left").select(node, root)
 
 
 def deduplicate(rows: DataFrame, pos: str = "pos") -> DataFrame:
@@ -81,17 +65,19 @@ def deduplicate(rows: DataFrame, pos: str = "pos") -> DataFrame:
     of arrival (the reference form may repeat them).
     """
     keyed = rows.withColumn("url_key", urls.canonical_url(F.col("url"))).withColumn("pair_key", tx.title_company_key(F.col("title"), F.col("company")))
-    keyed = _cut(keyed)
+    keyed = cut(keyed, "keyed")
     roots = components(keyed, pos, ["url_key", "pair_key"])
-    told = keyed.join(roots, pos)
+    told = cut(keyed.join(roots, pos), "grouped")
+    counted = told.groupBy("root").agg(F.count("*").alias("size"), F.bool_or("new").alias("any_new"))
+    # Members are made distinct, each with its first arrival, before they are listed.
     name = F.when(F.col("id").isNotNull(), F.concat_ws(":", "portal", "id"))
-    folded = told.groupBy("root").agg(
-        F.count("*").alias("size"), F.bool_or("new").alias("any_new"),
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "portal", name.alias("key")))).alias("members"),
-    )
-    own = keyed.drop("new").join(folded, F.col(pos) == F.col("root"))
-    listed = lambda f: F.array_distinct(F.filter(F.transform("members", lambda m: m[f]), lambda x: x.isNotNull()))
-    return own.withColumn("new", F.col("any_new")).withColumn("duplicate_sources", listed("portal")).withColumn("source_ids", listed("key")).drop("members", "any_new", "root", "url_key", "pair_key")
+    lists = {"duplicate_sources": F.col("portal"), "source_ids": name}
+    out = keyed.drop("new").join(counted, F.col(pos) == F.col("root")).withColumnRenamed("any_new", "new")
+    for column, member in lists.items():
+        firsts = told.select("root", member.alias("m"), F.col(pos).alias("p")).where("m IS NOT NULL").groupBy("root", "m").agg(F.min("p").alias("p"))
+        listed = firsts.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias(column))
+        out = out.join(listed, "root", "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    return out.drop("root", "url_key", "pair_key")
 
 
 def mark_new(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -113,20 +99,23 @@ def latest_order() -> list[Column]:
     return [F.col("new").desc(), F.col("date").desc_nulls_last(), *text]
 
 
-def run_counters(calls: DataFrame, groups: DataFrame, raw: DataFrame) -> DataFrame:
-    """The counters of a run in one row: calls and their failures, rows before and after dedup, new and seen."""
+def run_counters(calls: DataFrame, groups: DataFrame, raw: DataFrame, state_failures: int = 0) -> DataFrame:
+    """The twelve counters of a run in one row: calls and their failures (and those of its state), rows before and after dedup, new and seen."""
     a = calls.agg(F.count("*").alias("calls"), F.count_if(F.expr("failure IS NULL")).alias("successful_calls"), F.count_if(F.expr("failure IS NOT NULL AND NOT failure.expected")).alias("failed_calls"), F.count_if(F.expr("failure.expected")).alias("skipped_calls"))
     b = groups.agg(F.count("*").alias("results"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("deduplicated"), F.count_if(F.expr("new")).alias("new"), F.count_if(F.expr("NOT new")).alias("seen"))
     c = raw.agg(F.count("*").alias("raw_results"))
-    return a.join(b).join(c)  # three single rows
+    one = a.join(b).join(c)  # three single rows
+    failures = F.col("calls") - F.col("successful_calls") + state_failures
+    return one.select("*", F.col("results").alias("normalized_results"), failures.alias("failures"), F.col("skipped_calls").alias("skipped"))
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
-    """1-based numbers in a total order: range-partitioned counts first, so no task sorts all rows.
+def in_matrix_order(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Rows of calls (call_id, pos) numbered in the order of the matrix, not of completion: ``arrival`` from 1."""
+    placed = rows.join(matrix.select("call_id", "ordinal"), "call_id")
+    return numbered(placed, [F.col("ordinal"), F.col("pos")], "arrival").drop("ordinal")
 
-    Every row's number is its place in its range plus the rows of the ranges before.
-    """
-    marked = _cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()))
-    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = marked.groupBy("_part").agg(F.count("*").alias("_c"), F.min("_in").alias("_first")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    return marked.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_in") - F.col("_first") + F.col("_before") + 1).cast("long")).drop("_part", "_in", "_c", "_first", "_before")
+
+def digest_order() -> list[Column]:
+    """New first, then the latest date; what is no plain date last; title, company, portal, id."""
+    plain = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date"))
+    return [F.col("new").desc(), plain.desc_nulls_last(), *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "portal", "id")]]

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import contacts, fixed, urls
+from ..functions import contacts, dates, fixed, urls
 from ..functions import text as tx
-from .postings import numbered
+from ..tables import cut, numbered
 
 CANDIDATE = ("job_key", "id", "portal", "title", "company", "location", "url", "date", "description", "remote", "salary", "source_call", "source_ids", "duplicate_sources")
 REVIEW = ("job_key", "score", "tier", "verdict", "strengths", "gaps", "salary", "notes")
@@ -67,6 +67,15 @@ def wave_prompts(blocks: DataFrame, head: str, wave: str = "wave", place: str =
     return blocks.groupBy(wave).agg(F.concat(F.lit(head + "\n\n"), F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n")).alias("prompt"), F.count("*").alias("offers"))
 
 
+def offer_payload(candidates: DataFrame) -> DataFrame:
+    """job_key, title, company, url and ``block``: the thirteen fields of an offer, without its URL, between their marks."""
+    free = ("title", "company", "location", "description", "salary")
+    fields = [(tx.prompt_escape(F.col(c)) if c in free else F.col(c)).alias(c) for c in sorted(fixed.OFFER_FIELDS)]
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    first, last = fixed.OFFER_MARKS
+    return candidates.select("job_key", "title", "company", "url", F.concat(F.lit(first + "\n"), body, F.lit("\n" + last)).alias("block"))
+
+
 def posting_errors() -> Column:
     """The rules a posting breaks, as an array; empty if it is valid."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -96,17 +105,37 @@ def failure_errors() -> Column:
     return F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))
 
 
+def parse_reviews(raw: DataFrame) -> DataFrame:
+    """Reviews from JSON (job_key asked for, payload, and attempts if there): entry_key, the fields, attempts, and well_formed.
+
+    Well-formed are objects of exactly the known fields, where those of fixed kind have it.
+    """
+    v = F.try_parse_json("payload")
+    get = lambda c, kind: F.try_variant_get(v, f"$.{c}", kind)
+    kind = lambda c: F.coalesce(F.schema_of_variant(get(c, "variant")), F.lit("VOID"))
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
+    exact = F.array_sort(keys) == F.array(*[F.lit(c) for c in sorted(REVIEW)])
+    text = lambda c: F.when(kind(c) == "STRING", get(c, "string")).alias(c)
+    three = lambda c: F.when(kind(c) == "ARRAY<STRING>", get(c, "array<string>")).alias(c)
+    # Whole numbers are no scores: 8.0 is one, 8 is not.
+    score = F.when(kind("score").rlike("^(DOUBLE|FLOAT|DECIMAL)"), get("score", "double")).alias("score")
+    attempts = F.coalesce("attempts", F.lit(1)) if "attempts" in raw.columns else F.lit(1)
+    return raw.select(
+        F.col("job_key").alias("entry_key"), text("job_key"), score, text("tier"), text("verdict"), three("strengths"), three("gaps"), text("salary"), text("notes"),
+        attempts.cast("int").alias("attempts"), F.coalesce(exact, F.lit(False)).alias("well_formed"))
+
+
 def review_error(expected: Column) -> Column:
     """What is wrong with a review, the first rule that fails; null if nothing is."""
     three = lambda c: F.coalesce((F.size(c) == 3) & F.forall(c, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), F.lit(False))
     score = F.col("score")
     in_range = score.between(0, 10) & ~F.isnan(score) & (F.round(score, 1) == score)
     ladder = [
-        (~urls.safe_identifier(F.col("job_key")), "reviewer job_key is unsafe"), (~F.coalesce(F.col("job_key") == expected, F.lit(False)), "reviewer job_key does not match candidate"),
-        (score.isNull(), "reviewer score is not numeric"), (~F.coalesce(in_range, F.lit(False)), "reviewer score is out of range"),
-        (~F.coalesce(F.col("tier").isin(*fixed.TIERS), F.lit(False)), "reviewer tier is invalid"), (~F.coalesce(F.col("verdict").isin(*fixed.VERDICTS), F.lit(False)), "reviewer verdict is invalid"),
-        ((F.col("tier") == "VETO") & (F.col("verdict") != "DESCARTAR"), "reviewer veto verdict is invalid"), (~three("strengths"), "reviewer strengths is invalid"), (~three("gaps"), "reviewer gaps is invalid"),
-        (F.col("salary").isNull() | F.col("notes").isNull(), "reviewer free text is invalid"),
+        (~urls.safe_identifier(F.col("job_key")), "unsafe job_key"), (~F.coalesce(F.col("job_key") == expected, F.lit(False)), "another job_key than asked for"),
+        (score.isNull(), "no number with decimals as score"), (~F.coalesce(in_range, F.lit(False)), "score outside 0 to 10 in tenths"),
+        (~F.coalesce(F.col("tier").isin(*fixed.TIERS), F.lit(False)), "unknown tier"), (~F.coalesce(F.col("verdict").isin(*fixed.VERDICTS), F.lit(False)), "unknown verdict"),
+        ((F.col("tier") == "VETO") & (F.col("verdict") != "DESCARTAR"), "veto not discarded"), (~three("strengths"), "not three strengths"), (~three("gaps"), "not three gaps"),
+        (F.col("salary").isNull() | F.col("notes").isNull(), "salary or notes missing"),
     ]
     first, *rest = ladder
     return reduce(lambda acc, r: acc.when(*r), rest, F.when(*first))
@@ -128,11 +157,110 @@ def redact_reviews(reviews: DataFrame) -> DataFrame:
     return final.withColumn("contact_remains", contacts.contains_contact(everything))
 
 
+def checked_reviews(reviews: DataFrame) -> DataFrame:
+    """Parsed reviews with ``error``, free text redacted; a pattern that remains after redaction is an error, too."""
+    told = reviews.withColumn("error", F.when(~F.col("well_formed"), "other fields than a review has").otherwise(review_error(F.col("entry_key"))))
+    clean = redact_reviews(told)
+    return clean.withColumn("error", F.coalesce("error", F.when(F.col("contact_remains"), "contact data remains"))).drop("contact_remains")
+
+
+def last_in_first_place(rows: DataFrame, pos: str = "pos", key: str = "job_key") -> DataFrame:
+    """One row per key: the last one's values at the first one's place."""
+    names = [c for c in rows.columns if c not in (pos, key)]
+    picked = rows.groupBy(key).agg(F.min(pos).alias(pos), F.max_by(F.struct(*names), pos).alias("_v"))
+    return picked.select(pos, key, "_v.*")
+
+
+def rank_reviews(candidates: DataFrame, reviews: DataFrame, skipped: DataFrame | None = None, merged: bool = False, share: float = 0.30) -> tuple[DataFrame, DataFrame]:
+    """Ranks and failures of candidates (pos, job_key, ...) by parsed reviews.
+
+    The plain form checks critical fields first and stops (RuntimeError) where more than ``share`` of
+    at least three candidates failed. The merged form does neither, but names ``skipped`` candidates
+    (job_key) without an own review as invalid input. Ranks keep the candidate's own title, company
+    and place; failures come with code, attempts, reason and detail, by key.
+    """
+    asked = last_in_first_place(candidates)
+    answers = checked_reviews(reviews).withColumnsRenamed({"job_key": "own_key", "entry_key": "job_key"})
+    told = judged(asked, answers, () if merged else ("title", "location"))
+    leak = F.lit(False)
+    for c in ("title", "company", "location"):
+        leak = leak | contacts.contains_contact(contacts.redact_contacts(F.col(c)))
+    told = cut(told.withColumn("_leak", F.col("code").isNull() & leak).withColumns({
+        "code": F.when(F.col("_leak"), "RANK_FAILED").otherwise(F.col("code")), "reason": F.when(F.col("_leak"), "contact_pattern_remaining").otherwise(F.col("reason")),
+        "detail": F.when(F.col("reason") == "invalid_reviewer_output", F.substring("r_error", 1, 120)), "attempts": F.when(F.col("reason").isin("invalid_reviewer_output") | F.col("code").isNull(), F.col("r_attempts")).otherwise(0)}).drop("_leak"), "told")
+    if not merged and failure_gate(told, share).first()["aborted"]:
+        raise RuntimeError("too many candidates failed: nothing is ranked")
+    own = {"score", "tier", "verdict", "strengths", "gaps", "salary", "notes"}
+    ranks = told.where("code IS NULL").select(*[F.col(f"r_{c}" if c in own else c).alias(c) for c in fixed.RANK_FIELDS])
+    failures = told.where("code IS NOT NULL").select("job_key", "code", "attempts", "reason", "detail")
+    if skipped is not None:
+        done = told.where("reason IS NULL OR reason <> 'missing_output'").select("job_key")
+        left = skipped.where("job_key IS NOT NULL").select("job_key").join(done, "job_key", "left_anti")
+        failures = failures.unionByName(left.select("job_key", F.lit("RANK_INPUT_INVALID").alias("code"), F.lit(0).alias("attempts"), F.lit("unsafe_apply_url").alias("reason"), F.lit(None).cast("string").alias("detail")))
+    return ranks, failures.orderBy("job_key")
+
+
+def _variant_kind(item: str, field: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(F.col(item), f"$.{field}", "variant")), F.lit("VOID"))
+
+
+def payload_errors(payloads: DataFrame) -> DataFrame:
+    """One row (run, path, rule) for everything that is wrong with payloads (run, payload as JSON)."""
+    v = F.try_parse_json("payload")
+    root = payloads.select("run", v.alias("v"))
+    get = lambda c, kind, item="v": F.try_variant_get(F.col(item), f"$.{c}", kind)
+    text = lambda c, item: F.when(_variant_kind(item, c) == "STRING", get(c, "string", item))
+    keys = lambda item: F.map_keys(F.try_variant_get(F.col(item), "$", "map<string, variant>"))
+    whole = lambda c, item: F.coalesce((_variant_kind(item, c) == "BIGINT") & (get(c, "long", item) >= 0), F.lit(False))
+
+    def listed(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        bad = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), name) for name, c in rules.items()]))
+        return rows.select("run", "path", F.explode(bad).alias("rule"))
+
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    none = root.where(~is_object).select("run", F.lit("root").alias("path"), F.lit("object").alias("rule"))
+    objects = root.where(is_object).withColumn("path", F.lit("root")).withColumn("counts", get("counts", "variant"))
+    stamp = text("generated_at", "v")
+    n = keys("counts")
+    counted = _variant_kind("v", "counts").startswith("OBJECT")
+    top = listed(objects, {
+        "missing": F.size(F.array_except(F.array(*[F.lit(c) for c in ("run_id", "generated_at", "results", "failures", "counts")]), keys("v"))) > 0,
+        "run_id": ~urls.safe_identifier(text("run_id", "v")), "generated_at": stamp.isNull() | ~stamp.contains("T") | dates.strict_date(stamp).isNull(),
+        "results": ~_variant_kind("v", "results").startswith("ARRAY"), "failures": ~_variant_kind("v", "failures").startswith("ARRAY"), "counts": ~counted,
+        "counts.unexpected": counted & (F.size(tx.unexpected_keys(n, fixed.COUNT_FIELDS)) > 0), "counts.results": counted & ~whole("results", "counts"),
+        "counts.integer": counted & whole("results", "counts") & reduce(lambda a, b: a | b, [F.array_contains(n, c) & ~whole(c, "counts") for c in fixed.COUNT_FIELDS if c != "results"])})
+    items = lambda c: objects.select("run", F.posexplode(F.try_variant_get("v", f"$.{c}", "array<variant>")).alias("i", "x")).withColumn("path", F.concat(F.lit(f"{c}["), F.col("i").cast("string"), F.lit("]"))).withColumn("ok", F.coalesce(F.schema_of_variant("x").startswith("OBJECT"), F.lit(False)))
+    optional = lambda c: ~_variant_kind("x", c).isin("STRING", "VOID")
+    flag = lambda c: ~_variant_kind("x", c).isin("BOOLEAN", "VOID")
+    t = lambda c: text(c, "x")
+    ids = lambda c: ~F.coalesce((_variant_kind("x", c) == "ARRAY<STRING>") & F.forall(get(c, "array<string>", "x"), lambda e: urls.safe_identifier(e)) & (F.size(get(c, "array<string>", "x")) > 0), F.lit(False))
+    key = F.concat_ws(":", t("portal"), t("id"))
+    results = items("results")
+    wrong = listed(results.where("ok"), {
+        "missing": F.size(F.array_except(F.array(*[F.lit(c) for c in fixed.RESULT_FIELDS]), keys("x"))) > 0, "unexpected": F.size(tx.unexpected_keys(keys("x"), (*fixed.RESULT_FIELDS, "job_key"))) > 0,
+        "id": ~urls.safe_identifier(t("id")), "portal": ~urls.safe_identifier(t("portal")), "title": F.coalesce(F.trim(t("title")), F.lit("")) == "",
+        **{c: optional(c) for c in ("company", "location", "description", "salary")}, "url": (_variant_kind("x", "url") != "VOID") & ~urls.safe_apply_url(t("url")),
+        "date": F.when(_variant_kind("x", "date") == "VOID", ~F.array_contains(keys("x"), "date")).otherwise(~F.coalesce(dates.strict_date(t("date")) == t("date"), F.lit(False))),
+        "remote": flag("remote"), "new": _variant_kind("x", "new") != "BOOLEAN", "email_contacto": (_variant_kind("x", "email_contacto") != "VOID") & (F.coalesce(F.trim(t("email_contacto")), F.lit("")) == ""), "ats_hostil": flag("ats_hostil"),
+        "source_call": ~urls.safe_identifier(t("source_call")), "source_ids": ids("source_ids"), "duplicate_sources": ids("duplicate_sources"), "job_key": F.array_contains(keys("x"), "job_key") & ~F.coalesce(t("job_key") == key, F.lit(False))})
+    named = results.where("ok").select("run", "i", "path", key.alias("k"), (urls.safe_identifier(t("portal")) & urls.safe_identifier(t("id"))).alias("good")).where("good")
+    firsts = named.groupBy("run", "k").agg(F.min("i").alias("first"))
+    again = named.join(firsts, ["run", "k"]).where("i > first").select("run", "path", F.lit("duplicate job_key").alias("rule"))
+    failures = items("failures")
+    broken = listed(failures.where("ok"), {
+        "unexpected": F.size(tx.unexpected_keys(keys("x"), fixed.FAILURE_FIELDS)) > 0, **{c: ~urls.safe_identifier(t(c)) for c in ("call_id", "portal", "code")},
+        "message": (F.coalesce(F.trim(t("message")), F.lit("")) == "") | contacts.has_secret(t("message")), "exit_code": F.array_contains(keys("x"), "exit_code") & ~whole("exit_code", "x"),
+        **{c: optional(c) | contacts.has_secret(t(c)) for c in ("raw_file", "stderr_file", "backup_file")}, "expected": F.array_contains(keys("x"), "expected") & (_variant_kind("x", "expected") != "BOOLEAN")})
+    others = [d.where("NOT ok").select("run", "path", F.lit("object").alias("rule")) for d in (results, failures)]
+    return reduce(DataFrame.unionByName, [none, top, wrong, again, broken, *others])
+
+
 def last_writer(single: DataFrame, batched: DataFrame, key: str = "job_key") -> DataFrame:
-    """Union where the batched row wins its key (equal keys within one side: one row stays)."""
+    """Union where the batched row wins its key; of equal keys in one side the last by ``pos`` (if there is one)."""
     both = single.withColumn("_rank", F.lit(0)).unionByName(batched.withColumn("_rank", F.lit(1)))
     names = [c for c in both.columns if c not in ("_rank", key)]
-    picked = both.groupBy(key).agg(F.max_by(F.struct(*names), "_rank").alias("_v"))
+    rank = F.struct("_rank", "pos") if "pos" in both.columns else F.col("_rank")
+    picked = both.groupBy(key).agg(F.max_by(F.struct(*names), rank).alias("_v"))
     return picked.select(key, "_v.*")
 
 
@@ -172,6 +300,25 @@ def digest_rows(ranks: DataFrame, limit: int = 10) -> DataFrame:
     return top.select(n.alias("n"), *[tx.cell(F.col(c)).alias(c) for c in ("score", "tier", "verdict", "title", "company", "location", "portal", "url") if c in ranks.columns])
 
 
+def next_steps(rows: DataFrame) -> DataFrame:
+    """What to do about the digest's rows, by verdict: n, step (apply or queue), title, company; others need nothing."""
+    step = F.when(F.col("verdict") == fixed.VERDICTS[0], "apply").when(F.col("verdict") == fixed.VERDICTS[1], "queue")
+    return rows.select("n", step.alias("step"), "title", "company").where("step IS NOT NULL")
+
+
+def failure_lines(failures: DataFrame) -> DataFrame:
+    """The digest's failures by key: key, code and reason as cells, with what they lack filled in."""
+    has = lambda *names: F.coalesce(*[F.col(c) for c in names if c in failures.columns], F.lit(None).cast("string"))
+    return failures.select(tx.cell(F.coalesce(has("job_key", "call_id"), F.lit("unknown"))).alias("key"), tx.cell(F.coalesce(has("code"), F.lit("UNKNOWN"))).alias("code"), tx.cell(has("reason", "message")).alias("reason")).orderBy("key", "code")
+
+
+def check_digest_input(ranks: DataFrame, failures: DataFrame) -> None:
+    """Refuse (ValueError) tables that lack what the digest shows."""
+    for table, needed in ((ranks, ("job_key", "score", "tier", "verdict", "title", "company", "location", "portal", "url")), (failures, ("job_key", "code", "reason"))):
+        if lacking := [c for c in needed if c not in table.columns]:
+            raise ValueError(f"the digest's input lacks {', '.join(lacking)}")
+
+
 def digest_text(rows: DataFrame, day: str, run_id: str, failures: int) -> str:
     """The digest as Markdown; its rows are bounded by the digest's limit."""
     names = [c for c in rows.columns if c != "n"]

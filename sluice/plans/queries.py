@@ -6,13 +6,14 @@ and orders stand in: the operators are the real ones, the meaning of their input
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contacts, dates, urls
 from ..functions import text as tx
 from ..operators import postings, ranking, tracker
 from ..session import table
+from ..tables import numbered
 from ..sources import files
 
 QUERIES: dict = {}
@@ -53,6 +54,26 @@ def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What makes a page's URL an unsafe link, by page_id % 12; the others are safe.
+LINK_SQL = """CASE page_id % 12 WHEN 1 THEN 'https://jo@' || substr(url, strpos(url, '//') + 2) WHEN 2 THEN split_part(url, '#', 1) || '&m=jo%40b.org' WHEN 3 THEN 'https://example.org:99999/' || page_id WHEN 4 THEN 'https://example.org/2026-07-22/'
+  WHEN 5 THEN 'https://example.org/jobs/' || (1000000 + page_id) WHEN 6 THEN 'https://example.org/a b' WHEN 7 THEN 'https://example.org/%250a' WHEN 8 THEN 'ftp://example.org/' WHEN 9 THEN 'https://münchen.example/' WHEN 10 THEN 'https://-a.example/' ELSE url END"""
+SAFE_SQL = "page_id % 12 IN (0, 5, 9, 11)"
+
+
+def _link() -> Column:
+    k, url = F.col("page_id") % 12, F.col("url")
+    number = F.col("page_id").cast("string")
+    cases = {
+        1: F.concat(F.lit("https://jo@"), F.regexp_replace(url, "^[^/]*//", "")), 2: F.concat(F.substring_index(url, "#", 1), F.lit("&m=jo%40b.org")), 3: F.concat(F.lit("https://example.org:99999/"), number),
+        4: F.lit("https://example.org/2026-07-22/"), 5: F.concat(F.lit("https://example.org/jobs/"), (F.col("page_id") + 1_000_000).cast("string")), 6: F.lit("https://example.org/a b"), 7: F.lit("https://example.org/%250a"),
+        8: F.lit("ftp://example.org/"), 9: F.lit("https://münchen.example/"), 10: F.lit("https://-a.example/"),
+    }
+    out = F.when(F.lit(False), url)
+    for i, link in cases.items():
+        out = out.when(k == i, link)
+    return out.otherwise(url)
+
+
 @_query(f"SELECT page_id, {CANONICAL_SQL} AS url_key FROM pages")
 def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url_key"))
@@ -95,7 +116,7 @@ _LATEST_SQL = "row_number() OVER (ORDER BY new DESC, date DESC NULLS LAST, coale
 
 @_query(f"WITH RECURSIVE {GROUPS_SQL} SELECT {_LATEST_SQL} AS n, pos, title, portal, date, new, size FROM groups")
 def latest_order(spark, sf_dir):
-    return postings.numbered(_groups(spark, sf_dir), postings.latest_order()).select("n", "pos", "title", "portal", "date", "new", "size")
+    return numbered(_groups(spark, sf_dir), postings.latest_order()).select("n", "pos", "title", "portal", "date", "new", "size")
 
 
 @_query("""WITH runs AS (SELECT *, ts < TIMESTAMP '2024-01-15' AS early, event_type AS portal, (user_id % 97)::VARCHAR AS id FROM events),
@@ -123,10 +144,11 @@ def seen_update(spark, sf_dir):
 
 @_query(f"""WITH RECURSIVE {GROUPS_SQL}, calls AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
 SELECT (SELECT count(*) FROM calls) AS calls, (SELECT count(*) FROM calls WHERE n < 5) AS successful_calls, (SELECT count(*) FROM calls WHERE n >= 5 AND conv_id % 2 = 0) AS failed_calls,
- (SELECT count(*) FROM calls WHERE n >= 5 AND conv_id % 2 = 1) AS skipped_calls, count(*) AS results, sum(size - 1)::BIGINT AS deduplicated, count(*) FILTER (new) AS new, count(*) FILTER (NOT new) AS seen, (SELECT count(*) FROM pages) AS raw_results FROM groups""")
+ (SELECT count(*) FROM calls WHERE n >= 5 AND conv_id % 2 = 1) AS skipped_calls, count(*) AS results, sum(size - 1)::BIGINT AS deduplicated, count(*) FILTER (new) AS new, count(*) FILTER (NOT new) AS seen, (SELECT count(*) FROM pages) AS raw_results,
+ count(*) AS normalized_results, (SELECT count(*) FROM calls WHERE n >= 5) + 1 AS failures, (SELECT count(*) FROM calls WHERE n >= 5 AND conv_id % 2 = 1) AS skipped FROM groups""")
 def run_counters(spark, sf_dir):
     calls = table(spark, sf_dir, "conversations").groupBy("conv_id").count().select(F.when(F.col("count") >= 5, F.struct((F.col("conv_id") % 2 == 1).alias("expected"))).alias("failure"))
-    return postings.run_counters(calls, _groups(spark, sf_dir), table(spark, sf_dir, "pages"))
+    return postings.run_counters(calls, _groups(spark, sf_dir), table(spark, sf_dir, "pages"), 1)
 
 
 @_query(r"""SELECT doc_id, list_filter(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'), lambda x: lower(split_part(x, '@', 1)) NOT IN
@@ -151,9 +173,9 @@ def safe_identifier(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.safe_identifier(F.split_part("url", F.lit("/"), F.lit(4))).alias("safe"))
 
 
-@_query()
+@_query(f"SELECT page_id, {LINK_SQL} AS link, {SAFE_SQL} AS safe FROM pages")
 def safe_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.safe_apply_url(F.col("url")).alias("safe"))
+    return table(spark, sf_dir, "pages").withColumn("link", _link()).select("page_id", "link", urls.safe_apply_url(F.col("link")).alias("safe"))
 
 
 @_query(f"WITH {POSTINGS_SQL} SELECT portal || ':' || id AS job_key, url FROM postings WHERE new AND url <> '' ORDER BY pos LIMIT 10")
@@ -161,9 +183,10 @@ def candidates_top10(spark, sf_dir):
     return ranking.top_candidates(stand_in(spark, sf_dir)).select("job_key", "url")
 
 
-@_query()
+@_query(f"""WITH {POSTINGS_SQL} SELECT portal || ':' || id AS job_key, CASE WHEN NOT new THEN 'not_eligible' WHEN NOT {SAFE_SQL.replace('page_id', 'pos')} THEN 'unsafe_url' END AS skipped FROM postings""")
 def candidates_split(spark, sf_dir):
-    return ranking.split_candidates(stand_in(spark, sf_dir)).select("job_key", "skipped")
+    links = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), _link().alias("url"))
+    return ranking.split_candidates(stand_in(spark, sf_dir).drop("url").join(links, "pos")).select("job_key", "skipped")
 
 
 @_query("SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) - 1 AS wave, row_number() OVER (PARTITION BY w ORDER BY doc_id) - 1 AS place FROM (SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) AS w FROM documents)")
@@ -176,15 +199,16 @@ def chunk_waves(spark, sf_dir):
     return ranking.in_waves(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")])
 
 
-@_query(r"""SELECT conv_id, turn, '<<<OFFER' || chr(10) || json_object('conv_id', conv_id, 'role', role, 'text', CASE WHEN NOT regexp_matches(text, '[\x00-\x1F\x7F]') THEN replace(replace(replace(text, '&', '&'), '<', '<'), '>', '>') END, 'turn', turn)::VARCHAR || chr(10) || 'OFFER>>>' AS block FROM conversations""")
+@_query(r"""SELECT conv_id, turn, '<<<OFFER' || chr(10) || json_object('conv_id', conv_id, 'role', role, 'text', CASE WHEN NOT regexp_matches(text, '[\x00-\x1F\x7F]') THEN replace(replace(replace(text, '&', '\u0026'), '<', '\u003C'), '>', '\u003E') END, 'turn', turn)::VARCHAR || chr(10) || 'OFFER>>>' AS block FROM conversations""")
 def prompt_blocks(spark, sf_dir):
     return ranking.offer_block(table(spark, sf_dir, "conversations"), ["conv_id", "role", "text", "turn"]).select("conv_id", "turn", "block")
 
 
-@_query("""SELECT conv_id, count(*) AS offers FROM conversations GROUP BY conv_id""")
+@_query(r"""WITH b AS (SELECT conv_id, turn, '<<<OFFER' || chr(10) || json_object('role', role, 'text', CASE WHEN NOT regexp_matches(text, '[\x00-\x1F\x7F]') THEN replace(replace(replace(text, '&', '\u0026'), '<', '\u003C'), '>', '\u003E') END)::VARCHAR || chr(10) || 'OFFER>>>' AS block FROM conversations)
+SELECT conv_id, 'Review these.' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY turn, block) AS prompt, count(*) AS offers FROM b GROUP BY conv_id""")
 def wave_prompts(spark, sf_dir):
     blocks = ranking.offer_block(table(spark, sf_dir, "conversations"), ["role", "text"])
-    return ranking.wave_prompts(blocks, "Review these.", "conv_id", "turn").select("conv_id", "offers")
+    return ranking.wave_prompts(blocks, "Review these.", "conv_id", "turn")
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -220,7 +244,7 @@ def rank_join(spark, sf_dir):
 
 @_query(f"WITH {_RANK_SQL} SELECT {_RANKED_SQL} AS n, job_key, score, tier FROM told WHERE code IS NULL")
 def rank_order(spark, sf_dir):
-    return postings.numbered(_told(spark, sf_dir).where("code IS NULL"), ranking.rank_order()).select("n", "job_key", "score", "tier")
+    return numbered(_told(spark, sf_dir).where("code IS NULL"), ranking.rank_order()).select("n", "job_key", "score", "tier")
 
 
 @_query(f"WITH {_RANK_SQL} SELECT {_RANKED_SQL} AS n, score::VARCHAR AS score, tier, title, company, location, portal FROM told WHERE code IS NULL ORDER BY n LIMIT 10")
@@ -228,6 +252,87 @@ def digest(spark, sf_dir):
     return ranking.digest_rows(_told(spark, sf_dir).where("code IS NULL"))
 
 
+def _review_payloads(spark, sf_dir) -> DataFrame:
+    """Reviews as JSON: of another key, with a whole number, without a field, with one too many, or right."""
+    d, k = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), F.col("doc_id") % 20
+    key = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    score = F.when(k == 1, "8").when(k == 2, "10.5").otherwise(F.format_string("%.1f", F.col("n_chars") % 101 / 10.0))
+    other = F.when(k == 3, "doc:0").otherwise(key)
+    verdict = F.when(F.col("quality") == 1, "APLICAR").otherwise("DESCARTAR")
+    body = F.format_string('{"job_key":"%s","score":%s,"tier":"A","verdict":"%s","strengths":["a","b","c"],"gaps":["d","e","f"],"salary":"","notes":"mail jo@b.org"%s}', other, score, verdict, F.when(k == 4, ',"more":1').otherwise(""))
+    return d.select(key.alias("job_key"), body.alias("payload"), F.lit(2).alias("attempts"))
+
+
+def _rank_candidates(spark, sf_dir) -> DataFrame:
+    c = _candidates(spark, sf_dir).withColumns({x: F.lit(None).cast("string") for x in ("url", "date")}).withColumn("remote", F.lit(True))
+    return c.withColumnRenamed("doc_id", "pos").withColumns({"source_ids": F.array("job_key"), "duplicate_sources": F.array("portal")})
+
+
+_PIPELINE_SQL = """cand AS (SELECT doc_id, 'doc:' || doc_id AS job_key, source || ' ' || lang AS title, source AS company, CASE WHEN doc_id % 11 <> 0 THEN lang END AS location FROM documents
+), rev AS (SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)
+), checked AS (SELECT c.*, r.doc_id IS NOT NULL AS has, (n_chars % 101 / 10.0)::DOUBLE AS score, quality,
+  CASE c.doc_id % 20 WHEN 4 THEN 'other fields than a review has' WHEN 3 THEN 'another job_key than asked for' WHEN 1 THEN 'no number with decimals as score' WHEN 2 THEN 'score outside 0 to 10 in tenths' END AS error FROM cand c LEFT JOIN rev r ON c.doc_id = r.doc_id
+)"""
+
+
+@_query(f"""WITH {_PIPELINE_SQL} SELECT job_key, score, 'A' AS tier, CASE WHEN quality = 1 THEN 'APLICAR' ELSE 'DESCARTAR' END AS verdict, 'a,b,c' AS strengths, '[EMAIL_REDACTED]' AS told, title, company, location, 'doc' AS portal, job_key AS source_ids FROM checked WHERE has AND error IS NULL AND title IS NOT NULL""")
+def rank_pipeline(spark, sf_dir):
+    reviews = ranking.parse_reviews(_review_payloads(spark, sf_dir))
+    ranks, _ = ranking.rank_reviews(_rank_candidates(spark, sf_dir).where("title IS NOT NULL"), reviews, merged=True)
+    return ranks.select("job_key", "score", "tier", "verdict", F.array_join("strengths", ",").alias("strengths"), F.regexp_extract("notes", r"\[EMAIL_REDACTED\]", 0).alias("told"), "title", "company", "location", "portal", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+@_query(f"""WITH {_PIPELINE_SQL} SELECT job_key, CASE WHEN coalesce(title, '') = '' OR location IS NULL THEN 'RANK_FIELD_NULL' ELSE 'RANK_FAILED' END AS code, CASE WHEN coalesce(title, '') <> '' AND location IS NOT NULL AND has THEN 2 ELSE 0 END AS attempts,
+  CASE WHEN coalesce(title, '') = '' OR location IS NULL THEN 'candidate missing critical fields: ' || concat_ws(',', CASE WHEN coalesce(title, '') = '' THEN 'title' END, CASE WHEN location IS NULL THEN 'location' END) WHEN NOT has THEN 'missing_output' ELSE 'invalid_reviewer_output' END AS reason,
+  CASE WHEN coalesce(title, '') <> '' AND location IS NOT NULL AND has THEN error END AS detail FROM checked WHERE coalesce(title, '') = '' OR location IS NULL OR NOT has OR error IS NOT NULL""")
+def rank_failures(spark, sf_dir):
+    return ranking.rank_reviews(_rank_candidates(spark, sf_dir), ranking.parse_reviews(_review_payloads(spark, sf_dir)), share=1.0)[1]
+
+
+@_query("""WITH k AS (SELECT page_id, page_id % 6 AS k FROM pages) SELECT page_id AS run, path, rule FROM k, (VALUES (1, 'results[0]', 'title'), (1, 'results[1]', 'duplicate job_key'), (2, 'root', 'run_id'), (2, 'root', 'counts.results'), (3, 'results[0]', 'missing'), (3, 'results[0]', 'source_call'),
+  (4, 'failures[0]', 'message'), (4, 'failures[0]', 'unexpected'), (5, 'root', 'object')) AS bad(n, path, rule) WHERE k = n""")
+def payload_checks(spark, sf_dir):
+    k = F.col("page_id") % 6
+    item = F.format_string('{"id":"%s","portal":"p","title":"%s","company":null,"location":null,"url":"https://example.org/","date":"2024-02-03","description":null,"remote":true,"salary":null%s,"new":true,"source_ids":["a"],"duplicate_sources":["p"],"email_contacto":null,"ats_hostil":false}',
+                           F.col("page_id").cast("string"), F.when(k == 1, " ").otherwise("T"), F.when(k == 3, "").otherwise(',"source_call":"c1"'))
+    items = F.when(k == 1, F.concat(item, F.lit(","), F.replace(item, F.lit('"title":" "'), F.lit('"title":"T"')))).otherwise(item)
+    failure = F.when(k == 4, '{"call_id":"c","portal":"p","code":"X","message":"password: x","more":1}').otherwise('{"call_id":"c","portal":"p","code":"X","message":"slow","exit_code":2,"expected":true}')
+    body = F.format_string('{"run_id":"%s","generated_at":"2024-02-03T10:00:00Z","results":[%s],"failures":[%s],"counts":{"results":%s,"new":1}}', F.when(k == 2, "a b").otherwise("r-1"), items, failure, F.when(k == 2, "-1").otherwise("1"))
+    return ranking.payload_errors(table(spark, sf_dir, "pages").select(F.col("page_id").alias("run"), F.when(k == 5, "[]").otherwise(body).alias("payload")))
+
+
+def _applications(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A tracker row for every second user and a state for every fourth."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    name = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    blank = [F.lit("").alias(c) for c in ("portal", "url", "tier", "score")]
+    have = users.where("user_id % 2 = 0").select(F.col("user_id").alias("pos"), F.lit("2024-01-01").alias("fecha"), name.alias("empresa"), F.lit("role").alias("rol"), *blank, F.lit("applied").alias("estado"), F.lit("").alias("próxima acción"), F.lit("").alias("notas"))
+    states = users.where("user_id % 4 = 0").select(
+        tracker.application_key(name, F.lit("role")).alias("key"), F.lit("applied").alias("status"), F.lit("").alias("resolved"), F.lit("2024-01-05").alias("updated"), F.lit("2024-01-05").alias("last_activity"),
+        (F.col("user_id") % 3).cast("int").alias("followups"), F.lit("2024-01-05: sent").alias("notes"), F.array(F.lit("sent")).alias("stages"))
+    return have, states
+
+
+@_query("""WITH u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 4 < 3 AND user_id % 3 <> 2), s AS (SELECT *, user_id % 4 = 0 AS old, CASE WHEN user_id % 3 = 0 THEN 'rejected' ELSE 'interview' END AS status FROM u)
+SELECT 'user_' || user_id || '_role' AS key, status, CASE WHEN status = 'rejected' THEN '2024-02-01' ELSE '' END AS resolved, '2024-02-01' AS last_activity, CASE WHEN old THEN (user_id % 3)::INT ELSE 0 END AS followups,
+ CASE WHEN old THEN '2024-01-05: sent' || chr(10) ELSE '' END || '2024-02-01: heard' AS notes, CASE WHEN old THEN 'sent,call' ELSE 'call' END AS stages FROM s""")
+def outcome_record(spark, sf_dir):
+    have, states = _applications(spark, sf_dir)
+    users = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 4 < 3 AND user_id % 3 <> 2")
+    outcomes = users.select(F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("empresa"), F.lit("role").alias("rol"), F.when(F.col("user_id") % 3 == 0, "rejected").otherwise("interview").alias("status"), F.lit(" heard ").alias("notes"), F.array(F.lit("call")).alias("stages"))
+    after = tracker.record_outcomes(have, states, outcomes, "2024-02-01")[1].where("updated = '2024-02-01'")
+    return after.select("key", "status", "resolved", "last_activity", "followups", "notes", F.array_join("stages", ",").alias("stages"))
+
+
+@_query("""WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT *, user_id % 4 = 0 AS old, CASE WHEN user_id % 4 = 0 THEN user_id % 3 ELSE 0 END AS f FROM u)
+SELECT 'user ' || user_id AS empresa, CASE WHEN user_id % 2 = 1 THEN 'unknown_application' WHEN f >= 2 THEN 'limit' WHEN f <> 0 THEN 'not_consecutive' WHEN user_id % 10 = 2 THEN 'empty_body' END AS refusal FROM s""")
+def followup_record(spark, sf_dir):
+    have, states = _applications(spark, sf_dir)
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    asked = users.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("empresa"), F.lit("role").alias("rol"), F.lit(1).alias("number"), F.when(F.col("user_id") % 10 == 2, " ").otherwise("Hello").alias("body"))
+    return tracker.record_followups(have, states, asked, "2024-02-01")[2].select("empresa", "refusal")
+
+
 @_query(f"WITH {_RANK_SQL} SELECT tier, count(*) AS n FROM told WHERE code IS NULL GROUP BY tier")
 def rank_by_tier(spark, sf_dir):
     return _told(spark, sf_dir).where("code IS NULL").groupBy("tier").agg(F.count("*").alias("n"))
@@ -252,8 +357,8 @@ def rank_skipped_anti(spark, sf_dir):
 
 @_query(f"WITH {_RANK_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM cand) SELECT p.job_key, rev.score FROM p JOIN rev USING (job_key) WHERE i > 10")
 def prompts_after_ten(spark, sf_dir):
-    numbered = postings.numbered(_candidates(spark, sf_dir).select("doc_id", "job_key"), [F.col("doc_id")], "i")
-    return numbered.where("i > 10").join(_reviews(spark, sf_dir).select("job_key", "score"), "job_key").select("job_key", "score")
+    placed = numbered(_candidates(spark, sf_dir).select("doc_id", "job_key"), [F.col("doc_id")], "i")
+    return placed.where("i > 10").join(_reviews(spark, sf_dir).select("job_key", "score"), "job_key").select("job_key", "score")
 
 
 @_query("""WITH t AS (SELECT p_partkey, 25 * (p_size % 11) + 25 * (p_partkey % 11) + 20 * (p_partkey % 7) + 15 * (p_size % 5) + 10 * CASE WHEN p_retailprice >= 1600 THEN 10 WHEN p_retailprice >= 1500 THEN 8 WHEN p_retailprice >= 1420 THEN 6 WHEN p_retailprice >= 1350 THEN 4 ELSE 3 END
@@ -277,18 +382,21 @@ def overlap_report(spark, sf_dir):
 def _app_events(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "click", "applied").when(F.col("event_type") == "view", "in_progress").when(F.col("event_type") == "error", "rejected").otherwise("interview")
-    return e.select((F.col("user_id") % 500).alias("user_id"), "event_type", F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), status.alias("status"), F.lit(None).cast("string").alias("note"), F.when(F.col("value") > 10, F.col("event_type")).alias("stage"), (F.col("event_id") % 40 == 0).alias("followup"))
+    return e.select((F.col("user_id") % 500).alias("user_id"), "event_type", F.col("event_id").alias("seq"), F.to_date("ts").alias("day"), status.alias("status"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("note "), F.col("event_id").cast("string"))).alias("note"), F.when(F.col("value") > 10, F.concat(F.lit("stage "), (F.col("event_id") % 3).cast("string"))).alias("stage"), (F.col("event_id") % 40 == 0).alias("followup"))
 
 
 _OUTCOME_SQL = """ev AS (SELECT user_id % 500 AS user_id, event_type, event_id AS seq, ts::DATE AS day, CASE event_type WHEN 'click' THEN 'applied' WHEN 'view' THEN 'in_progress' WHEN 'error' THEN 'rejected' ELSE 'interview' END AS status,
-  CASE WHEN value > 10 THEN event_type END AS stage, event_id % 40 = 0 AS followup FROM events
-), state AS (SELECT user_id, event_type, arg_max(status, seq) AS status, CASE WHEN arg_max(status, seq) = 'rejected' THEN arg_max(day, seq) END AS resolved, max(day) AS last_activity, count(*) FILTER (followup)::INT AS followups, coalesce(max(stage), '') AS stages FROM ev GROUP BY user_id, event_type)"""
+  CASE WHEN value > 10 THEN 'stage ' || (event_id % 3) END AS stage, event_id % 40 = 0 AS followup, CASE WHEN event_id % 5 = 0 THEN day || ': note ' || event_id END AS line FROM (SELECT *, ts::DATE AS day FROM events)
+), firsts AS (SELECT user_id, event_type, stage, min(seq) AS seq FROM ev WHERE stage IS NOT NULL GROUP BY ALL
+), staged AS (SELECT user_id, event_type, string_agg(stage, ',' ORDER BY seq) AS stages FROM firsts GROUP BY ALL
+), state AS (SELECT user_id, event_type, arg_max(status, seq) AS status, CASE WHEN arg_max(status, seq) = 'rejected' THEN arg_max(day, seq) END AS resolved, max(day) AS last_activity, count(*) FILTER (followup)::INT AS followups,
+  coalesce(string_agg(line, chr(10) ORDER BY seq) FILTER (line IS NOT NULL), '') AS notes FROM ev GROUP BY user_id, event_type)"""
 
 
-@_query(f"WITH {_OUTCOME_SQL} SELECT * FROM state")
+@_query(f"WITH {_OUTCOME_SQL} SELECT state.*, coalesce(stages, '') AS stages FROM state LEFT JOIN staged USING (user_id, event_type)")
 def outcome_fold(spark, sf_dir):
     out = tracker.fold_outcomes(_app_events(spark, sf_dir), ["user_id", "event_type"])
-    return out.select("user_id", "event_type", "status", "resolved", "last_activity", "followups", F.array_join("stages", ",").alias("stages"))
+    return out.select("user_id", "event_type", "status", "resolved", "last_activity", "followups", "notes", F.array_join("stages", ",").alias("stages"))
 
 
 @_query(f"""WITH {_OUTCOME_SQL}, last AS (SELECT max(ts)::DATE AS today FROM events) SELECT user_id, event_type, CASE WHEN followups >= 2 THEN 'limit' WHEN followups <> 0 THEN 'not_consecutive' WHEN status NOT IN ('applied', 'in_progress', 'interview') THEN 'status'
@@ -319,7 +427,7 @@ _DATES_SQL = "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS iso,
 @_query(f"WITH o AS ({_DATES_SQL}) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN NULL ELSE iso END AS date FROM o")
 def lenient_date(spark, sf_dir):
     d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 6
-    raw = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T23:30:00-05:00"))).when(k == 2, F.date_format(d, "yyyy/MM/dd"))
+    raw = (F.when(F.col("o_orderkey") % 12 == 6, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00 and so on"))).when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T23:30:00-05:00"))).when(k == 2, F.date_format(d, "yyyy/MM/dd"))
            .when(k == 3, F.concat(F.lit(" "), F.date_format(d, "dd/MM/yyyy"))).when(k == 4, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00Z"))).otherwise(F.lit("2024-02-31")))
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.lenient_date(raw).alias("date"))
 
@@ -331,9 +439,12 @@ def strict_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.strict_date(raw).alias("date"))
 
 
-@_query()
+@_query(f"""WITH {POSTINGS_SQL}, p AS (SELECT *, portal || ':' || (pos % 40) AS job_key FROM postings), firsts AS (SELECT job_key, min(pos) AS first FROM p GROUP BY job_key)
+SELECT job_key, pos, rule FROM p JOIN firsts USING (job_key), (SELECT unnest(['url', 'title', 'company', 'duplicate_job_key']) AS rule)
+WHERE CASE rule WHEN 'url' THEN NOT {SAFE_SQL.replace('page_id', 'pos')} WHEN 'title' THEN coalesce(title, '') = '' WHEN 'company' THEN company = '' ELSE pos > first END""")
 def validate_rows(spark, sf_dir):
-    p = stand_in(spark, sf_dir).withColumn("id", (F.col("pos") % 40).cast("string")).withColumn("source_ids", F.array("id")).withColumn("duplicate_sources", F.array("portal"))
+    links = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), _link().alias("url"))
+    p = stand_in(spark, sf_dir).drop("url").join(links, "pos").withColumn("id", (F.col("pos") % 40).cast("string")).withColumn("source_ids", F.array("id")).withColumn("duplicate_sources", F.array("portal"))
     return ranking.validate_postings(p)
 
 
@@ -358,16 +469,17 @@ def normalized_items(spark, sf_dir):
     return rows.select("source_call", "id", "title", "company", "location", "date", "remote", "ats_hostil")
 
 
-@_query()
+@_query("""SELECT 'doc:' || doc_id AS job_key, CASE WHEN n_chars IS NULL THEN 'no number with decimals as score' WHEN n_chars % 120 > 100 THEN 'score outside 0 to 10 in tenths' END AS error, 'one|two|call [PHONE_REDACTED]' AS gaps,
+ '[EMAIL_REDACTED] [CONTACT_REDACTION_APPLIED] no raw contact data is persisted.' AS notes, false AS contact_remains FROM documents""")
 def review_checks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     key = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
     three = F.array(F.lit("one"), F.lit("two"), F.lit("call +39 333 123 4567"))
     r = d.select(key.alias("job_key"), (F.col("n_chars") % 120 / 10.0).cast("double").alias("score"), F.lit("A").alias("tier"), F.lit("APLICAR").alias("verdict"), three.alias("strengths"), three.alias("gaps"), F.lit("").alias("salary"), F.lit("a@example.com").alias("notes"))
-    return ranking.redact_reviews(r.withColumn("error", ranking.review_error(F.col("job_key")))).select("job_key", "error", "notes", "contact_remains")
+    return ranking.redact_reviews(r.withColumn("error", ranking.review_error(F.col("job_key")))).select("job_key", "error", F.array_join("gaps", "|").alias("gaps"), "notes", "contact_remains")
 
 
-@_query("SELECT r_name || '-' || '0-' || n AS call_id, r_name AS portal FROM region, (SELECT unnest([0, 1]) AS n)")
+@_query("SELECT r_name || '-' || '0-' || n AS call_id, r_name AS portal, '-q ' || ['data', 'platform'][n + 1] || ' -l anywhere --limit 15' AS args, row_number() OVER (ORDER BY r_name, n)::INT AS ordinal FROM region, (SELECT unnest([0, 1]) AS n)")
 def call_matrix(spark, sf_dir):
     names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]  # a fixed list of five
-    return files.call_matrix(spark, ["data", "platform"], {n: ["anywhere"] for n in names}).select("call_id", "portal")
+    return files.call_matrix(spark, ["data", "platform"], {n: ["anywhere"] for n in names}).select("call_id", "portal", F.array_join("args", " ").alias("args"), "ordinal")

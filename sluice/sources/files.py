@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -18,7 +16,8 @@ def call_matrix(spark: SparkSession, queries: list[str], portals: dict[str, list
     # Both sides are the caller's literals.
     both = F.broadcast(q).crossJoin(F.broadcast(p))
     args = F.array(F.lit("-q"), "query", F.lit("-l"), "place", F.lit("--limit"), F.lit(str(limit)))
-    return both.select(F.concat_ws("-", "portal", "pi", "qi").alias("call_id"), "portal", args.alias("args"))
+    order = F.row_number().over(Window.orderBy("portal", "pi", "qi"))  # a literal of some dozens of rows
+    return both.select(F.concat_ws("-", "portal", "pi", "qi").alias("call_id"), "portal", args.alias("args"), order.alias("ordinal"))
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
@@ -74,27 +73,50 @@ def read_seen(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
 
 
 def read_tracker(spark: SparkSession, path: str) -> DataFrame:
-    """The tracker's rows with their position; the header must be exact, blank rows go."""
+    """The tracker's rows with their position; the header must be exact, blank rows go.
+
+    The file is one CSV document, read whole by one task, so positions are its order.
+    """
     schema = ", ".join(f"`{c}` string" for c in fixed.TRACKER_COLUMNS)
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
     tidy = rows.select(*[tx.clean(F.col(f"`{c}`")).alias(c) for c in fixed.TRACKER_COLUMNS])
     return tidy.where(F.concat(*[F.col(f"`{c}`") for c in fixed.TRACKER_COLUMNS]) != "").withColumn("pos", F.monotonically_increasing_id())
 
 
-def write_atomic(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
-    """Write beside the target, then rename: readers see the old or the new table, never half of one."""
+def _file_system(spark: SparkSession, path: str):
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make, make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str, committed: bool = True) -> list[int]:
+    make, fs = _file_system(spark, path)
+    if not fs.exists(make(path)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(make(path))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and (not committed or fs.exists(make(f"{path}/{n}/_SUCCESS"))))
+
+
+def write_atomic(df: DataFrame, path: str, form: str = "parquet", keep: int = 2, **options: str) -> int:
+    """Write a new version of a table; it counts once its _SUCCESS marker is there. Older ones go but for ``keep``.
+
+    Readers take the newest version that counts, so they always see a whole table,
+    old or new. One writer at a time.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.format(form).options(**options).save(fresh.toString())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    if had:
-        fs.delete(old, True)
+    version = max(_versions(spark, path, committed=False), default=0) + 1
+    df.write.format(form).options(**options).save(f"{path}/version={version}")
+    make, fs = _file_system(spark, path)
+    for old in _versions(spark, path)[:-keep]:
+        fs.delete(make(f"{path}/version={old}"), True)
+    return version
+
+
+def read_atomic(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """The newest whole version of a table."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    return spark.read.format(form).load(f"{path}/version={versions[-1]}")
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
@@ -105,3 +127,30 @@ def write_run(df: DataFrame, path: str, run_id: str) -> None:
 def read_latest_run(spark: SparkSession, path: str) -> DataFrame:
     runs = spark.read.parquet(path)
     return runs.where(F.col("run_id") == runs.agg(F.max("run_id")).first()[0])
+
+
+def backup_seen(spark: SparkSession, path: str, code: str, stamp: str) -> dict:
+    """Move a state file that can't be used aside; the failure to report, with the file or, if that failed, another code."""
+    make, fs = _file_system(spark, path)
+    stem, i = path.removesuffix(".json"), 0
+    while fs.exists(make(to := f"{stem}.corrupt.{stamp}{f'.{i}' if i else ''}.json")):
+        i += 1
+    moved = fs.rename(make(path), make(to))
+    return {"code": code if moved else "STATE_BACKUP_FAILED", "expected": False, "backup_file": to if moved else None}
+
+
+def load_seen(spark: SparkSession, path: str, stamp: str) -> tuple[DataFrame, list[dict]]:
+    """The seen keys and the failures of loading them; a missing file is an empty state."""
+    make, fs = _file_system(spark, path)
+    if not fs.exists(make(path)):
+        return spark.createDataFrame([], "key string, first_seen_at string"), []
+    seen, code = read_seen(spark, path)
+    return seen, [] if code is None else [backup_seen(spark, path, code, stamp)]
+
+
+def write_seen(seen: DataFrame, path: str, failures: list[dict]) -> bool:
+    """Write the seen keys as a new version, unless the old state could not be put aside; whether it was written."""
+    if any(f["code"] == "STATE_BACKUP_FAILED" for f in failures):
+        return False
+    write_atomic(seen, path)
+    return True

@@ -9,8 +9,8 @@ def _map(spark, column, values, kind="string"):
 
 
 def test_lenient_dates_keep_the_written_day(spark):
-    raw = ["2026-07-06", "2026-02-31", "2026-07-06T23:30:00-05:00", "2026/07/06", "03/04/2026", "12/31/2026", " 2026-07-06 ", "soon", None, "2026-07-06T25:00:00"]
-    assert _map(spark, dates.lenient_date, raw) == ["2026-07-06", None, "2026-07-06", "2026-07-06", "2026-04-03", "2026-12-31", "2026-07-06", None, None, None]
+    raw = ["2026-07-06", "2026-02-31", "2026-07-06T23:30:00-05:00", "2026/07/06", "03/04/2026", "12/31/2026", " 2026-07-06 ", "soon", None, "2026-07-06T25:00:00", "2026-07-06T10:00:00 junk", "2026-07-06T10:00 junk"]
+    assert _map(spark, dates.lenient_date, raw) == ["2026-07-06", None, "2026-07-06", "2026-07-06", "2026-04-03", "2026-12-31", "2026-07-06", None, None, None, "2026-07-06", None]
 
 
 def test_strict_dates_take_no_blanks(spark):
@@ -29,8 +29,8 @@ def test_hosts_and_identifiers(spark):
 
 
 def test_safe_links(spark):
-    good = ["https://example.org/jobs/1234567", "http://localhost:8080/x", "https://10.0.0.1/a"]
-    bad = ["javascript:alert(1)", "https://u@example.org/", "https://example.org:99999/", "https://..example.org/", "https://example.org/?m=a%40b.org", "https://example.org/?m=a%2540b.org", "https://example.org/a b", "https://example.org/%0a", "https://example.org/2026-07-22/", None, ""]
+    good = ["https://example.org/jobs/1234567", "http://localhost:8080/x", "https://10.0.0.1/a", "HTTPS://münchen.example/", "https://[::1]/a", "https://example.org./", "https://example.org/a-1234567?x=1&y=2"]
+    bad = ["javascript:alert(1)", "https://u@example.org/", "https://example.org:99999/", "https://..example.org/", "https://example.org/?m=a%40b.org", "https://example.org/?m=a%2540b.org", "https://example.org/a b", "https://example.org/%0a", "https://example.org/2026-07-22/", None, "", "https://example.org/12-1234567/", "https://example.org/?tel=%2B39 333 111 2222", "https://example.org/?tel=333-111-2222", "https://-a.example/", "https://[::1/a", "https:///x", "https://" + "a" * 64 + ".org/", "https://example.org/a%26%2364%3Bb.org/x&#64;y.org"]
     assert _map(spark, urls.safe_apply_url, good + bad) == [True] * len(good) + [False] * len(bad)
 
 
@@ -48,3 +48,36 @@ def test_text_keys(spark):
     assert _map(spark, tx.cell, ["a|b\nc", "", None]) == ["a\\|b c", "—", "—"]
     assert _map(spark, tx.prompt_escape, ["a<b>&", "a\nb", None]) == ["a\\u003Cb\\u003E\\u0026", None, None]
     assert _map(spark, tx.score_text, ["8.44", "1.45", "", None, "11", "x"]) == ["8.4", "1.4", "", "", None, None]
+
+
+def test_scans_agree_with_plain_matching(spark):
+    """The built-in test drops no text that the patterns would change, in any decoded form."""
+    import html
+    import re
+    from urllib.parse import unquote
+
+    from sluice.functions import fixed
+
+    raw = ["jo%40b.org", "&lt;a&#64;b.org&gt;", "12 Main Street", "calle Mayor 3", "10 avenue x", "333.111.2222", "٠١٢٣٤٥٦٧٨٩", "via", "a 12 b", "2024-01-01 2024-01-02", "100%", "AT&T", "%2540", "x" * 50, "5 \u00a0road\u00a07", "Ｊo@ｂ.org", "12b St.", ""]
+
+    def plain(text):
+        forms = [text]
+        for _ in range(8):
+            forms.append(html.unescape(unquote(forms[-1])))
+        for form in reversed(forms):
+            out = re.sub(fixed.EMAIL, "[EMAIL_REDACTED]", form)
+            out = re.sub(fixed.PHONE, lambda m: m[0] if len(re.findall(r"\d", m[0])) < 7 or re.fullmatch(fixed.PLAIN_DATE, m[0]) else "[PHONE_REDACTED]", out)
+            for p in (fixed.STREET_PREFIX, fixed.STREET_SUFFIX, fixed.STREET_NUMBER):
+                out = re.sub(p, "[ADDRESS_REDACTED]", out)
+            if out != form:
+                return out, True
+        return text, False
+
+    want = [plain(t) for t in raw]
+    assert _map(spark, contacts.redact_contacts, raw) == [x for x, _ in want]
+    assert _map(spark, contacts.contains_contact, raw) == [x for _, x in want]
+
+
+def test_secrets_and_quotes(spark):
+    assert _map(spark, contacts.has_secret, ["password: x", "Basic abcdefgh12", "plain", None]) == [True, True, False, False]
+    assert _map(spark, tx.yaml_quote, ['a "b"\n', None, "{é}"]) == ['"a \\"b\\"\\n"', '""', '"{é}"']
