@@ -49,6 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import bound_batches, cut, fresh, release, spread_join
 from .wordbytes import Words, mixed, steps, trimmed
 
@@ -178,31 +179,6 @@ def _agreement(sa, sb):
     return pd.Series((x == y).mean(axis=1))
 
 
-def _star(rows: DataFrame, lows: DataFrame) -> DataFrame:
-    """Neighbours (u, v) beside their node's smallest m; a node with a large share of all neighbours is dealt out."""
-    return spread_join(rows, lows, ["u"], ["v"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component, by alternating large and small stars."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "lows")
-        large = cut(_star(both.where("v > u"), lows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        release(lows, edges)
-        lows = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lows")
-        joined = _star(large, lows)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small, "edges")
-        release(lows, large)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = state
-
-
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
     named = labels.select(F.col("node").alias(column), F.col("label").alias("_l"))
     return rows.join(named, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")

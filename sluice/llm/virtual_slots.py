@@ -82,20 +82,23 @@ def rebalance(shard_of: dict[int, int], loads: list[tuple[int, int, int]], n_sha
         total[shard] += size.get(slot, 0)
         held[shard].append(slot)
     mean = sum(total) / n_shards
-    while True:
-        full, empty = max(range(n_shards), key=total.__getitem__), min(range(n_shards), key=total.__getitem__)
+    stuck: set[int] = set()  # shards of slots that are each too large to move
+    while len(stuck) < n_shards:
+        full, empty = max((s for s in range(n_shards) if s not in stuck), key=total.__getitem__), min(range(n_shards), key=total.__getitem__)
         gap = total[full] - total[empty]
         if gap <= tolerance * mean:
-            return out
+            break
         fitting = [s for s in held[full] if 0 < size.get(s, 0) < gap]
         if not fitting:
-            return out
+            stuck.add(full)
+            continue
         moved = min(fitting, key=lambda s: (abs(2 * size[s] - gap), s))
         held[full].remove(moved)
         held[empty].append(moved)
         total[full] -= size[moved]
         total[empty] += size[moved]
         out[moved] = empty
+    return out
 
 
 def publish(spark: SparkSession, path: str, version: int, shard_of: dict[int, int], loads: list[tuple[int, int, int]]) -> DataFrame:

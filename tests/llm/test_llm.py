@@ -419,3 +419,282 @@ def test_carried_columns_keep_their_values(spark, odd):
     taken = odd.withColumn("tokens", F.lit("x")).withColumn("n_words", F.lit("y"))
     assert {r["tokens_in"] for r in token_rollup.count_words(taken, ("doc_id", "tokens")).collect()} == {"x"}
     assert {r["n_words_in"] for r in robust_outliers.text_counts(taken, ("doc_id", "n_words")).collect()} == {"y"}
+
+
+def test_no_link_is_lost_for_repeated_ids(spark):
+    """Texts are judged, whatever ids they stand under and in whatever order rows come; null ids take part."""
+    rng = np.random.default_rng(31)
+    base = {k: [f"{k}{i}" for i in range(80)] for k in "abc"}
+    text = lambda k, *cuts: " ".join(f"x{i}" if i in cuts else w for i, w in enumerate(base[k]))
+    rows = [(5, text("a")), (5, text("b")), (7, text("a", 3)), (9, text("b", 70)), (None, text("c")), (None, text("c", 1)), (None, text("c", 1)), (4, None), (None, None)]
+    for _ in range(3):
+        df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(3)
+        found = probminhash.near_duplicates(df).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault((r["class_no"], r["class_id"]), []).append(r["doc_id"])
+        assert sorted((sorted(map(str, v)), str(k[1])) for k, v in groups.items() if k[0] is not None) == [(["5", "7"], "5"), (["5", "9"], "5"), (["None", "None", "None"], "None")]
+        kept = [(r["doc_id"], r["text"]) for r in probminhash.keep_one(df, probminhash.near_duplicates(df)).collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, [(5, text("a")), (5, text("b")), (4, None), (None, None), next(x for x in kept if x[0] is None and x[1])]))
+
+
+def test_sample_is_bounded_at_any_size(spark):
+    for wanted, rows in ((360, 10**10), (360, 4 * 10**8), (360, 7), (360, 0), (1, 10**18)):
+        share = (langid_crf.hash_limit(wanted, rows) + 2**63) / 2**64
+        assert -(2**63) <= langid_crf.hash_limit(wanted, rows) < 2**63 and abs(share * max(rows, 1) - min(wanted, max(rows, 1))) < 0.01 * wanted + 1
+    rows = [(i, f"alpha beta {i}", "en", "s", 0) for i in range(500)] + [(3, "same words here", "de", "s", 0)] * 400 + [(i, "x y", f"junk{i}", "s", 0) for i in range(700)]
+    got = langid_crf.training_rows(spark.createDataFrame(rows, DOCS), 50, 2, 2)
+    by = {}
+    for lang, words in got:
+        by.setdefault(lang, []).append(words)
+        assert len(words) <= 2
+    assert set(by) <= {"en", "de"} and len(by["en"]) == 50 and len(by.get("de", [])) <= 1
+
+
+def test_crf_gradient_against_differences():
+    """Posteriors and expected transitions are the derivatives of the log partition, over chains of several lengths."""
+    rng = np.random.default_rng(6)
+    size = np.array([1, 4, 3])
+    first = np.cumsum(size) - size
+    later = np.array([i for i in range(8) if i not in first])
+    scores, t = rng.normal(size=(8, 3)), rng.normal(size=(3, 3))
+    log_z = lambda s, x: langid_crf.forward_backward(s, first, size, x)[3]
+    post, alpha, onward, _ = langid_crf.forward_backward(scores, first, size, t)
+    expected = langid_crf.expected_transitions(alpha, onward, later, t)
+    for at, grad, which in ((scores, post, 0), (t, expected, 1)):
+        for index in np.ndindex(*at.shape):
+            step = np.zeros_like(at)
+            step[index] = 1e-5
+            up, down = (log_z(scores + step, t), log_z(scores - step, t)) if which == 0 else (log_z(scores, t + step), log_z(scores, t - step))
+            assert abs((up - down) / 2e-5 - grad[index]) < 1e-6
+
+
+def _exhaustive(x, h):
+    """The MCD of a few rows by all subsets: centre and ridged scatter after the final step, as the operator defines them."""
+    from itertools import combinations
+
+    ridge, best = np.diag(np.square(robust_outliers.RIDGE)), None
+    scatter = lambda rows, share: np.cov(rows.T, bias=True) * robust_outliers._share_scale(share) + ridge
+    for rows in combinations(range(len(x)), h):
+        det = np.linalg.slogdet(scatter(x[list(rows)], 0.5))[1]
+        if best is None or det < best[0]:
+            best = det, rows
+    rows = x[list(best[1])]
+    d = x - rows.mean(axis=0)
+    inner = x[(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter(rows, 0.5)), d)) <= robust_outliers.chi_square_quantile(0.975, 4)]
+    return inner.mean(axis=0), np.linalg.inv(scatter(inner, 0.975))
+
+
+def test_mcd_and_kept_against_all_subsets(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(n), int(n * rng.normal(5, 0.1)), 0, 0, 0) for n in rng.integers(60, 200, 10)] + [(int(n), int(n * 5), int(n * rng.uniform(2, 4)), 6, int(0.2 * n)) for n in rng.integers(60, 200, 4)]
+    x = np.array([[np.log1p(c / n), np.sqrt(s / n), np.sqrt(d / np.sqrt(n)), np.sqrt(r / n)] for n, c, s, d, r in rows])
+    m, inv = _exhaustive(x, 7)
+    got = robust_outliers.mcd(spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double")).first()
+    assert np.allclose(got["m"], m, atol=1e-6) and np.allclose(np.array(got["inv"]).reshape(4, 4), inv, rtol=1e-4)
+    d = np.sqrt(np.einsum("ij,jk,ik->i", x - m, inv, x - m))
+    want = [bool(v <= np.sqrt(robust_outliers.chi_square_quantile(0.9999, 4))) for v in d]
+    counts = spark.createDataFrame([(i, "en", "s", *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    judged = robust_outliers.reject_outliers(counts, min_rows=5).orderBy("doc_id").collect()
+    assert [r["kept"] for r in judged] == want and np.allclose([r["distance"] for r in judged], d, atol=1e-4) and want == [True] * 10 + [False] * 4
+
+
+def test_archives_roll_and_keys_span_shards(spark, tmp_path):
+    long = "é" * 2_000_000
+    rows = [(i, "http://a.example.org/same", f"<p>{i}</p>") for i in range(60)] + [(100, "http://b.example.org/", long), (101, "http://b.example.org/", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("key", "sha", "last", "id", "payload", "refers_to")})
+    path = f"file://{tmp_path}/w"
+    captures = capture_index.write_archives(pages, f"{path}/archive", roll_bytes=2000)
+    assert captures.select("file").distinct().count() > 2
+    same = spark.createDataFrame([(7, "org,example,a)/same")] * 1, "id long, key string")
+    twice = captures.where("id = 7").unionByName(captures.where("id = 7").withColumn("offset", F.col("offset"))).repartition(2)
+    shards = capture_index.build_index(captures.unionByName(twice.limit(1)), f"{path}/index", block_lines=3)
+    assert shards.count() > 1 and capture_index.look_up(same, shards, f"{path}/index", f"{path}/archive").count() == 2
+    got = capture_index.look_up(pages.select(F.col("page_id").alias("id"), capture_index.url_key("url").alias("key")), shards, f"{path}/index", f"{path}/archive").where("id >= 100").collect()
+    assert sorted((r["id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(100, 4_000_000, "revisit", 101), (101, 4_000_000, "response", None)]
+
+
+def test_paths_follow_the_default_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://names:8020")
+        assert common.qualified(spark, "/a/b") == "hdfs://names:8020/a/b" and common.qualified(spark, "file:///a") == "file:///a"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert common.qualified(spark, "/a/b") == "file:///a/b"
+
+
+def test_rollup_survives_retries_and_compaction(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], token_rollup.TOTALS)
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
+    half = tmp_path / "r" / "batches" / token_rollup.folder("../odd id/_x")
+    half.mkdir(parents=True)
+    rows(99).write.mode("append").parquet(f"file://{half}")
+    (half / "_SUCCESS").unlink()  # an attempt that was cut short
+    assert r.totals().count() == 0 and r.commit("../odd id/_x", rows(1)) and r.totals().first()["tokens"] == 1
+    listing = r._listing()
+    assert r.commit("beside", rows(10))  # after the listing, before the sum
+    r._fold(*listing)
+    assert r.totals().first()["tokens"] == 11 and not r.commit("../odd id/_x", rows(5)) and r.commit("later", rows(100))
+    r.compact()
+    assert tuple(r.totals().first())[3:] == (3, 111) and sorted(len(x) for x in r._listing()[1:]) == [0, 3]
+    with pytest.raises(ValueError):
+        r.commit("", rows(1))
+
+
+def test_rollup_query_against_plain_sums(spark, sf, docs):
+    coder = token_rollup.encoder(*token_rollup.load_vocabulary(f"{token_rollup.TOKENIZERS}/byte_bpe_50k.tiktoken"))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    want = {}
+    for r in docs.collect():
+        if r["doc_id"] % 10 == 3:
+            continue
+        text = r["text"] or ""
+        if r["doc_id"] % 10 == 7:
+            text = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+        for name, count in (("byte_bpe_50k", lambda t: len(coder.encode_ordinary(t))), ("words", words)):
+            at = want.setdefault((r["source"], r["lang"], name), [0, 0])
+            at[0] += 1
+            at[1] += count(text)
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"]] for r in queries.op5_token_rollup(spark, sf).collect()}
+    assert got == want
+
+
+def test_slots_by_plain_python_and_edited_maps(spark, odd, tmp_path):
+    df = spark.createDataFrame([(i, "y" * (i * 37 % 500), "en", "s", 0) for i in range(900)], DOCS).unionByName(odd)
+    path = f"file://{tmp_path}/map"
+    rows = virtual_slots.shard_documents(df, 8, keep=("text",), n_slots=64, map_path=path).collect()
+    maps = [{r["vslot"]: r for r in virtual_slots.read_map(spark, path, v).collect()} for v in (0, 1)]
+    assert [m["shard"] for _, m in sorted(maps[0].items())] == [i % 8 for i in range(64)] and {r["map_version"] for r in rows} == {1}
+    slots = {}
+    for r in rows:
+        assert r["size"] == len((r["text"] or "").encode()) + 1 and r["shard"] == maps[1][r["vslot"]]["shard"]
+        slots.setdefault(r["vslot"], []).append(r)
+    for v, m in maps[1].items():
+        own = slots.get(v, [])
+        before = sum(len(slots.get(u, [])) for u in range(v) if maps[1][u]["shard"] == m["shard"])
+        assert (m["rows"], m["bytes"]) == (len(own), sum(r["size"] for r in own)) and sorted(r["slot"] for r in own) == list(range(before, before + len(own)))
+        order = sorted(own, key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["text_crc32"], r["size"]))
+        assert [r["slot"] for r in order] == sorted(r["slot"] for r in own)
+    grown = virtual_slots.rebalance_documents(df, path, 1, 9, n_slots=64).collect()
+    maps.append({r["vslot"]: r for r in virtual_slots.read_map(spark, path, 2).collect()})
+    moved = {v for v in maps[1] if maps[1][v]["shard"] != maps[2][v]["shard"]}
+    assert moved and 8 in {r["shard"] for r in grown if r["vslot"] in moved} and all(r["shard"] == maps[1][r["vslot"]]["shard"] for r in grown if r["vslot"] not in moved)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):  # a version is never changed
+        virtual_slots.rebalance_documents(df, path, 1, 9, n_slots=64)
+    virtual_slots.write_shards(virtual_slots.shard_documents(df, 3, keep=("text",)), f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.count() == df.count() and {p.name for p in (tmp_path / "shards").iterdir() if p.is_dir()} == {f"shard={i}" for i in range(3)}
+
+
+def test_temporal_list_of_long_and_hot_hosts(spark):
+    day = __import__("datetime").date(2024, 1, 5)
+    far = ".".join(["a"] * 20_000) + ".bad.org"
+    rows = [(i, f"http://h{i % 50 if i % 3 else 0}.bad.org/{i}", day) for i in range(3000)] + [(9000, f"http://{far}/", day), (9001, "http://good.org/", day), (9002, None, day)]
+    caps = spark.createDataFrame(rows, "page_id long, url string, fetch_date date").withColumn("n", F.lit("x"))
+    entries = spark.createDataFrame([("l", "domain", "bad.org", "add", day, 1), ("l", "host", "h7.bad.org", "add", day, 1), ("m", "url", "good.org", "add", day, 1)], "list string, kind string, pattern string, action string, effective date, seq int")
+    one = sorted(map(str, temporal_list.judge(caps, entries).collect()))
+    assert one == sorted(map(str, temporal_list.judge(caps, entries, broadcast=0).collect())) and sum("blocked=True" in x for x in one) == 3002 and len(one) == 3003
+    assert temporal_list.judge(caps, entries).columns[3] == "n_in"
+
+
+def test_hot_keys_are_dealt_out(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    groups = common.cut(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")), "groups")
+    got = common.spread_join(rows, groups, ["k"], ["id"], share=10, least=100)
+    assert sorted(map(tuple, got.select("k", "id", "low").collect())) == sorted(map(tuple, rows.join(groups, "k").select("k", "id", "low").collect()))
+    assert common.spread_join(rows.limit(0), common.cut(groups.limit(0), "none"), ["k"], ["id"]).count() == 0
+
+
+def test_water_of_many_sources_and_null_ids(spark):
+    rows = [(None if i % 5 == 0 else i, "w " * (1 + i * 7 % 23), "en", f"s{i % 37:02d}" if i % 37 else None, 0) for i in range(800)] + [(5000 + i, "w " * 900, "en", "s03", 0) for i in range(9)]
+    base = common.cut(waterfill.sized(spark.createDataFrame(rows, DOCS)), "sizes")
+    one, many = (sorted(map(str, waterfill.source_targets(base, single=n).collect())) for n in (100, 0))
+    assert one == many and len(one) == 37
+    got = waterfill.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    taken = {}
+    for r in got:
+        at = taken.setdefault(r["source"], [0, r["target"]])
+        at[0] += r["taken"]
+    assert all(abs(a - b) <= 900 for a, b in taken.values())
+
+
+def test_windows_of_null_items_and_of_long_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "w " * 100_000), (3, "x y"), (4, "z")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("th", "pos", "hash", "len", "items", "start", "n_words")})
+    items = spark.createDataFrame([(None, "b c"), (7, "c d"), (8, "w " * 14), (9, "z")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in prefix_join.decontaminate(docs, items).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (4, 3, 2, sha("7")), 2: (100_000, 100_000, 1, sha("8")), 3: (2, 0, 0, sha("")), 4: (1, 1, 1, sha("9"))}
+    kept = prefix_join.clean_documents(docs, items)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [3]
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    """Every stage's rows on a small table, each from the stage's own input."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(41)
+    lexicon = {lang: [f"{p}{i}" for i in range(300)] for lang, p in (("en", "the"), ("de", "ung"))}
+    say = lambda lang, n: [lexicon[lang][i] for i in rng.integers(0, 300, n)]
+    items = [(f"i{k}", " ".join(say("en", 30))) for k in range(4)]
+    rows = []
+    for i in range(60):
+        words = say("en" if i % 2 else "de", int(rng.integers(60, 120)))
+        if i % 12 == 0:
+            words[20:20] = items[i // 12 % 4][1].split()
+        rows.append((i, " ".join(words), "en" if i % 2 else "de", f"s{i % 3}", 0))
+    rows += [(100 + i, " ".join([*rows[i][1].split()[:-1], "changed"]), "en", "s1", 0) for i in range(0, 60, 9)] + [(200, rows[5][1], "en", "s2", 0), (201, None, "en", "s1", 0), (202, "12 34", "en", "s1", 0), (203, "", None, None, 0)]
+    folder = tmp_path / "sf"
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{folder}/documents.parquet")
+    run = lambda name, rows: common.cut(stages[name](spark, spark.createDataFrame(rows, DOCS), str(folder)), "plain")
+    tuples = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+
+    one = tuples(run("language", rows))
+    assert one == sorted((r for r in rows if r[1] and any(c.isalpha() for c in r[1])), key=str)
+    kept, classes = [], []
+    for r in sorted(one):
+        if not any(r[1] == k[1] or plain_similarity(r[1], k[1]) >= 0.8 for k in classes):
+            kept.append(r)
+        classes.append(r)
+    two = tuples(run("near_duplicates", one))
+    assert two == sorted(kept, key=str) and len(two) == 60
+    wins = {tuple(w[i : i + 13]) for _, t in items for w in [t.split()] for i in range(len(w) - 12)}
+    share = lambda w: len({i + j for i in range(len(w) - 12) if tuple(w[i : i + 13]) in wins for j in range(13)}) / len(w)
+    three = tuples(run("decontamination", two))
+    assert three == [r for r in two if share(r[1].split()) < 0.05] and len(three) < len(two)
+    sizes = {}
+    for r in three:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}
+    target, free = {}, set(sizes)
+    while True:
+        level = (sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if 3 * sizes[s] <= level * weight[s]}
+        if not over:
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    want = []
+    for s in sizes:
+        whole, at = int(target[s] // sizes[s]), 0
+        for r in sorted((r for r in three if r[3] == s), key=lambda r: hashlib.md5(f"sluice-mix:{r[0]}".encode()).hexdigest()):
+            n = len(r[1].split())
+            want += [r] * (whole + (at + n / 2 < target[s] - whole * sizes[s]))
+            at += n
+    four = tuples(run("mixing", three))
+    assert four == sorted(want, key=str)
+    five = run("sharding", four).collect()
+    assert sorted(((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in five), key=str) == four
+    for shard in range(8):
+        at = sorted(r["slot"] for r in five if r["shard"] == shard)
+        assert at == list(range(len(at)))
+    loads = [sum(r["size"] for r in five if r["shard"] == s) for s in range(8)]
+    assert max(loads) - min(loads) <= 2 * max(r["size"] for r in five) and all(r["size"] == len(r["text"]) + 1 for r in five)
+    assert corpus_pipeline.run(spark, str(folder)).count() == len(four)
+    corpus_pipeline.write(spark, str(folder), f"file://{tmp_path}/out")
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == len(four)
