@@ -48,3 +48,5 @@ FOLLOW_UP_NOTE, FOLLOW_UP_ACTION = "follow-up {} draft created; manual review re
 TRACKER_COLUMNS = ("fecha", "empresa", "rol", "portal", "url", "tier", "score", "estado", "próxima acción", "notas")
 # Share of each dimension in a score.
 WEIGHTS = {"location": 0.25, "role": 0.25, "skills": 0.20, "sector": 0.15, "pay": 0.10, "language": 0.05}
+# Cells of the table of the latest postings.
+PENDING, YES, NO = "pendiente", "sí", "no"

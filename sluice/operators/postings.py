@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contacts, dates, urls
+from ..functions import contacts, dates, fixed, urls
 from ..functions import text as tx
 from ..tables import cut, numbered, spread_join
 from . import graph
@@ -119,3 +119,12 @@ def digest_order() -> list[Column]:
     """New first, then the latest date; what is no plain date last; title, company, portal, id."""
     plain = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date"))
     return [F.col("new").desc(), plain.desc_nulls_last(), *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "portal", "id")]]
+
+
+def latest_lines(rows: DataFrame) -> DataFrame:
+    """The latest postings as rows of a Markdown table in digest order: n from 1, line. Texts stand as they are, a dash for none."""
+    dash = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("—"))
+    title = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("["), dash("title"), F.lit("]("), "url", F.lit(")"))).otherwise(dash("title"))
+    cells = [F.col("n").cast("string"), F.lit(fixed.PENDING), title, dash("company"), dash("location"), dash("portal"), dash("date"), F.when(F.col("new"), fixed.YES).otherwise(fixed.NO)]
+    placed = numbered(rows, digest_order())
+    return placed.select("n", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

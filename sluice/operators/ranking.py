@@ -319,12 +319,31 @@ def check_digest_input(ranks: DataFrame, failures: DataFrame) -> None:
             raise ValueError(f"the digest's input lacks {', '.join(lacking)}")
 
 
-def digest_text(rows: DataFrame, day: str, run_id: str, failures: int) -> str:
-    """The digest as Markdown; its rows are bounded by the digest's limit."""
-    names = [c for c in rows.columns if c != "n"]
-    lines = [f"# Digest {day}", "", f"Run: {run_id}", "", "| # | " + " | ".join(names) + " |", "|" + "---|" * (len(names) + 1)]
-    lines += ["| " + " | ".join([str(r["n"]), *[r[c] for c in names]]) + " |" for r in rows.orderBy("n").collect()]
-    return "\n".join([*lines, "", f"Failures: {failures}", ""])
+def digest_lines(ranks: DataFrame, failures: DataFrame, limit: int = 10) -> DataFrame:
+    """The digest as lines of Markdown (section, n from 1, line): its table, the next steps of its rows, every failure by key.
+
+    Only the table is bounded; failures stay a distributed table, numbered without one task for all of them.
+    Sections without rows have no lines.
+    """
+    check_digest_input(ranks, failures)
+    top = digest_rows(ranks, limit)
+    names = ("score", "tier", "verdict", "title", "company", "location", "portal", "url")
+    rows = top.select(F.lit("priority").alias("section"), F.col("n").cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", F.col("n").cast("string"), *names), F.lit(" |")).alias("line"))
+    advice = F.when(F.col("step") == "apply", "- Apply: ").otherwise("- Keep in the queue: ")
+    steps = next_steps(top).select(F.lit("next"), F.col("n").cast("long"), F.concat(advice, F.lit("**"), "title", F.lit("** ("), "company", F.lit(")")))
+    bad = numbered(failure_lines(failures), [F.col("key"), F.col("code"), F.col("reason")])
+    return rows.union(steps).union(bad.select(F.lit("failures"), "n", F.concat(F.lit("- `"), "key", F.lit("`: `"), "code", F.lit("` "), "reason")))
+
+
+def digest_text(lines: DataFrame, day: str, run_id: str, failures: int = 20) -> str:
+    """The digest as one Markdown text: the lines of ``digest_lines``, of the failures the first ones, with the number of the others."""
+    names = ("#", "Score", "Tier", "Verdict", "Title", "Company", "Location", "Portal", "URL")
+    shown = lines.where((F.col("section") != "failures") | (F.col("n") <= failures)).orderBy("n").collect()
+    of = lambda section: [r["line"] for r in shown if r["section"] == section]
+    more = lines.where((F.col("section") == "failures") & (F.col("n") > failures)).count()
+    table = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *of("priority")]
+    rest = [f"- and {more} more"] if more else []
+    return "\n".join([f"# Digest {day}", "", f"Run: {run_id}", "", "## Priority", "", *table, "", "## Next", "", *(of("next") or ["- None"]), "", "## Failures", "", *(of("failures") or ["- None"]), *rest, ""])
 
 
 def weighted_score(parts: dict[str, Column], sector_bonus: Column | None = None, language_penalty: Column | None = None, direct_email: Column | None = None) -> Column:

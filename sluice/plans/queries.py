@@ -119,6 +119,15 @@ def latest_order(spark, sf_dir):
     return numbered(_groups(spark, sf_dir), postings.latest_order()).select("n", "pos", "title", "portal", "date", "new", "size")
 
 
+@_query(f"""WITH {POSTINGS_SQL}, dated AS (SELECT * REPLACE (CASE WHEN pos % 5 = 0 THEN 'soon' WHEN pos % 7 <> 0 THEN date END AS date) FROM postings
+), placed AS (SELECT *, row_number() OVER (ORDER BY new DESC, CASE WHEN date <> 'soon' THEN date END DESC NULLS LAST, coalesce(title, ''), coalesce(company, ''), portal, id) AS n FROM dated)
+SELECT n, '| ' || concat_ws(' | ', n::VARCHAR, 'pendiente', CASE WHEN coalesce(url, '') <> '' THEN '[' || coalesce(nullif(title, ''), '—') || '](' || url || ')' ELSE coalesce(nullif(title, ''), '—') END,
+  coalesce(nullif(company, ''), '—'), coalesce(nullif(location, ''), '—'), portal, coalesce(date, '—'), CASE WHEN new THEN 'sí' ELSE 'no' END) || ' |' AS line FROM placed""")
+def latest_lines(spark, sf_dir):
+    date = F.when(F.col("pos") % 5 == 0, "soon").when(F.col("pos") % 7 != 0, F.col("date"))
+    return postings.latest_lines(stand_in(spark, sf_dir).withColumn("date", date))
+
+
 @_query("""WITH runs AS (SELECT *, ts < TIMESTAMP '2024-01-15' AS early, event_type AS portal, (user_id % 97)::VARCHAR AS id FROM events),
 seen AS (SELECT DISTINCT portal || ':' || id AS key FROM runs WHERE early)
 SELECT event_id, portal || ':' || id NOT IN (SELECT key FROM seen) AS new FROM runs WHERE NOT early""")
@@ -252,6 +261,22 @@ def digest(spark, sf_dir):
     return ranking.digest_rows(_told(spark, sf_dir).where("code IS NULL"))
 
 
+VERDICT_SQL = "CASE WHEN score >= 9 THEN 'APLICAR' WHEN score >= 8.5 THEN 'APLICAR SI SOBRA TIEMPO' ELSE 'DESCARTAR' END"
+_LINES_SQL = f"""ranked AS (SELECT {_RANKED_SQL} AS n, *, {VERDICT_SQL} AS verdict FROM told WHERE code IS NULL
+), top AS (SELECT n, score::VARCHAR AS score, coalesce(tier, '—') AS tier, verdict, coalesce(nullif(title, ''), '—') AS title, coalesce(nullif(company, ''), '—') AS company, coalesce(nullif(location, ''), '—') AS location, portal FROM ranked WHERE n <= 10
+), failed AS (SELECT row_number() OVER (ORDER BY job_key) AS n, * FROM told WHERE code IS NOT NULL)"""
+
+
+@_query(f"""WITH {_RANK_SQL}, {_LINES_SQL} SELECT 'priority' AS section, n, '| ' || concat_ws(' | ', n::VARCHAR, score, tier, verdict, title, company, location, portal, '—') || ' |' AS line FROM top
+UNION ALL SELECT 'next', n, CASE verdict WHEN 'APLICAR' THEN '- Apply: **' ELSE '- Keep in the queue: **' END || title || '** (' || company || ')' FROM top WHERE verdict <> 'DESCARTAR'
+UNION ALL SELECT 'failures', n, '- `' || job_key || '`: `' || code || '` ' || reason FROM failed""")
+def digest_lines(spark, sf_dir):
+    score = F.col("score")
+    verdict = F.when(score >= 9, "APLICAR").when(score >= 8.5, "APLICAR SI SOBRA TIEMPO").otherwise("DESCARTAR")
+    told = _told(spark, sf_dir).withColumn("verdict", verdict).withColumn("url", F.lit(None).cast("string"))
+    return ranking.digest_lines(told.where("code IS NULL"), told.where("code IS NOT NULL").select("job_key", "code", "reason"))
+
+
 def _review_payloads(spark, sf_dir) -> DataFrame:
     """Reviews as JSON: of another key, with a whole number, without a field, with one too many, or right."""
     d, k = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), F.col("doc_id") % 20

@@ -196,7 +196,10 @@ def test_rank_reviews_end_to_end(spark):
         ranking.check_digest_input(ranks.drop("url"), failures)
     assert [(r["n"], r["step"], r["title"]) for r in ranking.next_steps(top).collect()] == [(1, "apply", "Two"), (2, "apply", "One again")]
     assert [r["key"] for r in ranking.failure_lines(failures).collect()] == ["a:2", "a:3", "a:4"]
-    assert "| 1 | 9.5 | A |" in ranking.digest_text(top, "2024-01-01", "r", 3)
+    text = ranking.digest_text(ranking.digest_lines(ranks, failures), "2024-01-01", "r", failures=2)
+    assert "| 1 | 9.5 | A |" in text and "- Apply: **Two** (Co)" in text and "- `a:3`: `RANK_FAILED` invalid_reviewer_output" in text and "- and 1 more" in text and "`a:4`" not in text
+    empty = ranking.digest_text(ranking.digest_lines(ranks.limit(0), failures.limit(0)), "2024-01-01", "r")
+    assert empty.count("- None") == 2
 
 
 def test_offer_payload_and_digest_order(spark):
@@ -205,6 +208,8 @@ def test_offer_payload_and_digest_order(spark):
     assert block[0] == "<UNTRUSTED_JOB_DATA_JSON>" and "x.org" not in block[1] and '"company":null' in block[1] and "T\\\\u003Cb" in block[1] and block[1].startswith('{"company"') and block[1].count('":') == 13
     rows = spark.createDataFrame([("a", "2024-01-01", False), ("b", "soon", True), ("c", "2024-01-02", True), ("d", None, True)], "title string, date string, new boolean").withColumns({c: F.lit("") for c in ("company", "portal", "id")})
     assert [r["title"] for r in rows.orderBy(*postings.digest_order()).collect()] == ["c", "b", "d", "a"]
+    lines = postings.latest_lines(rows.withColumn("url", F.when(F.col("title") == "c", "https://x.org")).withColumn("location", F.lit(None).cast("string"))).orderBy("n").collect()
+    assert [r["n"] for r in lines] == [1, 2, 3, 4] and lines[0]["line"] == "| 1 | pendiente | [c](https://x.org) | — | — | — | 2024-01-02 | sí |" and lines[3]["line"].endswith("| a | — | — | — | 2024-01-01 | no |")
 
 
 def test_one_group_may_hold_a_third_of_all_rows(spark):
