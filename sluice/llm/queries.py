@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capture_index, gear_chunks, langid_crf, prefix_join, probminhash, robust_outliers, temporal_list, token_rollup, virtual_slots, waterfill
+from . import block_norms, capture_index, gear_chunks, langid_crf, prefix_join, probminhash, robust_outliers, sum_squares, temporal_list, token_rollup, virtual_slots, waterfill, word_tries
 from .common import cut, new_path
 
 
@@ -103,7 +103,20 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid_crf, op2_robust_outliers, op3_capture_index, op4_probminhash, op5_token_rollup, op6_virtual_slots, op7_temporal_list, op8_gear_chunks, op9_waterfill, op10_prefix_join)}
+def op11_sum_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sum_squares.pieces(_read(spark, sf_dir, "documents"), f"{token_rollup.TOKENIZERS}/byte_bpe_50k.json")
+    return sum_squares.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_norms.cluster(_read(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_word_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_tries.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_langid_crf, op2_robust_outliers, op3_capture_index, op4_probminhash, op5_token_rollup, op6_virtual_slots, op7_temporal_list, op8_gear_chunks, op9_waterfill, op10_prefix_join, op11_sum_squares, op12_block_norms, op13_word_tries)}
 
 _WATERFILL_SQL = r"""
 WITH sized AS (
@@ -171,4 +184,42 @@ SELECT c.page_id, c.host, c.fetch_date, f.page_id IS NOT NULL AS blocked, coales
 FROM caps c LEFT JOIN firsts f ON c.page_id = f.page_id AND f.r = 1
 """
 
-ORACLE_SQL = {"op7_temporal_list": _TEMPORAL_SQL, "op9_waterfill": _WATERFILL_SQL, "op10_prefix_join": _PREFIX_SQL}
+_ROUND_SQL = """far{i} AS (
+  SELECT v.n, v.vec_id, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM v, c{i} AS c
+), near{i} AS (SELECT * FROM far{i} QUALIFY row_number() OVER (PARTITION BY n ORDER BY distance, cluster) = 1
+)"""
+_MOVE_SQL = """, mean{i} AS (SELECT cluster, list(m ORDER BY d) AS q FROM (SELECT cluster, d, (s - ((s % n) + n) % n) // n AS m FROM (
+    SELECT cluster, d, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS d FROM near{i}) GROUP BY cluster, d)) GROUP BY cluster
+), c{j} AS (SELECT cluster, coalesce(m.q, c.q) AS q FROM c{i} AS c LEFT JOIN mean{i} AS m USING (cluster)
+)"""
+_CLUSTER_SQL = (
+    """WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS cluster, q FROM v QUALIFY cluster < 16
+), """
+    + ", ".join(_ROUND_SQL.format(i=i) + _MOVE_SQL.format(i=i, j=i + 1) for i in range(3))
+    + ", " + _ROUND_SQL.format(i=3)
+    + """ SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256 FROM near3 JOIN c3 USING (cluster)"""
+)
+
+_TRIE_SQL = r"""
+WITH RECURSIVE step AS (SELECT i AS b, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS tab FROM step WHERE k = 8
+), texts AS (SELECT row_number() OVER () AS n, doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, NULL, text, false FROM benchmark
+), split AS (SELECT n, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), words AS (SELECT n, own, w, count(*) AS times FROM (SELECT n, own, unnest(w) AS w FROM split) GROUP BY ALL
+), hashed AS (
+  SELECT w, xor(list_reduce(list_transform(range(0, 2 * strlen(w), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM words)), crc
+), counted AS (SELECT bucket, coalesce(sum(times) FILTER (own), 0) AS s, coalesce(sum(times) FILTER (NOT own), 0) AS t FROM words JOIN hashed USING (w) GROUP BY bucket
+), gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(t_s) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t_t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counted, (SELECT sum(s) AS t_s, sum(t) AS t_t FROM counted) GROUP BY bucket, s, t
+), weights AS (SELECT n, sum(times * gain) AS total, sum(times) AS features FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE own GROUP BY n
+), scored AS (
+  SELECT n, doc_id, len(w) AS n_words, coalesce(features, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / features), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM split LEFT JOIN weights USING (n) WHERE own
+), drawn AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM scored
+), placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed
+"""
+
+ORACLE_SQL = {"op7_temporal_list": _TEMPORAL_SQL, "op9_waterfill": _WATERFILL_SQL, "op10_prefix_join": _PREFIX_SQL, "op12_block_norms": _CLUSTER_SQL, "op13_word_tries": _TRIE_SQL}
