@@ -356,7 +356,7 @@ def test_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL[name]).fetchdf()
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL[name]).to_arrow_table().to_pandas(date_as_object=True)
     line = lambda df: sorted(tuple(None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v).removesuffix(" 00:00:00") for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     key = lambda rows: sorted(map(str, rows))
     assert key(line(got)) == key(line(want))
