@@ -13,8 +13,10 @@ from ..functions import contacts, dates, urls
 from ..functions import text as tx
 from ..operators import postings, ranking, tracker
 from ..session import table
-from ..tables import numbered
-from ..sources import files
+from ..tables import cut, new_path, numbered
+from ..sources import files, landing, portals
+from ..sources import seen as seen_keys
+from ..streaming import runs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -506,5 +508,125 @@ def review_checks(spark, sf_dir):
 
 @_query("SELECT r_name || '-' || '0-' || n AS call_id, r_name AS portal, '-q ' || ['data', 'platform'][n + 1] || ' -l anywhere --limit 15' AS args, row_number() OVER (ORDER BY r_name, n)::INT AS ordinal FROM region, (SELECT unnest([0, 1]) AS n)")
 def call_matrix(spark, sf_dir):
-    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]  # a fixed list of five
+    names = [r[0] for r in table(spark, sf_dir, "region").orderBy("r_name").select("r_name").collect()]  # a fixed list of five
     return files.call_matrix(spark, ["data", "platform"], {n: ["anywhere"] for n in names}).select("call_id", "portal", F.array_join("args", " ").alias("args"), "ordinal")
+
+
+_PORTALS = ("adzuna", "remotive", "remoteok", "arbeitnow", "wwr", "himalayas", "infojobs", "freehire", "linkedin")
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """Every page as the answer of a portal in that portal's own form, by page_id % 9; some with items that a local search leaves out."""
+    p = table(spark, sf_dir, "pages")
+    i, j, url = F.col("page_id"), F.floor(F.col("page_id") / 9), F.col("url")
+    title, host = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.coalesce(urls.host_of(url), F.lit("nobody"))
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (i % 60).cast("int"))
+    iso, seconds = F.date_format(day, "yyyy-MM-dd'T'10:00:00"), F.unix_timestamp(day.cast("timestamp")) + 36_000
+    text = F.concat(F.lit("<p>Mail <b>jobs@x.org</b> &amp; "), i.cast("string"), F.lit("</p>"))
+    one = lambda **k: F.struct(*[v.alias(n) for n, v in k.items()])
+    listed = lambda root, *x: F.to_json(F.struct(F.array(*x).alias(root)))
+    ok = lambda n, word: one(id=n, position=title, company=host, url=url, date=iso, description=text, tags=F.array(F.lit(word)), salary_min=i % 3, salary_max=i % 3 + 5)
+    cdata = lambda c: F.concat(F.lit("<![CDATA["), c, F.lit("]]>"))
+    feed = F.concat(
+        F.lit("<rss version='2.0'><channel><title>t</title><item><title>"), cdata(F.concat(host, F.lit(": "), title)), F.lit("</title><link>"), cdata(url), F.lit("</link><pubDate>"),
+        F.date_format(day, "EEE, dd MMM yyyy 10:00:00 +0000"), F.lit("</pubDate><description>"), cdata(text), F.lit("</description></item></channel></rss>"))
+    bodies = (
+        listed("results", one(id=i, title=title, company=one(display_name=host), location=one(display_name=F.lit("Roma")), redirect_url=url, created=iso, description=text, salary_min=20_000 + i, salary_max=F.when(j % 2 == 0, 30_000 + i))),
+        listed("jobs", one(id=i, title=title, company_name=host, candidate_required_location=F.lit("EU"), url=url, publication_date=iso, description=text, salary=F.when(j % 2 == 0, "50k").otherwise(""))),
+        F.concat(F.lit('[{"legal":"l"},'), F.to_json(ok(i, "Engine Page")), F.lit(","), F.to_json(ok(-i, "other")), F.lit("]")),
+        listed("data", one(slug=F.concat(F.lit("s-"), i.cast("string")), title=title, company_name=host, location=F.lit("Berlin"), url=url, created_at=seconds, description=text, remote=j % 2 == 0)),
+        feed,
+        listed("jobs", one(guid=i, title=title, companyName=host, locationRestrictions=F.array(F.lit("ES"), F.lit("IT")), applicationLink=url, pubDate=1000 * seconds, description=text, minSalary=i, maxSalary=i + 1)),
+        listed("offers", one(id=i, title=title, author=one(name=host), city=F.when(j % 2 == 0, "Lugo"), province=one(value=F.lit("Galicia")), link=url, updated=iso, requirementMin=text, salaryMin=one(value=i), teleworking=one(value=F.lit("Solo teletrabajo")))),
+        listed("results", one(id=i, title=title, company=host, url=url, date=iso, description=text, work_mode=F.when(j % 3 == 0, "remote").when(j % 3 == 1, "onsite").otherwise("hybrid"))),
+        listed("results", *[one(id=F.concat_ws("-", i.cast("string"), F.lit(n)), title=title, company=host, url=url, date=iso, remote=F.lit(True)) for n in ("a", "b", "c")]),
+    )
+    k = (i % 9).cast("int")
+    body = F.when(F.lit(False), url)
+    for n, b in enumerate(bodies):
+        body = body.when(k == n, b)
+    source = F.get(F.array(*[F.lit(x) for x in _PORTALS]), k)
+    return p.select(
+        F.concat(F.lit("call-"), i.cast("string")).alias("call_id"), F.when(k == 5, "wwr").otherwise(source).alias("portal"), source.alias("source"), F.when(k == 2, "page  ENGINE").alias("query"),
+        ((k == 3) & (j % 3 == 0)).alias("remote_only"), F.when(k == 8, 2).alias("most"), F.when(i % 50 == 49, F.substring(body, 1, 9)).otherwise(body).alias("body"), F.lit(0).alias("exit_code"), F.lit("").alias("stderr"))
+
+
+_ANSWERS_SQL = rf"""p AS (SELECT page_id AS i, page_id % 9 AS k, page_id // 9 AS j, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t, coalesce({HOST_SQL}, 'nobody') AS host, DATE '2024-01-01' + (page_id % 60)::INT AS day FROM pages
+), good AS (SELECT * FROM p WHERE i % 50 <> 49 AND NOT (k = 3 AND j % 3 = 0 AND j % 2 = 1))"""
+
+
+@_query(f"""WITH {_ANSWERS_SQL} SELECT 'call-' || i AS source_call, CASE k WHEN 3 THEN 's-' || i WHEN 4 THEN sha256(url) WHEN 8 THEN i || '-' || x ELSE i::VARCHAR END AS id, ['adzuna', 'remotive', 'remoteok', 'arbeitnow', 'wwr', 'himalayas', 'infojobs', 'freehire', 'linkedin'][k + 1] AS portal,
+ nullif(t, '') AS title, host AS company, CASE k WHEN 0 THEN 'Roma' WHEN 1 THEN 'EU' WHEN 2 THEN 'Worldwide' WHEN 3 THEN 'Berlin' WHEN 4 THEN 'Remote' WHEN 5 THEN 'ES, IT' WHEN 6 THEN CASE WHEN j % 2 = 0 THEN 'Lugo' ELSE 'Galicia' END END AS location,
+ url, strftime(day, '%Y-%m-%d') AS date, CASE WHEN k < 7 THEN 'Mail jobs@x.org & ' || i WHEN k = 7 THEN '<p>Mail <b>jobs@x.org</b> &amp; ' || i || '</p>' END AS description, CASE WHEN k < 8 THEN 'jobs@x.org' END AS email_contacto,
+ CASE WHEN k IN (1, 2, 4, 5) THEN true WHEN k = 3 THEN j % 2 = 0 WHEN k = 7 THEN CASE j % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS remote,
+ CASE k WHEN 0 THEN (20000 + i) || CASE WHEN j % 2 = 0 THEN '-' || (30000 + i) ELSE '' END || ' EUR' WHEN 1 THEN CASE WHEN j % 2 = 0 THEN '50k' END WHEN 2 THEN CASE WHEN i % 3 > 0 THEN (i % 3) || '-' || (i % 3 + 5) END WHEN 5 THEN CASE WHEN i > 0 THEN i || '-' ELSE '' END || (i + 1) WHEN 6 THEN CASE WHEN i > 0 THEN i::VARCHAR END END AS salary
+ FROM good, (SELECT unnest(['a', 'b']) AS x) WHERE k = 8 OR x = 'a'""")
+def portal_postings(spark, sf_dir):
+    """Answers of nine portals through their maps and every branch of the normal form."""
+    rows = postings.normalize(portals.decode_portals(cut(_answers(spark, sf_dir), "answers")))
+    return rows.select("source_call", "id", "portal", "title", "company", "location", "url", "date", "description", "email_contacto", "remote", "salary")
+
+
+def _landed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A planned call for every conversation, and its parts: whole, broken, late, early and missing ones by conv_id % 8."""
+    c = cut(_calls(spark, sf_dir), "calls").select(F.col("call_id").cast("long").alias("i"), "exit_code", "stdout", "stderr")
+    k, start = F.col("i") % 8, (F.col("i") * 10).cast("double")
+    matrix = c.select(F.col("i").cast("string").alias("call_id"), F.lit("arbeitnow").alias("portal"), F.col("i").cast("int").alias("ordinal"), start.alias("planned_at"))
+    status = F.when(k == 4, "{").otherwise(F.format_string('{"exit_code": %d, "stdout_bytes": %d}', F.col("exit_code"), F.octet_length("stdout")))
+    part = lambda kind, body, at: F.struct(F.lit(kind).alias("kind"), F.col("i").cast("string").alias("call_id"), body.alias("body"), at.alias("at"))
+    parts = F.array_compact(F.array(
+        F.when((k != 1) & (F.length("stdout") > 0), part("stdout", F.col("stdout"), start + F.when(k == 2, 121).otherwise(3))), part("stderr", F.col("stderr"), start + 4),
+        F.when(k != 3, part("status", status, start + F.when(k == 5, 500).otherwise(5))), F.when(k == 6, part("status", F.lit('{"exit_code": 9}'), start + 2))))
+    return matrix, c.select(F.explode(parts).alias("p")).select("p.*")
+
+
+@_query("""WITH c AS (SELECT conv_id AS i, max(conv_id) OVER () * 10 - 100 AS now FROM (SELECT DISTINCT conv_id FROM conversations)
+), parts AS (SELECT *, i % 8 AS k, i % 7 = 1 AS blank, i % 7 = 5 AS bad FROM c
+), told AS (SELECT *, CASE WHEN k IN (3, 5) THEN 124 WHEN k = 4 THEN 1 WHEN bad THEN 3 ELSE 0 END AS exit_code, k NOT IN (3, 5) AND (k NOT IN (1, 2, 4) OR (k = 4 AND NOT blank) OR (k <> 4 AND blank)) AS whole FROM parts
+), settled AS (SELECT *, row_number() OVER (ORDER BY i) AS place FROM told WHERE whole OR now > i * 10 + 120)
+SELECT i::VARCHAR AS call_id, place, exit_code, CASE WHEN exit_code = 124 THEN 'TIMEOUT' WHEN exit_code > 0 THEN CASE WHEN i % 2 = 0 THEN 'NO_CREDENTIALS' ELSE 'PROCESS_EXIT_' || exit_code END
+ WHEN k IN (1, 2) AND NOT blank THEN 'MALFORMED_JSON' WHEN i % 7 IN (1, 2) THEN 'MALFORMED_JSON' WHEN i % 7 IN (3, 4) THEN 'INVALID_ENVELOPE' END AS code,
+ CASE WHEN exit_code = 0 AND k IN (1, 2) AND NOT blank THEN 'could not read raw file' WHEN exit_code = 0 AND blank THEN 'empty stdout' END AS message FROM settled""")
+def landed_calls(spark, sf_dir):
+    """Calls put together from their parts as of a moment at which the last ones still run, decoded, in the order of the matrix."""
+    matrix, parts = _landed(spark, sf_dir)
+    now = matrix.agg((F.max("planned_at") - 100).alias("now"))  # one row
+    calls = landing.join_parts(matrix.join(F.broadcast(now)), parts, F.col("now"))
+    placed = numbered(files.decode_calls(calls), [F.col("ordinal")], "place")
+    told = F.col("failure.message")
+    return placed.select("call_id", "place", "exit_code", F.col("failure.code").alias("code"), F.when(told.isin("could not read raw file", "empty stdout"), told).alias("message"))
+
+
+@_query("""WITH runs AS (SELECT event_id, date_diff('day', DATE '2024-01-01', ts::DATE) // 8 AS batch, event_type || ':' || (user_id * 31 + event_id) % 997 AS key FROM events
+), firsts AS (SELECT key, min(batch) AS first FROM runs GROUP BY key)
+SELECT key, 'run-' || first AS first_seen_at, (SELECT count(*) FROM runs r WHERE r.key = f.key AND r.batch = f.first) AS new_rows, (SELECT count(*) FROM runs r WHERE r.key = f.key AND r.batch > f.first) AS seen_rows FROM firsts f""")
+def seen_table(spark, sf_dir):
+    """Runs of eight days against a growing state in buckets, the second run twice, a compaction after it: each key's stamp and how many of its rows were new."""
+    e = table(spark, sf_dir, "events")
+    batch = F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))) / 8).cast("int")
+    rows = e.select(batch.alias("batch"), F.col("event_type").alias("portal"), ((F.col("user_id") * 31 + F.col("event_id")) % 997).cast("string").alias("id"))
+    last = rows.agg(F.max("batch")).first()[0]
+    state, told = seen_keys.SeenTable(spark, new_path(spark, "seen"), 8), None
+    for n in range((last or 0) + 1):
+        mine = rows.where(F.col("batch") == n)
+        keys = mine.select(F.concat_ws(":", "portal", "id").alias("key"))
+        for _ in range(2 if n == 1 else 1):
+            state.add(keys, f"run-{n}", n)
+        if n == 1:
+            state.compact()
+    # A run's rows are judged by what the runs before it left, which a state that keeps its runs' numbers still tells.
+    stamps = state.keys()
+    told = rows.withColumn("key", F.concat_ws(":", "portal", "id")).groupBy("key", "batch").count().join(stamps, "key")
+    return told.groupBy("key", "first_seen_at").agg(F.sum(F.when(F.concat(F.lit("run-"), F.col("batch").cast("string")) == F.col("first_seen_at"), F.col("count")).otherwise(0)).alias("new_rows"), F.sum(F.when(F.concat(F.lit("run-"), F.col("batch").cast("string")) != F.col("first_seen_at"), F.col("count")).otherwise(0)).alias("seen_rows"))
+
+
+@_query(f"""WITH {_ANSWERS_SQL}, rows AS (SELECT i, i % 3 = 2 AS second, ['adzuna', 'remotive', 'remoteok', 'arbeitnow', 'wwr', 'himalayas', 'infojobs', 'freehire', 'linkedin'][k + 1] || ':' || CASE k WHEN 3 THEN 's-' || i WHEN 4 THEN sha256(url) WHEN 8 THEN i || '-a' ELSE i::VARCHAR END AS key FROM good)
+SELECT key, CASE WHEN second THEN 'run-1' ELSE 'run-0' END AS first_seen_at FROM rows UNION ALL SELECT 'linkedin:' || i || '-b', CASE WHEN i % 3 = 2 THEN 'run-1' ELSE 'run-0' END FROM good WHERE k = 8""")
+def scrape_runs(spark, sf_dir):
+    """Two whole runs over the portals' answers (decoded, normalised, deduplicated, ranked, counted, written), the second one twice: the seen keys after them."""
+    calls = cut(_answers(spark, sf_dir), "answers").withColumn("i", F.split_part("call_id", F.lit("-"), F.lit(2)).cast("int")).withColumn("ordinal", F.col("i"))
+    out = new_path(spark, "runs")
+    state = seen_keys.SeenTable(spark, f"{out}/seen", 8)
+    for n, mine in enumerate((F.col("i") % 3 != 2, F.lit(True), F.lit(True))):
+        runs.scrape(calls.where(mine).drop("i"), state, min(n, 1), f"run-{min(n, 1)}", out, portals.decode_portals)
+    return state.keys()
