@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import BLANK
+
 _TIME = r"[T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?"
 
 
@@ -30,7 +32,7 @@ def _first_seconds(text: Column) -> Column:
 
 def lenient_date(value: Column) -> Column:
     """YYYY-MM-DD, ISO date-times, date-times to the second before anything, Y/m/d, then d/m/Y before m/d/Y; null if none fits."""
-    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    text = F.regexp_replace(value, rf"(?U)^{BLANK}+|{BLANK}+$", "")
     plain = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
     compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
     slashes = text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A blank, as Python takes it: white space and the four separators below U+0020 (with the flag (?U)).
+BLANK = r"[\s\x1C-\x1F]"
+
+
 def _bare(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
 
@@ -62,8 +66,8 @@ def title_company_key(title: Column, company: Column) -> Column:
 def clean(value: Column, single_line: bool = False) -> Column:
     """No null, no NUL, no blanks at the ends; optionally one line."""
     text = F.replace(F.coalesce(value, F.lit("")), F.lit("\0"), F.lit(""))
-    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(text, r"(?U)\s+", " ") if single_line else text
+    text = F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(text, rf"(?U){BLANK}+", " ") if single_line else text
 
 
 def score_text(value: Column) -> Column:

@@ -274,7 +274,13 @@ def rank_order() -> list[Column]:
 
 
 def judged(candidates: DataFrame, reviews: DataFrame, critical: tuple[str, ...] = ("title", "location")) -> DataFrame:
-    """Candidates beside their reviews with code and reason (null code: ranked). ``critical=()`` is the merged variant."""
+    """Candidates beside their reviews with code and reason (null code: ranked). ``critical=()`` is the merged variant.
+
+    A key has one review: of several the last by ``pos``, or the greatest by its fields where reviews have no order.
+    """
+    names = [c for c in reviews.columns if c != "job_key"]
+    order = F.col("pos") if "pos" in names else F.struct(*names)
+    reviews = reviews.groupBy("job_key").agg(F.max_by(F.struct(*names), order).alias("_v")).select("job_key", "_v.*")
     r = reviews.select(*[F.col(c).alias(f"r_{c}" if c != "job_key" else c) for c in reviews.columns]).withColumn("_has", F.lit(True))
     joined = candidates.join(r, "job_key", "left")
     missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", c) for c in critical])) if critical else F.expr("cast(array() as array<string>)")

@@ -597,36 +597,34 @@ def landed_calls(spark, sf_dir):
     return placed.select("call_id", "place", "exit_code", F.col("failure.code").alias("code"), F.when(told.isin("could not read raw file", "empty stdout"), told).alias("message"))
 
 
-@_query("""WITH runs AS (SELECT event_id, date_diff('day', DATE '2024-01-01', ts::DATE) // 8 AS batch, event_type || ':' || (user_id * 31 + event_id) % 997 AS key FROM events
+@_query("""WITH runs AS (SELECT doc_id % 3 AS batch, coalesce(lang, 'none') || ':' || (doc_id // 2) AS key FROM documents
 ), firsts AS (SELECT key, min(batch) AS first FROM runs GROUP BY key)
-SELECT key, 'run-' || first AS first_seen_at, (SELECT count(*) FROM runs r WHERE r.key = f.key AND r.batch = f.first) AS new_rows, (SELECT count(*) FROM runs r WHERE r.key = f.key AND r.batch > f.first) AS seen_rows FROM firsts f""")
+SELECT key, 'run-' || first AS first_seen_at, count(*) FILTER (batch = first) AS new_rows, count(*) FILTER (batch > first) AS seen_rows FROM runs JOIN firsts USING (key) GROUP BY key, first""")
 def seen_table(spark, sf_dir):
-    """Runs of eight days against a growing state in buckets, the second run twice, a compaction after it: each key's stamp and how many of its rows were new."""
-    e = table(spark, sf_dir, "events")
-    batch = F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))) / 8).cast("int")
-    rows = e.select(batch.alias("batch"), F.col("event_type").alias("portal"), ((F.col("user_id") * 31 + F.col("event_id")) % 997).cast("string").alias("id"))
-    last = rows.agg(F.max("batch")).first()[0]
+    """Three runs against a growing state in buckets, the second one twice, a compaction after it: each key's stamp, and how many of its rows a run took for new."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select((F.col("doc_id") % 3).cast("int").alias("batch"), F.coalesce("lang", F.lit("none")).alias("portal"), F.floor(F.col("doc_id") / 2).cast("string").alias("id"))
     state, told = seen_keys.SeenTable(spark, new_path(spark, "seen"), 8), None
-    for n in range((last or 0) + 1):
+    for n in range(3):
         mine = rows.where(F.col("batch") == n)
-        keys = mine.select(F.concat_ws(":", "portal", "id").alias("key"))
+        judged = cut(seen_keys.mark_new(mine, state, n).select(F.concat_ws(":", "portal", "id").alias("key"), "new"), "judged")
+        told = judged if told is None else told.unionByName(judged)
         for _ in range(2 if n == 1 else 1):
-            state.add(keys, f"run-{n}", n)
+            state.add(judged.select("key"), f"run-{n}", n)
         if n == 1:
             state.compact()
-    # A run's rows are judged by what the runs before it left, which a state that keeps its runs' numbers still tells.
-    stamps = state.keys()
-    told = rows.withColumn("key", F.concat_ws(":", "portal", "id")).groupBy("key", "batch").count().join(stamps, "key")
-    return told.groupBy("key", "first_seen_at").agg(F.sum(F.when(F.concat(F.lit("run-"), F.col("batch").cast("string")) == F.col("first_seen_at"), F.col("count")).otherwise(0)).alias("new_rows"), F.sum(F.when(F.concat(F.lit("run-"), F.col("batch").cast("string")) != F.col("first_seen_at"), F.col("count")).otherwise(0)).alias("seen_rows"))
+    counts = told.groupBy("key").agg(F.count_if("new").alias("new_rows"), F.count_if(~F.col("new")).alias("seen_rows"))
+    return state.keys().join(counts, "key")
 
 
-@_query(f"""WITH {_ANSWERS_SQL}, rows AS (SELECT i, i % 3 = 2 AS second, ['adzuna', 'remotive', 'remoteok', 'arbeitnow', 'wwr', 'himalayas', 'infojobs', 'freehire', 'linkedin'][k + 1] || ':' || CASE k WHEN 3 THEN 's-' || i WHEN 4 THEN sha256(url) WHEN 8 THEN i || '-a' ELSE i::VARCHAR END AS key FROM good)
-SELECT key, CASE WHEN second THEN 'run-1' ELSE 'run-0' END AS first_seen_at FROM rows UNION ALL SELECT 'linkedin:' || i || '-b', CASE WHEN i % 3 = 2 THEN 'run-1' ELSE 'run-0' END FROM good WHERE k = 8""")
+@_query(f"""WITH {_ANSWERS_SQL}, rows AS (SELECT i, i % 3 = 2 AS fresh, ['adzuna', 'remotive', 'remoteok', 'arbeitnow', 'wwr', 'himalayas', 'infojobs', 'freehire', 'linkedin'][k + 1] || ':' || CASE k WHEN 3 THEN 's-' || i WHEN 4 THEN sha256(url) WHEN 8 THEN i || '-' || x ELSE i::VARCHAR END AS key FROM good, (SELECT unnest(['a', 'b']) AS x) WHERE k = 8 OR x = 'a')
+SELECT key, CASE WHEN fresh THEN 'run-1' ELSE 'run-0' END AS first_seen_at FROM rows""")
 def scrape_runs(spark, sf_dir):
-    """Two whole runs over the portals' answers (decoded, normalised, deduplicated, ranked, counted, written), the second one twice: the seen keys after them."""
-    calls = cut(_answers(spark, sf_dir), "answers").withColumn("i", F.split_part("call_id", F.lit("-"), F.lit(2)).cast("int")).withColumn("ordinal", F.col("i"))
+    """A whole run over the portals' answers (decoded, normalised, judged, deduplicated, ordered, counted, written) after two thirds of them were seen: the seen keys after it."""
+    calls = cut(_answers(spark, sf_dir), "answers").withColumn("ordinal", F.split_part("call_id", F.lit("-"), F.lit(2)).cast("int"))
     out = new_path(spark, "runs")
     state = seen_keys.SeenTable(spark, f"{out}/seen", 8)
-    for n, mine in enumerate((F.col("i") % 3 != 2, F.lit(True), F.lit(True))):
-        runs.scrape(calls.where(mine).drop("i"), state, min(n, 1), f"run-{min(n, 1)}", out, portals.decode_portals)
+    old = postings.normalize(portals.decode_portals(calls.where("ordinal % 3 <> 2")))
+    state.add(old.where("id IS NOT NULL").select(F.concat_ws(":", "portal", "id").alias("key")), "run-0", 0)
+    runs.scrape(calls, state, 1, "run-1", out, portals.decode_portals)
     return state.keys()

@@ -81,3 +81,28 @@ def test_scans_agree_with_plain_matching(spark):
 def test_secrets_and_quotes(spark):
     assert _map(spark, contacts.has_secret, ["password: x", "Basic abcdefgh12", "plain", None]) == [True, True, False, False]
     assert _map(spark, tx.yaml_quote, ['a "b"\n', None, "{é}"]) == ['"a \\"b\\"\\n"', '""', '"{é}"']
+
+
+def test_contact_signs_miss_nothing_that_python_finds(spark):
+    """Over all code points: what the scan redacts, the built-in test lets through, and blanks are trimmed alike."""
+    from sluice.functions import contacts
+    from sluice.functions import text as tx
+
+    points = [p for p in range(0x11000) if not 0xD800 <= p < 0xE000]
+    rows = [(f"12{chr(p)}34{chr(p)}56{chr(p)}789",) for p in points] + [(f"via{chr(p)}Roma{chr(p)}12",) for p in points] + [(f"a{chr(p)}b@x.org",) for p in points]
+    df = spark.createDataFrame(rows, "t string").repartition(8)
+    found = {r["t"] for r in df.where(~contacts.suspect(F.col("t"))).collect()}
+    assert not [t for t in found if contacts.scan(t)[1]]
+    blanks = [(chr(p) + "x" + chr(p),) for p in points if chr(p).isspace()]
+    got = spark.createDataFrame(blanks, "t string").select(tx.clean(F.col("t"))).distinct().collect()
+    assert [r[0] for r in got] == ["x"]
+
+
+def test_one_review_per_key(spark):
+    from sluice.operators import ranking
+
+    asked = spark.createDataFrame([(0, "a:1", "T", "L"), (1, "b:2", "T", "L")], "pos int, job_key string, title string, location string")
+    twice = spark.createDataFrame([("a:1", 8.1, None, 1), ("a:1", 6.5, None, 2), ("b:2", 5.0, "bad", 1)], "job_key string, score double, error string, pos int")
+    got = {r["job_key"]: (r["r_score"], r["code"]) for r in ranking.judged(asked, twice).collect()}
+    assert got == {"a:1": (6.5, None), "b:2": (5.0, "RANK_FAILED")} and ranking.judged(asked, twice).count() == 2
+    assert {r["r_score"] for r in ranking.judged(asked, twice.drop("pos")).where("job_key = 'a:1'").collect()} == {8.1}
