@@ -105,5 +105,7 @@ def run_available(calls: DataFrame, seen_path: str, out: str, checkpoint: str, n
 
 def latest(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results in their order, failures and counters of the newest run."""
-    runs = [files.read_latest_run(spark, f"{out}/{x}").drop("run_id") for x in ("results", "failures", "counters")]
-    return runs[0].orderBy("place"), runs[1].orderBy("call_id"), runs[2]
+    tables = [spark.read.parquet(f"{out}/{x}") for x in ("results", "failures", "counters")]
+    newest = tables[2].agg(F.max("run_id")).first()[0]  # a run without failures or results has counters all the same
+    results, failures, counters = [t.where(F.col("run_id") == newest).drop("run_id") for t in tables]
+    return results.orderBy("place"), failures.orderBy("call_id"), counters
