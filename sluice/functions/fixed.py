@@ -48,5 +48,31 @@ FOLLOW_UP_NOTE, FOLLOW_UP_ACTION = "follow-up {} draft created; manual review re
 TRACKER_COLUMNS = ("fecha", "empresa", "rol", "portal", "url", "tier", "score", "estado", "próxima acción", "notas")
 # Share of each dimension in a score.
 WEIGHTS = {"location": 0.25, "role": 0.25, "skills": 0.20, "sector": 0.15, "pay": 0.10, "language": 0.05}
+# Places of a score's tiers, as listed, and what a tier's place is worth.
+PLACES = {
+    "A+": ("Casalecchio di Reno", "Bologna"),
+    "A": ("Nápoles", "Palermo", "Génova", "Bari", "Catania", "Venecia", "Mesina", "Trieste", "Tarento", "Reggio Calabria", "Rávena", "Livorno", "Rímini", "Cagliari", "Salerno", "Latina", "Sássari", "Pescara", "Siracusa", "Ancona", "Lecce", "La Spezia", "Pisa"),
+    "B": ("Barcelona", "Valencia", "Málaga", "Palma", "Las Palmas", "Alicante", "Bilbao", "Vigo", "L'Hospitalet", "Gijón", "La Coruña", "Elche", "Badalona", "Cartagena", "Jerez", "Santa Cruz Tenerife", "Almería", "San Sebastián", "Castellón", "Santander", "Marbella", "Tarragona", "Huelva", "Mataró"),
+    "C": ("Modena", "Imola", "Reggio Emilia", "Parma", "Firenze"),
+    "VETO": ("Milán", "Roma", "Turín"),
+}
+PLACE_SCORES = {"A+": 10.0, "A": 9.0, "B+": 8.0, "B": 6.0, "C": 3.0, "VETO": 0.0}
+# Wanted roles with the lowest and highest score of their band, in order of preference.
+ROLE_BANDS = (
+    (9.0, 10.0, ("Responsabile IT", "IT Manager", "Technology Advisor")),
+    (8.0, 9.0, ("Digital Transformation Manager", "Responsabile Soluzioni Digitali", "IT/OT Specialist")),
+    (7.0, 8.0, ("AI Automation Consultant", "AI Solutions Consultant", "Energy Manager", "EGE")),
+    (5.0, 6.0, ("BI Manager", "Data Manager")),
+)
+# The sector's bonus, portals whose language is English, certificates that exclude, and remarks on a score.
+SECTOR_BONUS = {"marine": 2.0, "industry": 1.0}
+ENGLISH_PORTALS = ("remoteok", "wwr", "remotive")
+CERTIFICATES = ("PMP", "ITIL Expert", "CISSP", "CISM")
+SCORE_NOTES = {
+    "language": "penalización idioma -1.5 (oferta en inglés sin requerirlo)",
+    "pay": "salario no declarado — preguntar en primer contacto",
+    "email": "aplicación directa por email — baja fricción",
+    "hostile": "ATS hostil (Workday/Taleo/etc.) — aplicación cara en tiempo",
+}
 # Cells of the table of the latest postings.
 PENDING, YES, NO = "pendiente", "sí", "no"

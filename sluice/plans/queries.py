@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import contacts, dates, urls
+from ..functions import contacts, dates, fixed, urls
 from ..functions import text as tx
-from ..operators import postings, ranking, tracker
+from ..operators import postings, ranking, scoring, tracker
 from ..session import table
 from ..tables import cut, new_path, numbered
 from ..sources import files, landing, portals
@@ -628,3 +628,89 @@ def scrape_runs(spark, sf_dir):
     state.add(old.where("id IS NOT NULL").select(F.concat_ws(":", "portal", "id").alias("key")), "run-0", 0)
     runs.scrape(calls, state, 1, "run-1", out, portals.decode_portals)
     return state.keys()
+
+
+#: What a document lacks to be a posting, by doc_id: titles, places and pay texts, and sentences after its own text.
+_TITLES = ("IT Manager", "Junior IT Manager", "Energy Manager (EGE)", "Digital Transformation Manager", "Cook", "IT/OT Specialist", "Data Manager", "AI Solutions Consultant")
+_PLACES = ("Bologna (BO)", "Napoli, Italia", "Milano", "Milano o Génova", "Remoto", "L'Hospitalet de Llobregat", "Firenze", "Reggio Emilia", "Zurich", None, "Palma", "San Sebastián", "Roma (remote)")
+_PAYS = ("60.000 - 70.000 €", "55k", None, "42 000 EUR", "desde 35,500.00", "30000", "20 €/h", "49.999,99", "", "2024: 61 k", "12345678")
+_EXTRAS = ("PMP required.", "PMP is welcome. English required", "Laurea in ingegneria\nobbligatoria", "Titulo de ingeniería imprescindible!", "voto 110/110", "italiano madrelingua", "English C1", "At least 6+ years of und; 3 years of the rest", "Cantiere navale, acuario", "Packaging machines", "EMEA role", "")
+_SKILLS = {"der": True, "und": False, "the": True, "of": False, "que": True, "les": False, "de": True}
+_SECTORS = {"marine": ("acuario",), "industry": ("packaging",)}
+
+
+def _pick(values: tuple) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values)).cast("int"))
+
+
+def _pick_sql(values: tuple) -> str:
+    told = ", ".join("NULL" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values)
+    return f"[{told}][doc_id % {len(values)} + 1]"
+
+
+def _plain_sql(text: str) -> str:
+    return rf"' ' || regexp_replace(regexp_replace(strip_accents(lower(coalesce({text}, ''))), '[.!?;|\n]+', ' | ', 'g'), '[^\p{{L}}\p{{N}}+#|]+', ' ', 'g') || ' '"
+
+
+def _names_sql(text: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({text}, ({_plain_sql(chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39))}))" for p in phrases) + ")"
+
+
+def _sentence_sql(*tests: str) -> str:
+    return "len(list_filter(string_split(d, '|'), lambda s: " + " AND ".join(tests) + ")) > 0"
+
+
+_OBLIGED_SQL = "regexp_matches(s, ' (required|requires|mandatory|must|obbligatori[oa]|richiest[oa]|obligatori[oa]|imprescindible|requerid[oa]|excluyente) ')"
+_SCORES_SQL = rf"""raw AS (SELECT doc_id, lang, source, {_pick_sql(_TITLES)} AS title, {_pick_sql(_PLACES)} AS location, {_pick_sql(_PAYS)} AS salary, concat_ws(' ', text, {_pick_sql(_EXTRAS)}) AS description,
+  CASE WHEN doc_id % 5 = 0 THEN 'wwr' ELSE source END AS portal, doc_id % 17 = 0 AS remote, CASE WHEN doc_id % 6 = 0 THEN 'a@b.org' END AS email, doc_id % 4 = 0 AS hostile FROM documents
+), told AS (SELECT *, {_plain_sql('title')} AS t, {_plain_sql('location')} AS l, {_plain_sql('description')} AS d,
+  list_filter(list_transform(regexp_extract_all(lower(coalesce(salary, '')), '([0-9]{{1,3}}(?:[., ][0-9]{{3}})+|[0-9]+)(?:[.,][0-9]{{1,2}})?( ?k)?'), lambda x: CASE WHEN regexp_matches(x, 'k$') THEN 1 ELSE 0.001 END
+    * regexp_replace(regexp_replace(x, '( ?k)$|[.,][0-9]{{1,2}}( ?k)?$', ''), '[^0-9]', '', 'g')::DOUBLE), lambda x: x >= 5 AND x < 10000) AS pays FROM raw
+), flags AS (SELECT *, list_min(pays) AS pay, {_names_sql('l', scoring.REMOTE)} OR remote AS away,
+  list_filter([{', '.join(f"'{s}'" for s in _SKILLS)}], lambda s: contains(d, ' ' || s || ' ')) AS named,
+  CASE WHEN contains(d, ' acuario ') THEN 'marine' WHEN contains(d, ' packaging ') THEN 'industry' END AS sector,
+  {_sentence_sql("regexp_matches(s, ' (english|ingles|inglese) ')", f"({_OBLIGED_SQL} OR regexp_matches(s, ' c[12] '))")} AS asks FROM told
+), sub AS (SELECT *, CASE WHEN {_names_sql('l', fixed.PLACES['A+'])} THEN 'A+' WHEN {_names_sql('l', (*fixed.PLACES['A'], *scoring.OWN_NAMES['A']))} THEN 'A' WHEN away THEN 'B+' WHEN {_names_sql('l', (*fixed.PLACES['B'], *scoring.OWN_NAMES['B']))} THEN 'B'
+    WHEN {_names_sql('l', fixed.PLACES['C'])} THEN 'C' WHEN {_names_sql('l', (*fixed.PLACES['VETO'], *scoring.OWN_NAMES['VETO']))} THEN 'VETO' WHEN trim(l) <> '' THEN 'C' END AS tier,
+  CASE WHEN contains(t, ' junior ') THEN 4 WHEN contains(t, ' it manager ') THEN 9.5 WHEN contains(t, ' digital transformation manager ') OR contains(t, ' it ot specialist ') THEN 8.5
+    WHEN contains(t, ' energy manager ') OR contains(t, ' ai solutions consultant ') THEN 7.5 WHEN contains(t, ' data manager ') THEN 5.5 ELSE 4 END AS role_score,
+  CASE WHEN len(named) = 0 THEN 5 ELSE 10.0 * len(list_filter(named, lambda x: x IN ('der', 'the', 'que', 'de'))) / len(named) END AS skills_score, list_filter(named, lambda x: x IN ('und', 'of', 'les')) AS gaps,
+  CASE WHEN pay IS NULL THEN 5 WHEN pay >= 60 THEN 10 WHEN pay >= 50 THEN 8 WHEN pay >= 42 THEN 6 WHEN pay >= 35 THEN 4 ELSE 3 END AS pay_score,
+  coalesce(lang = 'en', false) AND NOT asks AND NOT contains(d, ' emea ') AND coalesce(portal NOT IN ('remoteok', 'wwr', 'remotive'), true) AS penalty,
+  list_filter([CASE WHEN {_sentence_sql("regexp_matches(s, ' (laurea|degree|titulo) ')", "regexp_matches(s, ' (ingegneria|engineering|ingenieria) ')", _OBLIGED_SQL)} THEN 'degree' END,
+    CASE WHEN contains(d, ' 110 110 ') OR contains(d, ' con lode ') OR contains(d, ' votazione minima ') THEN 'grade' END,
+    CASE WHEN {_sentence_sql("regexp_matches(s, ' (pmp|itil expert|cissp|cism) ')", _OBLIGED_SQL)} THEN 'certificate' END,
+    CASE WHEN {_sentence_sql("coalesce(try_cast(regexp_extract(s, ' ([0-9]{1,2})[+]? (?:years|anni|anos) ', 1) AS INT), 0) > 5", "regexp_matches(s, ' (und|of|les) ')")} THEN 'years' END,
+    CASE WHEN contains(d, ' madrelingua ') AND coalesce(lang <> 'it', true) THEN 'native_language' END], lambda x: x IS NOT NULL) AS others FROM flags)"""
+
+
+def _score_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(
+        "doc_id", F.col("lang").alias("language"), F.col("source").alias("company"), _pick(_TITLES).alias("title"), _pick(_PLACES).alias("location"), _pick(_PAYS).alias("salary"),
+        F.concat_ws(" ", "text", _pick(_EXTRAS)).alias("description"), F.when(k % 5 == 0, "wwr").otherwise(F.col("source")).alias("portal"), (k % 17 == 0).alias("remote"),
+        F.when(k % 6 == 0, "a@b.org").alias("email_contacto"), F.when(k % 4 == 0, "https://x.taleo.net/1").otherwise("https://example.org/1").alias("url"),
+    )
+
+
+@_query(f"""WITH {_SCORES_SQL}, worth AS (SELECT *, CASE tier WHEN 'A+' THEN 10 WHEN 'A' THEN 9 WHEN 'B+' THEN 8 WHEN 'B' THEN 6 WHEN 'C' THEN 3 WHEN 'VETO' THEN 0 ELSE 5 END AS location_score,
+  CASE sector WHEN 'marine' THEN 10 WHEN 'industry' THEN 8 ELSE 5 END AS sector_score, CASE sector WHEN 'marine' THEN 2 WHEN 'industry' THEN 1 ELSE 0 END AS bonus, CASE lang WHEN 'en' THEN 8 WHEN 'es' THEN 10 WHEN 'it' THEN 10 ELSE 5 END AS language_score FROM sub
+), summed AS (SELECT *, 0.25::DOUBLE * location_score + 0.25::DOUBLE * role_score + 0.2::DOUBLE * skills_score + 0.15::DOUBLE * sector_score + 0.1::DOUBLE * pay_score + 0.05::DOUBLE * language_score + bonus
+  - CASE WHEN penalty THEN 1.5 ELSE 0 END + CASE WHEN email IS NOT NULL THEN 0.5 ELSE 0 END AS total FROM worth)
+SELECT doc_id, coalesce(tier, '-') AS tier, location_score::DOUBLE AS location_score, role_score::DOUBLE AS role_score, skills_score::DOUBLE AS skills_score, sector_score::DOUBLE AS sector_score, pay_score::DOUBLE AS pay_score,
+  language_score::DOUBLE AS language_score, bonus::DOUBLE AS sector_bonus, penalty, round(round(least(greatest(total, 0), 10), 6), 1)::DOUBLE AS score, array_to_string(gaps, ',') AS gaps,
+  concat_ws(',', CASE WHEN tier = 'VETO' THEN 'place' END, nullif(array_to_string(others, ','), '')) AS vetoes, CASE WHEN tier = 'VETO' OR len(others) > 0 THEN 'DESCARTAR' ELSE '-' END AS verdict,
+  concat_ws('; ', CASE WHEN penalty THEN '{fixed.SCORE_NOTES['language']}' END, CASE WHEN pay IS NULL THEN '{fixed.SCORE_NOTES['pay']}' END, CASE WHEN email IS NOT NULL THEN '{fixed.SCORE_NOTES['email']}' END, CASE WHEN hostile THEN '{fixed.SCORE_NOTES['hostile']}' END) AS notes
+FROM summed""")
+def posting_scores(spark, sf_dir):
+    out = scoring.scored(_score_postings(spark, sf_dir), scoring.Profile(_SKILLS, _SECTORS))
+    parts = [f"{p}_score" for p in ("location", "role", "skills", "sector", "pay", "language")]
+    joined = [F.array_join("gaps", ",").alias("gaps"), F.array_join("vetoes", ",").alias("vetoes"), F.array_join("notes", "; ").alias("notes")]
+    return out.select("doc_id", F.coalesce("tier", F.lit("-")).alias("tier"), *parts, "sector_bonus", "penalty", "score", *joined, F.coalesce("verdict", F.lit("-")).alias("verdict"))
+
+
+@_query(f"WITH {_SCORES_SQL} SELECT tier, count(*) AS n, count_if(tier = 'VETO' OR len(others) > 0) AS vetoed, count_if(penalty) AS penalised, count(pay) AS with_pay FROM sub WHERE tier IS NOT NULL GROUP BY tier")
+def scores_by_tier(spark, sf_dir):
+    out = scoring.scored(_score_postings(spark, sf_dir), scoring.Profile(_SKILLS, _SECTORS)).where("tier IS NOT NULL")
+    paid = ~F.array_contains("notes", fixed.SCORE_NOTES["pay"])
+    return out.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == fixed.VERDICTS[2]).alias("vetoed"), F.count_if(F.col("penalty")).alias("penalised"), F.count_if(paid).alias("with_pay"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,19 +34,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths that cut() wrote, by the scopes they were written in.
-_SCOPES: list[list[str]] = []
+#: Paths that cut() wrote, by the scopes that are open in this context, so that threads don't see each other's.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: Settings that are changed for a while, by session and name: how many hold the change, and the value before the first.
+_HELD: dict[tuple[int, str], list] = {}
+_LOCK = threading.Lock()
 
 
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A setting of the session for a while."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+    """A setting of the session for a while; of several threads that change it to one value, the last puts it back."""
+    key = (id(spark._jsparkSession), name)
+    with _LOCK:
+        held = _HELD.setdefault(key, [0, spark.conf.get(name, None)])
+        held[0] += 1
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                del _HELD[key]
+                spark.conf.unset(name) if held[1] is None else spark.conf.set(name, held[1])
 
 
 def cut(df: DataFrame, name: str, path: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,8 +70,8 @@ def cut(df: DataFrame, name: str, path: str | None = None, partition_by: tuple[s
     writer = df.write.mode("overwrite")
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    for scope in _SCOPES:
-        scope.append(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
     out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
     out._written_at = path
     return out
@@ -80,14 +92,19 @@ def release(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
-    """At the end, remove all that cut() wrote meanwhile, but for the tables that were put into ``keep``."""
+    """At the end, remove all that cut() wrote meanwhile in this context, but for the tables that were put into ``keep``.
+
+    A kept table passes to the scope around this one, if there is any.
+    """
     own: list[str] = []
-    _SCOPES.append(own)
+    token = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        _SCOPES.remove(own)
+        _SCOPES.reset(token)
         kept = {t._written_at for t in keep}
+        if around := _SCOPES.get():
+            around[-1].extend(p for p in own if p in kept)
         for path in own:
             if path not in kept:
                 delete(spark, path)
