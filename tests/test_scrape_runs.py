@@ -243,3 +243,20 @@ def test_a_killed_run_equals_a_clean_one(spark, tmp_path, monkeypatch, killed):
     assert work("dead", "t9") and outcome(spark, str(tmp_path / "dead"), str(tmp_path / "dead-seen")) == want  # nothing new: nothing done
 
 
+
+
+def test_postings_that_share_a_url_keep_a_row_each(spark, tmp_path):
+    """Pages 4, 13 and 22 are of the feed, whose key is the URL's digest: two share one."""
+    import duckdb
+
+    from sluice.plans.queries import ORACLE_SQL, QUERIES
+
+    html = '<html lang="en"><title>t</title></html>'
+    pages = [(i, "https://x.example.com/" + ("same" if i in (4, 13) else str(i)), html) for i in (0, 2, 4, 8, 13, 22, 49)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in QUERIES["scrape_runs"](spark, str(tmp_path)).select("key", "first_seen_at").collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(ORACLE_SQL["scrape_runs"]).fetchall()
+    assert sorted(got) == sorted(want)
+    assert len(got) == len(set(got)) + 1
