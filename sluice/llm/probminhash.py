@@ -22,9 +22,9 @@ buckets' smallest members; texts that are connected by then need no other look.
 Where members of a bucket are still in different components, the rest is
 searched exactly: the bucket is dealt out in blocks, and pairs of blocks
 compare signatures as matrices. Members with a plausible partner in another
-component go on with their texts, again in pairs of blocks, where all exact
-similarities are counted by inverted lists and only links that join components
-come out. So no link between texts that share a bucket is lost, and rows out of a
+component go on with their texts, again in pairs of blocks, where all similarities
+are bounded by inverted lists, those that may reach the threshold are compared exactly,
+and only links that join components come out. So no link between texts that share a bucket is lost, and rows out of a
 bucket are at most its members.
 
 Every text has a number of its own; buckets, links and components know texts by
@@ -184,6 +184,13 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(named, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
 
+def _merged(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """Labels after components were joined: the old labels are nodes of ``joined``, as are texts that were alone."""
+    counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+    roots = cut(_labelled(counts, joined, "label", "root").select("label", "root", "n"), "roots")
+    return cut(spread_join(labels, roots, ["label"], ["node"]).select("node", F.col("root").alias("label")).unionByName(joined), "labels")
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each (bucket, i, j), which come together, as one table."""
     held: list[pa.RecordBatch] = []
@@ -230,25 +237,71 @@ def _plausible(least: float):
     return run
 
 
+def _shares(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' distinct shingles as one table sorted by text: hashes, their shares of the text's weight, and where each text begins (and the last ends)."""
+    keys, docs, weights = [], [], []
+    for first, _, data, offsets in steps(texts, _STEP):
+        k, d, w = weighted_shingles(Words(data, offsets))
+        order = np.argsort(d, kind="stable")
+        keys.append(k[order])
+        docs.append(d[order] + first)
+        weights.append(w[order])
+    doc, weight = np.concatenate(docs), np.concatenate(weights)
+    n = len(texts)
+    return np.concatenate(keys), weight / np.bincount(doc, weight, n)[doc], np.searchsorted(doc, np.arange(n + 1))
+
+
+def _at_most(keys: np.ndarray, share: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, wanted: np.ndarray, threshold: float) -> np.ndarray:
+    """Bounds from above of a text's similarity to each of n others, whose shingles are listed (hashes in order, texts, shares).
+
+    Of a common shingle with shares p and q the similarity's term is at most 1 / (1/p + B/q) and 1 / (A/p + 1/q),
+    where A and B are the shares of the shingles that only one side has. With equal weights this is the similarity
+    itself. Texts that are not ``wanted``, or share less than the threshold, get 0.
+    """
+    listed, owner, shares = lists
+    low, high = np.searchsorted(listed, keys, "left"), np.searchsorted(listed, keys, "right")
+    ends = np.cumsum(high - low)
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(_STEP, ends[-1], _STEP), "right").tolist(), len(keys)]) if len(ends) else []
+
+    def common() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            width = high[x:y] - low[x:y]
+            at = np.repeat(low[x:y] - np.cumsum(width) + width, width) + np.arange(width.sum())
+            yield owner[at], np.repeat(share[x:y], width), shares[at]
+
+    mine, theirs, out = np.zeros(n), np.zeros(n), np.zeros(n)
+    for who, p, q in common():
+        mine += np.bincount(who, p, n)
+        theirs += np.bincount(who, q, n)
+    close = wanted & (np.minimum(mine, theirs) >= threshold)
+    if close.any():
+        for who, p, q in common():
+            on = close[who]
+            who, p, q = who[on], p[on], q[on]
+            only_mine, only_theirs = np.maximum(1 - mine[who], 0), np.maximum(1 - theirs[who], 0)
+            out += np.bincount(who, 1 / np.maximum(1 / p + only_theirs / q, only_mine / p + 1 / q), n)
+    return out
+
+
 def _linked(threshold: float):
-    """Links between components by exact similarities of all pairs of two blocks, as few as join them.
+    """Links between components (by their labels) by similarities of all pairs of two blocks, as few as join them.
 
-    One text's shingles are looked up in the blocks' inverted lists, which gives
-    its intersections with all others in one count.
+    One text's shingles are looked up in the blocks' inverted lists, which bounds its
+    similarities to all others in one count; what may reach the threshold is compared exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches):
-            rid, label = group.column("rid").to_numpy(), group.column("label").to_pylist()
+            label = group.column("label").to_numpy()
             left, right = _sides(group)
-            bags = [bag(t) for t in group.column("text").to_pylist()]
-            plain = np.array([bool((w == 1).all()) for _, w in bags])
-            sizes = np.array([len(k) for k, _ in bags])
-            listed = np.concatenate([bags[x][0] for x in right])
-            owner = np.repeat(right, sizes[right])
-            order = np.argsort(listed, kind="stable")
-            listed, owner = listed[order], owner[order]
-            parent = {x: x for x in label}
+            texts = group.column("text").combine_chunks()
+            keys, share, start = _shares(texts)
+            n = len(label)
+            owner = np.repeat(np.arange(n), np.diff(start))
+            inside = np.isin(owner, right)
+            order = np.argsort(keys[inside], kind="stable")
+            lists = tuple(x[inside][order] for x in (keys, owner, share))
+            parent = {x: x for x in label.tolist()}
 
             def find(x: int) -> int:
                 while parent[x] != x:
@@ -258,17 +311,17 @@ def _linked(threshold: float):
 
             out = []
             for x in left.tolist():
-                keys = bags[x][0]
-                low, high = np.searchsorted(listed, keys, "left"), np.searchsorted(listed, keys, "right")
-                width = high - low
-                at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
-                common = np.bincount(owner[at], minlength=len(rid))
-                jaccard = common / np.maximum(sizes[x] + sizes - common, 1)
-                # Equal weights: the two similarities are one. Otherwise the exact sum decides.
-                for y in np.flatnonzero((common > 0) & ((jaccard >= threshold - 1e-9) | ~(plain & plain[x]))).tolist():
-                    if find(label[x]) != find(label[y]) and (plain[x] and plain[y] or exact_similarity(bags[x], bags[y]) >= threshold - 1e-9):
-                        parent[find(label[y])] = find(label[x])
-                        out.append((rid[x], rid[y]))
+                wanted = label != label[x]
+                if not wanted[right].any():
+                    continue
+                own = slice(start[x], start[x + 1])
+                bound = _at_most(keys[own], share[own], lists, n, wanted, threshold - 1e-6)
+                for y in np.flatnonzero(bound >= threshold - 1e-6).tolist():
+                    i, j = int(label[x]), int(label[y])
+                    # A bag's shares are as good as its weights.
+                    if find(i) != find(j) and exact_similarity((keys[own], share[own]), (keys[start[y] : start[y + 1]], share[start[y] : start[y + 1]])) >= threshold - 1e-9:
+                        parent[find(j)] = find(i)
+                        out.append((i, j))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -327,7 +380,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     more = cut(_in_blocks(counted, texts, TEXT_BLOCK).mapInArrow(trimmed(_linked(threshold)), "a long, b long"), "links")
     release(members, texts, flagged)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = _merged(labels, components(more))
     return signed, reps, labels
 
 
